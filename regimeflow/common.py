@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,30 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
+def arrow_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Columns, as arrays, of each stretch of rows that agree in the first `keys` columns (none null).
+
+    For use in mapInArrow after a repartition and a sort within partitions by these columns: a group comes whole,
+    and of other groups no more than a batch is held.
+    """
+    rest: list[np.ndarray] | None = None
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if rest is not None:
+            cols = [np.concatenate(x) for x in zip(rest, cols)]
+        if not len(cols[0]):
+            continue
+        new = np.zeros(len(cols[0]) - 1, dtype=bool)
+        for c in cols[:keys]:
+            new |= c[1:] != c[:-1]
+        edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(edges, edges[1:]):
+            yield [c[a:b] for c in cols]
+        rest = [c[edges[-1] :] for c in cols]
+    if rest is not None:
+        yield rest
+
+
 def label_state(label: Column) -> Column:
     """State 1 to 4 that a free label names, in figures or as an English word; null if it says nothing."""
     text = F.lower(F.translate(label, WIDE_DIGITS, PLAIN_DIGITS))
