@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import table
 from ..operators import episodes as ep
+from ..sources import saved_files as sf
 
 SEQ = ("user_id", ["ts", "event_id"], "event_type")
 
@@ -14,5 +15,5 @@ def episode_stats(spark: SparkSession, d: str) -> DataFrame:
     return ep.episode_stats(ep.episodes(table(spark, d, "events"), *SEQ), "event_type")
 
 
-QUERIES = {"episode_stats": episode_stats}
-SQL: dict[str, str] = {}
+QUERIES = {"episode_stats": episode_stats, "p4_found": sf.p4_found, "p4_samples": sf.p4_samples, "p4_files": sf.p4_files}
+SQL: dict[str, str] = {"p4_found": sf.P4_FOUND_SQL}

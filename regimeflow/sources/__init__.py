@@ -1 +1 @@
-
+"""Readers and writers of the dense byte format."""
