@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +23,20 @@ KEY = ["run_id", "t_idx"]
 _written: list[str] = []
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per Spark context; they may run elsewhere, or have no path to it."""
+    sc = spark.sparkContext
+    if getattr(sc, "_regimeflow_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="spark-")) / "regimeflow.zip"  # served by the driver as long as it runs
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._regimeflow_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,26 +7,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Width of a cell in radii: wider cells mean fewer copies of rows near an edge, and more rows to compare.
+WIDTH = 4
+#: Rows of a cell beyond which it is split.
+CROWDED = 4096
 
-def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: float, grid_dims: int = 3, parts: int = 8) -> DataFrame:
+
+def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: float, grid_dims: int | None = None, crowded: int = CROWDED) -> DataFrame:
     """(key, density): rows whose Euclidean distance over `columns` is at most the radius, without the row itself.
 
-    Exact copies count; NaN or null in a column: the row takes no part. Rows fall into cells of the radius's width over
-    the first `grid_dims` columns; a row meets the rows of its own cell and the neighbours. A crowded cell's rows are
-    spread over `parts` groups, its visitors come to all of them, and each group sends only partial counts on.
+    Keys are unique; exact copies of a row count. A row with null or NaN among the columns, or a null key, takes no part.
+
+    Rows lie in cells of a grid over the first `grid_dims` columns (all, by default). A row meets the rows of its cell,
+    and visits those neighbour cells whose edge is within the radius; a row in the middle of a cell visits none. The
+    rows of a crowded cell are spread over several groups, which its rows and visitors all come to. Only counts go on.
     """
-    dims = list(columns[:grid_dims])
+    n, width = len(columns), WIDTH * radius
+    dims = range(min(n, grid_dims or n))
     rows = df.select(F.col(key).alias("k"), *(F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)))
-    rows = rows.filter(" AND ".join(f"v{i} IS NOT NULL AND NOT isnan(v{i})" for i in range(len(columns))))
-    rows = rows.withColumns({f"c{i}": F.floor(F.col(f"v{i}") / radius) for i in range(len(dims))})
-    home = rows.withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(parts)))
-    near = rows
-    for i in range(len(dims)):
-        near = near.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + s for s in (-1, 0, 1)))))
-    near = near.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-    near = near.select(*(f"c{i}" for i in range(len(dims))), "part", F.col("k").alias("o"), *(F.col(f"v{i}").alias(f"o{i}") for i in range(len(columns))))
-    on = [*(f"c{i}" for i in range(len(dims))), "part"]
-    d2 = sum(((F.col(f"v{i}") - F.col(f"o{i}")) * (F.col(f"v{i}") - F.col(f"o{i}")) for i in range(len(columns))), F.lit(0.0))
-    pairs = home.join(near, on).filter((F.sqrt(d2) <= radius) & (F.col("k") != F.col("o")))
+    rows = rows.filter(" AND ".join(["k IS NOT NULL", *(f"v{i} IS NOT NULL AND NOT isnan(v{i})" for i in range(n))]))
+    cells = [f"c{i}" for i in dims]
+    home = rows.withColumns({f"c{i}": F.floor(F.col(f"v{i}") / width) for i in dims})
+    hot = home.groupBy(*cells).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select(*cells, F.ceil(F.col("n") / crowded).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    near = home
+    for i in dims:
+        c, at = F.col(f"c{i}"), F.col(f"v{i}") - F.col(f"c{i}") * width
+        slack = radius * 1e-9
+        sides = F.array(c, F.when(at <= radius + slack, c - 1), F.when(at >= width - radius - slack, c + 1))
+        near = near.withColumn(f"c{i}", F.explode(F.array_compact(sides)))
+    home = home.join(hot, cells, "left").withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), parts)).drop("parts")
+    near = near.join(hot, cells, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    near = near.select(*cells, "part", F.col("k").alias("o"), *(F.col(f"v{i}").alias(f"o{i}") for i in range(n)))
+    d2 = sum(((F.col(f"v{i}") - F.col(f"o{i}")) * (F.col(f"v{i}") - F.col(f"o{i}")) for i in range(n)), F.lit(0.0))
+    pairs = home.join(near, [*cells, "part"]).filter((F.sqrt(d2) <= radius) & (F.col("k") != F.col("o")))
     counts = pairs.groupBy("k").agg(F.count("*").alias("n"))
     return rows.select("k").join(counts, "k", "left").select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).alias("density"))

@@ -1,19 +1,430 @@
-"""Queries of the core operators and their SQL."""
+"""Queries of the core operators over the given tables, and their SQL where SQL can state them.
+
+Sums of doubles depend on the order of addition, so results made of them are rounded, in both languages alike.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import label_state, state_samples, state_samples_sql, table
+from ..functions import systems as sy
+from ..functions.vectors import normalize
+from ..operators import density, grids, hmm, lyapunov, reservoir, simulate, spectral, stats
 from ..operators import episodes as ep
 from ..sources import saved_files as sf
+from ..sources import state_files
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": sf.p4_found, "p4_samples": sf.p4_samples, "p4_files": sf.p4_files}
+SQL: dict[str, str] = {"p4_found": sf.P4_FOUND_SQL}
+XS = stats.XS
+EVENTS = ("user_id", ["ts", "event_id"], "event_type")
+RUNS = ("run_id", ["t_idx"], "state")
+#: Red noise: correlation. Horizon: error and steps of a unit. Density: radius.
+RED, FAR, PER_UNIT, RADIUS = 0.5, 300.0, 10.0, 0.02
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*(F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def trajectory(spark: SparkSession, d: str) -> DataFrame:
+    return stats.clean_trajectory(table(spark, d, "trajectory"))
+
+
+def regime(spark: SparkSession, d: str) -> DataFrame:
+    return state_samples(table(spark, d, "regime"))
+
+
+def with_height(spark: SparkSession, d: str) -> DataFrame:
+    """Clean samples with the orography's height of their run."""
+    runs = table(spark, d, "run_info").select("run_id", "g").filter("g IS NOT NULL AND NOT isnan(g)")
+    return trajectory(spark, d).join(runs, "run_id")
+
+
+HEIGHT_SQL = f"(SELECT t.*, r.g FROM {stats.CLEAN_SQL} t JOIN run_info r USING (run_id) WHERE r.g IS NOT NULL AND NOT isnan(r.g))"
+
+# ---- episodes
 
-SEQ = ("user_id", ["ts", "event_id"], "event_type")
+_EV = "SELECT user_id AS entity, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events"
+_RG = f"SELECT run_id AS entity, state, t_idx, row_number() OVER (PARTITION BY run_id ORDER BY t_idx) - 1 AS rn FROM ({state_samples_sql()})"
 
 
+def _runs_sql(seq: str) -> str:
+    """Rows with their episode's number."""
+    return f"""(SELECT *, CAST(sum(ch) OVER (PARTITION BY entity ORDER BY rn) AS BIGINT) - 1 AS ep FROM (
+      SELECT *, CASE WHEN rn > 0 AND lag(state) OVER (PARTITION BY entity ORDER BY rn) IS NOT DISTINCT FROM state THEN 0 ELSE 1 END AS ch FROM ({seq})))"""
+
+
+def _episodes_sql(seq: str) -> str:
+    return f"(SELECT entity, ep, state, CAST(min(rn) AS BIGINT) AS start_idx, CAST(count(*) AS BIGINT) AS len, CAST(count(*) AS DOUBLE) AS duration FROM {_runs_sql(seq)} GROUP BY ALL)"
+
+
+_STATS = "CAST(count(*) AS BIGINT) AS n_episodes, round(avg(duration), 6) AS mean_escape_time, round(median(duration), 6) AS median_escape_time, round(stddev_pop(duration), 6) AS std_escape_time, min(duration) AS min_escape_time, max(duration) AS max_escape_time, sum(duration) AS total_time_in_state"
+
+
+@query(f"SELECT state AS event_type, {_STATS} FROM {_episodes_sql(_EV)} GROUP BY state")
 def episode_stats(spark: SparkSession, d: str) -> DataFrame:
-    return ep.episode_stats(ep.episodes(table(spark, d, "events"), *SEQ), "event_type")
+    return rounded(ep.episode_stats(ep.episodes(table(spark, d, "events"), *EVENTS), "event_type"))
 
 
-QUERIES = {"episode_stats": episode_stats, "p4_found": sf.p4_found, "p4_samples": sf.p4_samples, "p4_files": sf.p4_files}
-SQL: dict[str, str] = {"p4_found": sf.P4_FOUND_SQL}
+@query(f"SELECT CAST(entity AS INTEGER) AS run_id, ep AS episode_id, state, start_idx, len, duration FROM {_episodes_sql(_RG)}")
+def episodes(spark: SparkSession, d: str) -> DataFrame:
+    return ep.episodes(regime(spark, d), *RUNS)
+
+
+@query(f"""SELECT event_id, CASE WHEN event_type = 'click' THEN CAST(count(*) OVER (PARTITION BY entity, ep) - row_number() OVER (PARTITION BY entity, ep ORDER BY rn) + 1 AS DOUBLE) END AS remaining
+  FROM {_runs_sql(_EV.replace("SELECT user_id", "SELECT event_id, event_type, user_id"))}""")
+def remaining_time(spark: SparkSession, d: str) -> DataFrame:
+    return ep.remaining_time(table(spark, d, "events"), *EVENTS, target="click").select("event_id", "remaining")
+
+
+@query(f"""SELECT CAST(entity AS INTEGER) AS run_id, t_idx, CAST(CASE WHEN ep = max(ep) OVER (PARTITION BY entity) THEN 0 ELSE max(rn) OVER (PARTITION BY entity, ep) + 1 - rn END AS BIGINT) AS steps FROM {_runs_sql(_RG)}""")
+def steps_to_change(spark: SparkSession, d: str) -> DataFrame:
+    return ep.steps_to_change(regime(spark, d), *RUNS).select("run_id", "t_idx", "steps")
+
+
+@query(f"""SELECT from_state, to_state, CAST(n AS BIGINT) AS n, round(n / sum(n) OVER (PARTITION BY from_state), 6) AS p FROM (
+  SELECT from_state, to_state, count(*) AS n FROM (SELECT state AS from_state, lead(state) OVER w AS to_state, lead(1) OVER w AS has FROM ({_RG}) WINDOW w AS (PARTITION BY entity ORDER BY rn)) WHERE has = 1 GROUP BY ALL)""")
+def transition_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ep.transition_matrix(regime(spark, d), *RUNS))
+
+
+@query(f"""SELECT user_id, coalesce(min(CASE WHEN value > {FAR} THEN i END), count(*)) / {PER_UNIT} AS horizon FROM (
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) GROUP BY user_id""")
+def prediction_horizon(spark: SparkSession, d: str) -> DataFrame:
+    return ep.horizon(table(spark, d, "events"), "user_id", EVENTS[1], F.col("value"), FAR, PER_UNIT)
+
+
+@query(f"""SELECT event_type, CAST(least(floor(duration - lo), greatest(ceil(hi - lo), 1) - 1) AS BIGINT) AS bin, lo, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT state AS event_type, duration, min(duration) OVER (PARTITION BY state) AS lo, max(duration) OVER (PARTITION BY state) AS hi FROM {_episodes_sql(_EV)}) GROUP BY ALL""")
+def episode_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return ep.episode_histogram(ep.episodes(table(spark, d, "events"), *EVENTS), "event_type")
+
+
+@query(f"SELECT *, round(total_time_in_state / sum(total_time_in_state) OVER (), 6) AS share FROM (SELECT state, {_STATS} FROM {_episodes_sql(_RG)} GROUP BY state)")
+def regime_report(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(ep.regime_report(regime(spark, d), *RUNS))
+
+
+# ---- statistics, grids, joins
+
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS var, {c} AS v FROM t" for c in XS)
+
+
+@query(f"""WITH t AS (SELECT {", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in XS)} FROM trajectory)
+SELECT var, CAST(count(v) AS BIGINT) AS n, min(v) AS min, max(v) AS max, round(max(v) - min(v), 6) AS range, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms FROM ({_LONG}) GROUP BY var""")
+def column_ranges(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.ranges(table(spark, d, "trajectory"), XS))
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} SELECT run_id, t_idx, {", ".join(f"round(({c} - (SELECT avg({c}) FROM t)) / (SELECT stddev_pop({c}) FROM t), 6) AS {c}" for c in XS)} FROM t""")
+def standardize(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.standardize(trajectory(spark, d), XS))
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT {i + 1} AS i, {j + 1} AS j, round(sum({XS[i]} * {XS[j]}), 6) AS v FROM t" for i in range(6) for j in range(i, 6))}""")
+def gram_matrix(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.gram(trajectory(spark, d), [F.col(c) for c in XS]))
+
+
+_ALL = [(XS[i], XS[j]) for i in range(6) for j in range(i, 6)]
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, round(covar_samp({a}, {b}), 6) AS cov FROM t" for a, b in _ALL)}""")
+def covariance_matrix(spark: SparkSession, d: str) -> DataFrame:
+    """Covariances that the principal components are made from."""
+    row = trajectory(spark, d).agg(*(F.covar_samp(a, b).alias(f"p{k}") for k, (a, b) in enumerate(_ALL)))
+    cells = F.array(*(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.round(f"p{k}", 6).alias("cov")) for k, (a, b) in enumerate(_ALL)))
+    return row.select(F.inline(cells))
+
+
+@query(f"""WITH c AS (SELECT var_samp(x_1) AS a, covar_samp(x_1, x_2) AS b, var_samp(x_2) AS d FROM {stats.CLEAN_SQL}),
+e AS (SELECT (a + d) / 2 + sqrt((a - d) * (a - d) / 4 + b * b) AS hi, (a + d) / 2 - sqrt((a - d) * (a - d) / 4 + b * b) AS lo, a + d AS s FROM c)
+SELECT 1 AS mode, round(hi, 6) AS variance, round(hi / s, 6) AS share FROM e UNION ALL SELECT 2, round(lo, 6), round(lo / s, 6) FROM e""")
+def eof2_variance(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.eof(trajectory(spark, d), ["x_1", "x_2"], 2)[1].select("mode", "variance", "share"))
+
+
+@query()
+def eof_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.eof(trajectory(spark, d), XS, 3)[0].select("run_id", "t_idx", "PC1", "PC2", "PC3"))
+
+
+@query()
+def eof_patterns(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(stats.eof(trajectory(spark, d), XS, 6)[1])
+
+
+@query(f"""WITH p AS (SELECT x, y FROM (SELECT x_1 AS x, lead(x_1) OVER (PARTITION BY run_id ORDER BY t_idx) AS y FROM {stats.CLEAN_SQL}) WHERE y IS NOT NULL),
+s AS (SELECT sum(x * x) + 1 AS a, sum(x) AS b, count(*) + 1 AS c, sum(x * y) AS p, sum(y) AS q FROM p)
+SELECT CAST(1 AS DOUBLE) AS tikhonov, 1 AS i, 1 AS j, round((p * c - q * b) / (a * c - b * b), 6) AS w FROM s
+UNION ALL SELECT CAST(1 AS DOUBLE), 2, 1, round((q * a - p * b) / (a * c - b * b), 6) FROM s""")
+def ridge_next(spark: SparkSession, d: str) -> DataFrame:
+    """Regression of the next sample of a run on this one."""
+    return rounded(stats.ridge(stats.lead_pairs(trajectory(spark, d), ["x_1"]), ["x_1"], ["next_x_1"], [1.0]))
+
+
+def _bin_sql(c: str, bins: int) -> str:
+    return f"coalesce(CAST(floor(({c} - (SELECT min({c}) FROM t)) / nullif((SELECT max({c}) - min({c}) FROM t), 0) * {bins}) AS INTEGER), 0)"
+
+
+def _hist_sql(bins: int, closed: bool, value: str | None) -> str:
+    parts = []
+    for a, b in combinations(XS, 2):
+        x, y = _bin_sql(a, bins), _bin_sql(b, bins)
+        if closed:
+            x, y = f"least({x}, {bins - 1})", f"least({y}, {bins - 1})"
+        parts.append(f"SELECT '{a}' AS var1, '{b}' AS var2, {x} AS bx, {y} AS \"by\"{f', {value} AS val' if value else ''} FROM t")
+    mean = ", round(avg(val), 6) AS mean_value" if value else ""
+    return f"SELECT var1, var2, bx, \"by\", CAST(count(*) AS BIGINT) AS n{mean} FROM ({' UNION ALL '.join(parts)}) WHERE bx < {bins} AND \"by\" < {bins} GROUP BY ALL"
+
+
+@query(f"WITH t AS MATERIALIZED {stats.CLEAN_SQL} {_hist_sql(50, True, None)}")
+def hist2d_closed(spark: SparkSession, d: str) -> DataFrame:
+    return grids.hist2d(trajectory(spark, d), grids.all_pairs(XS), 50)
+
+
+@query(f"WITH t AS MATERIALIZED (SELECT t.*, s.state FROM {stats.CLEAN_SQL} t JOIN ({state_samples_sql()}) s USING (run_id, t_idx)) {_hist_sql(40, False, 'state')}")
+def hist2d_mean_open(spark: SparkSession, d: str) -> DataFrame:
+    """Mean regime per cell, of samples joined with their regime by run and time."""
+    return rounded(grids.hist2d_mean(trajectory(spark, d).join(regime(spark, d), ["run_id", "t_idx"]), grids.all_pairs(XS), "state", 40))
+
+
+_X2 = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in XS)
+
+
+@query(f"""WITH t AS MATERIALIZED {stats.CLEAN_SQL}
+SELECT a.run_id, a.t_idx, CAST(count(b.run_id) AS BIGINT) AS density FROM t a LEFT JOIN t b ON abs(a.x_1 - b.x_1) <= {RADIUS} AND abs(a.x_2 - b.x_2) <= {RADIUS} AND NOT (a.run_id = b.run_id AND a.t_idx = b.t_idx)
+  AND sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in XS)}) <= {RADIUS} GROUP BY ALL""")
+def radius_density(spark: SparkSession, d: str) -> DataFrame:
+    rows = trajectory(spark, d).withColumn("k", F.struct("run_id", "t_idx"))
+    return density.radius_density(rows, "k", XS, RADIUS).select("k.run_id", "k.t_idx", "density")
+
+
+# ---- model
+
+_SIX = sy.six_mode(g=None)
+_G = [*XS, "g"]
+
+
+@query(f"SELECT run_id, t_idx, {', '.join(f'round({e}, 9) AS dx_{i + 1}' for i, e in enumerate(sy.tendency_sql(_SIX, _G)))} FROM {HEIGHT_SQL}")
+def model_tendency(spark: SparkSession, d: str) -> DataFrame:
+    parts = sy.tendency(_SIX, [F.col(c) for c in _G])
+    return with_height(spark, d).select("run_id", "t_idx", *(F.round(p, 9).alias(f"dx_{i + 1}") for i, p in enumerate(parts)))
+
+
+@query(f"SELECT run_id, t_idx, {', '.join(f'round({e}, 9) AS j_{i + 1}_{j + 1}' for i, r in enumerate(sy.jacobian_sql(_SIX, _G)) for j, e in enumerate(r))} FROM {HEIGHT_SQL}")
+def model_jacobian(spark: SparkSession, d: str) -> DataFrame:
+    cells = sy.jacobian(_SIX, [F.col(c) for c in _G])
+    return with_height(spark, d).select("run_id", "t_idx", *(F.round(c, 9).alias(f"j_{i + 1}_{j + 1}") for i, r in enumerate(cells) for j, c in enumerate(r)))
+
+
+def _euler_sql(s: sy.System, dt: float, steps: int, start: str) -> str:
+    new = []
+    for i in range(s.dim):
+        terms = "".join(f" + CAST({dt * c!r} AS DOUBLE)" + "".join(f" * y_{k + 1}" for k in f) for row, c, f in s.terms if row == i)
+        new.append(f"y_{i + 1}{terms} AS y_{i + 1}")
+    cols = ", ".join(f"y_{i + 1}" for i in range(s.dim))
+    return f"""WITH RECURSIVE r AS (SELECT run_id, t_idx, 0 AS step, {start} FROM {stats.CLEAN_SQL}
+      UNION ALL SELECT run_id, t_idx, step + 1, {", ".join(new)} FROM r WHERE step < {steps})
+    SELECT run_id, t_idx, {", ".join(f"round({c}, 7) AS {c}" for c in cols.split(", "))} FROM r WHERE step = {steps}"""
+
+
+def _euler(spark: SparkSession, d: str, s: sy.System, start: list[Column], dt: float, steps: int) -> DataFrame:
+    y = simulate.euler_column(s, start, dt, steps)
+    return trajectory(spark, d).select("run_id", "t_idx", y.alias("y")).select("run_id", "t_idx", *(F.round(F.col("y")[i], 7).alias(f"y_{i + 1}") for i in range(s.dim)))
+
+
+_L63, _ROS, _L96 = sy.lorenz63(), sy.rossler(), sy.lorenz96(6)
+_THREE = ["CAST(10 AS DOUBLE) * x_1", "CAST(10 AS DOUBLE) * x_2", "CAST(10 AS DOUBLE) * x_3 + 25"]
+
+
+@query(_euler_sql(_L63, 0.005, 20, ", ".join(f"{e} AS y_{i + 1}" for i, e in enumerate(_THREE))))
+def lorenz63_euler(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty Euler steps from every sample, its first three components as start."""
+    return _euler(spark, d, _L63, [F.expr(e) for e in _THREE], 0.005, 20)
+
+
+@query(_euler_sql(_ROS, 0.01, 20, "x_1 AS y_1, x_2 AS y_2, x_3 AS y_3"))
+def rossler_euler(spark: SparkSession, d: str) -> DataFrame:
+    return _euler(spark, d, _ROS, [F.col(c) for c in XS[:3]], 0.01, 20)
+
+
+@query(_euler_sql(_L96, 0.005, 10, ", ".join(f"{c} AS y_{i + 1}" for i, c in enumerate(XS))))
+def lorenz96_euler(spark: SparkSession, d: str) -> DataFrame:
+    return _euler(spark, d, _L96, [F.col(c) for c in XS], 0.005, 10)
+
+
+_NX, _NY = 4, 3
+_PSI = " + ".join(
+    f"{c} * " + (f"sqrt(2.0) * cos({n} * y / 0.5)" if m == 0 else f"sqrt(2.0) * cos({m} * x) * sin({n} * y / 0.5)") for c, (n, m) in zip(XS, grids.PLOT_MODES)
+)
+
+
+@query(f"""SELECT run_id, t_idx, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, round({_PSI}, 6) AS psi FROM (
+  SELECT t.*, ix, iy, ix * (6.283185307179586 / {_NX - 1})::DOUBLE AS x, iy * (1.5707963267948966 / {_NY - 1})::DOUBLE AS y FROM {stats.CLEAN_SQL} t, range({_NX}) a(ix), range({_NY}) b(iy))""")
+def streamfunction(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(grids.streamfunction(trajectory(spark, d), ["run_id", "t_idx"], XS, _NX, _NY))
+
+
+def _coefficient_sql() -> str:
+    c = sy.coefficients(g=1.0)
+    return ", ".join(f"round(CAST({v!r} AS DOUBLE){' * g' if k.startswith('gamma') else ''}, 9) AS {k}" for k, v in c.items())
+
+
+@query(f"SELECT run_id, {_coefficient_sql()} FROM run_info")
+def spectral_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    """The model's coefficients for the orography of every run."""
+    c = sy.coefficients(g=1.0)
+    return table(spark, d, "run_info").select("run_id", *(F.round(F.lit(v) * (F.col("g") if k.startswith("gamma") else F.lit(1.0)), 9).alias(k) for k, v in c.items()))
+
+
+def _orography_sql() -> str:
+    c = sy.coefficients(g=1.0)
+    terms = {(1, 3): c["gammap1"], (3, 1): -c["gamma1"], (4, 6): c["gammap2"], (6, 4): -c["gamma2"]}
+    return " UNION ALL ".join(f"SELECT run_id, {j} AS j, {k} AS k, round(g * CAST({v!r} AS DOUBLE), 9) AS v FROM run_info WHERE g IS NOT NULL" for (j, k), v in terms.items())
+
+
+@query(_orography_sql())
+def orographic_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Orographic terms of every run, derived from the wave modes by their integrals; SQL has them from the formulas."""
+    b = sy.RATIO
+    derived = spectral.orographic_terms(spectral.triads(spectral.mode_table(spark), b), spectral.real_modes(spark, b), b)
+    runs = table(spark, d, "run_info").filter("g IS NOT NULL").select("run_id", "g")
+    # four rows, whatever the tables hold; they go to every run
+    return runs.join(F.broadcast(derived)).select("run_id", "j", "k", F.round(F.col("g") * F.col("v") * F.lit(b**3), 9).alias("v"))
+
+
+@query(f"""SELECT user_id, CAST(max(n) AS INTEGER) AS n, round(sum(pow(CAST({RED} AS DOUBLE), n - i) * CASE WHEN i = 1 THEN 1.0 ELSE sqrt(CAST({1 - RED**2} AS DOUBLE)) END * v), 6) AS last FROM (
+  SELECT user_id, coalesce(CASE WHEN isnan(value) THEN 0 ELSE value END, 0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id""")
+def red_noise_last(spark: SparkSession, d: str) -> DataFrame:
+    got = simulate.red_noise_last(table(spark, d, "events"), "user_id", EVENTS[1], "value", RED)
+    return rounded(got.withColumn("n", F.col("n").cast("int")))
+
+
+# ---- runs and files
+
+def members(spark: SparkSession, d: str) -> DataFrame:
+    """Runs with their settings: orography, noise (a null strength is none), whether it is red."""
+    is_red = F.lower(F.trim("noise_type")).startswith("r")
+    return table(spark, d, "run_info").select("run_id", "g", F.coalesce("sigma", F.lit(0.0)).alias("sigma"), F.coalesce(is_red, F.lit(False)).alias("red"), *(F.lit(v).alias(f"s_{i}") for i, v in enumerate(sy.START)))
+
+
+STARTS = [f"s_{i}" for i in range(6)]
+
+
+@query()
+def simulate_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty samples of every run from a random start with its own noise."""
+    return simulate.simulate(members(spark, d), _SIX, "run_id", 20, 50, 0.002, sigma="sigma", red="red")
+
+
+@query()
+def simulate_rk4(spark: SparkSession, d: str) -> DataFrame:
+    return simulate.simulate(members(spark, d), _SIX, "run_id", 20, 10, 0.1, scheme="rk4", start=STARTS)
+
+
+@query()
+def local_exponents(spark: SparkSession, d: str) -> DataFrame:
+    """Exponents of every sample from the Jacobian there."""
+    return rounded(lyapunov.local_exponents(with_height(spark, d), _SIX, ["run_id", "t_idx"], XS))
+
+
+def _steps(spark: SparkSession, d: str) -> DataFrame:
+    return lyapunov.lyapunov_steps(members(spark, d), _SIX, "run_id", STARTS, 220, 0.1, transient=20)
+
+
+@query()
+def lyapunov_exponents(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lyapunov.final_exponents(_steps(spark, d), "run_id", 6), 5)
+
+
+@query()
+def lyapunov_series(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lyapunov.exponents(_steps(spark, d), "run_id", 6), 5)
+
+
+@query()
+def lyapunov_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lyapunov.ensemble_exponents(lyapunov.final_exponents(_steps(spark, d), "run_id", 6), 6), 5)
+
+
+@query()
+def clv_angles(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lyapunov.vector_angles(lyapunov.covariant_vectors(_steps(spark, d), "run_id", 6, 0.1), "run_id", 6), 4)
+
+
+@query()
+def clv_subspaces(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(lyapunov.subspace_angles(lyapunov.covariant_vectors(_steps(spark, d), "run_id", 6, 0.1), "run_id", 6, 2, 1), 4)
+
+
+@query()
+def reservoir_search(spark: SparkSession, d: str) -> DataFrame:
+    """Best reservoir setting of every run with at least a hundred clean samples."""
+    scores = reservoir.search(trajectory(spark, d), "run_id", XS, [0.5, 0.9], [-1.0, 0.0], [1e-6, 1e-3])
+    return rounded(reservoir.best(scores, "run_id"))
+
+
+@query()
+def hmm_regimes(spark: SparkSession, d: str) -> DataFrame:
+    """Regimes of all samples by a hidden Markov model of three states."""
+    return hmm.regimes(trajectory(spark, d), XS[:3], 3, iterations=8)
+
+
+@query("SELECT DISTINCT run_id FROM run_info WHERE run_id NOT IN (SELECT run_id FROM trajectory WHERE run_id IS NOT NULL)")
+def missing_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Runs of which no sample was kept."""
+    return table(spark, d, "run_info").select("run_id").distinct().join(table(spark, d, "trajectory").select("run_id"), "run_id", "left_anti")
+
+
+@query(f"""SELECT file_id, CASE k WHEN 'dataoro' THEN 'dataOro' WHEN 'ftle' THEN 'ftle' END AS file_kind, CAST(nullif(g, '') AS INTEGER) / 100.0::DOUBLE AS g, CAST(nullif(r, '') AS INTEGER) AS run_id FROM (
+  SELECT file_id, regexp_extract(n, '{sf.NAME}', 1) AS k, regexp_extract(n, '{sf.NAME}', 2) AS g, regexp_extract(n, '{sf.NAME}', 3) AS r FROM (SELECT file_id, lower(file_name) AS n FROM saved_file))""")
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Kind, orography and run that files' names tell."""
+    n = F.lower("file_name")
+    part = lambda i: F.when(F.regexp_extract(n, sf.NAME, i) != "", F.regexp_extract(n, sf.NAME, i).cast("int"))
+    kind = F.regexp_extract(n, sf.NAME, 1)
+    return table(spark, d, "saved_file").select("file_id", F.when(kind == "dataoro", "dataOro").when(kind == "ftle", "ftle").alias("file_kind"), (part(2) / 100.0).alias("g"), part(3).alias("run_id"))
+
+
+@query("SELECT run_id, 'dataOro' || CAST(floor(g * 100 + 0.5) AS INTEGER) || '_' || run_id || '.bin' AS file_name FROM run_info WHERE g IS NOT NULL")
+def run_file_names(spark: SparkSession, d: str) -> DataFrame:
+    runs = table(spark, d, "run_info").filter("g IS NOT NULL")
+    return runs.select("run_id", state_files.file_name(F.lit("dataOro"), F.col("g"), F.col("run_id")).alias("file_name"))
+
+
+@query(f"""SELECT run_id, part, CAST(count(*) AS BIGINT) AS n, min(t_idx) AS first_idx, max(t_idx) AS last_idx FROM (
+  SELECT run_id, t_idx, CASE WHEN t_idx < 50 THEN 'washout' WHEN t_idx < 500 THEN 'train' ELSE 'test' END AS part FROM {stats.CLEAN_SQL}) GROUP BY ALL""")
+def slices(spark: SparkSession, d: str) -> DataFrame:
+    """Washout, training and test rows of each run, by half-open ranges of time."""
+    part = F.when(F.col("t_idx") < 50, "washout").when(F.col("t_idx") < 500, "train").otherwise("test")
+    return trajectory(spark, d).groupBy("run_id", part.alias("part")).agg(F.count("*").alias("n"), F.min("t_idx").alias("first_idx"), F.max("t_idx").alias("last_idx"))
+
+
+@query(f"SELECT DISTINCT label, CAST(st AS INTEGER) AS state FROM (SELECT label, state AS st FROM ({state_samples_sql().replace('SELECT run_id, t_idx, max(st) AS state', 'SELECT label, max(st) AS state').replace('GROUP BY ALL', 'GROUP BY label').replace('SELECT run_id, t_idx, CASE WHEN state BETWEEN 1 AND 4 THEN state', 'SELECT run_id, t_idx, label, CASE WHEN FALSE THEN 0').replace('SELECT run_id, t_idx, state, nullif', 'SELECT run_id, t_idx, label, state, nullif').replace('SELECT run_id, t_idx, state, lower', 'SELECT run_id, t_idx, label, state, lower')}))")
+def categories(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct labels and the state they name."""
+    named = table(spark, d, "regime").filter("run_id IS NOT NULL AND t_idx IS NOT NULL").select("label", label_state(F.col("label")).alias("state"))
+    return named.filter("state IS NOT NULL").distinct()
+
+
+@query("SELECT vec_id, i - 1 AS i, round(CAST(embedding[i] AS DOUBLE) / sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS v FROM (SELECT vec_id, embedding, CAST(unnest(range(1, len(embedding) + 1)) AS INTEGER) AS i FROM embeddings)")
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = normalize(F.col("embedding").cast("array<double>"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("i", "v")).withColumn("v", F.round("v", 6))
