@@ -127,7 +127,7 @@ _LONG = " UNION ALL ".join(f"SELECT '{c}' AS var, {c} AS v FROM t" for c in XS)
 
 
 @query(f"""WITH t AS (SELECT {", ".join(f"CASE WHEN NOT isnan({c}) THEN {c} END AS {c}" for c in XS)} FROM trajectory)
-SELECT var, CAST(count(v) AS BIGINT) AS n, min(v) AS min, max(v) AS max, round(max(v) - min(v), 6) AS range, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms FROM ({_LONG}) GROUP BY var""")
+SELECT var, CAST(count(v) AS BIGINT) AS n, round(min(v), 6) AS min, round(max(v), 6) AS max, round(max(v) - min(v), 6) AS range, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms FROM ({_LONG}) GROUP BY var""")
 def column_ranges(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.ranges(table(spark, d, "trajectory"), XS))
 
