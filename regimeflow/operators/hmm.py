@@ -79,12 +79,13 @@ def fit(df: DataFrame, columns: Sequence[str], n_states: int = 3, key: str = "ru
         raise ValueError("a model needs a state and a column")
     if centers is not None and np.shape(centers) != (n_states, len(columns)):
         raise ValueError("centers need a row per state and a number per column")
+    df = df.filter(" AND ".join([f"{key} IS NOT NULL", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns)]))
     mean, cov = covariance(df, columns)
     std = np.sqrt(np.diag(cov))
     std[std == 0] = 1.0
     scaled = [((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(c) for c, m, s in zip(columns, mean, std)]
     seq = F.lit(0).cast("bigint") if single_sequence else F.col(key).cast("bigint")
-    rows = df.filter(" AND ".join([f"{key} IS NOT NULL", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns)])).select(seq.alias("_seq"), F.col(order).cast("bigint").alias("_t"), *scaled, F.col(key).alias("_key"))
+    rows = df.select(seq.alias("_seq"), F.col(order).cast("bigint").alias("_t"), *scaled, F.col(key).alias("_key"))
     rows = materialize(rows.repartition("_seq").sortWithinPartitions("_seq", "_key", "_t"), "hmm")
     rows = rows.repartition("_seq").sortWithinPartitions("_seq", "_key", "_t")
     d, k = len(columns), n_states
