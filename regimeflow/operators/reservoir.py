@@ -76,12 +76,13 @@ def train(r: Reservoir, series: np.ndarray, washout: int, tikhonov: Sequence[flo
     return [np.linalg.solve(a + t * np.eye(n), b) for t in tikhonov]
 
 
-def search(series: DataFrame, key: str, columns: Sequence[str], rho: Sequence[float], log_sigma: Sequence[float], tikhonov: Sequence[float], units: int = 50, realizations: int = 1, washout: int = 20, horizon: int = 10, folds: int = 4, least: int = 100, seed: int = 0) -> DataFrame:
+def search(series: DataFrame, key: str, columns: Sequence[str], rho: Sequence[float], log_sigma: Sequence[float], tikhonov: Sequence[float], units: int = 50, realizations: int = 1, washout: int = 20, horizon: int = 10, folds: int = 4, least: int = 100, seed: int = 0, settings: DataFrame | None = None) -> DataFrame:
     """(key, realization, rho, log10_sigma_in, tikh, score, n) of every setting on the grid, for series of `least` rows or more.
 
     Score: mean log10 of the squared error, over the series's variance, of closed-loop forecasts of `horizon` steps from
     `folds` places of the series ("recycle" validation: the training data serve again). `series` has a row a step, in
-    order of t_idx; rows with nulls or NaN are left out before."""
+    order of t_idx; rows with nulls or NaN are left out before. With `settings` (key, realization, rho, log10_sigma_in)
+    each series has its own settings instead of the grid's."""
 
     def score(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -102,9 +103,12 @@ def search(series: DataFrame, key: str, columns: Sequence[str], rho: Sequence[fl
         return pd.DataFrame(out, columns=names)
 
     names = [key, "realization", "rho", "log10_sigma_in", "tikh", "score", "n"]
-    settings = F.array(*(F.struct(F.lit(i).alias("realization"), F.lit(float(a)).alias("rho"), F.lit(float(b)).alias("log10_sigma_in")) for i in range(realizations) for a in rho for b in log_sigma))
-    good = series.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns))
-    units_of_work = good.select(F.col(key).cast("bigint").alias(key), "t_idx", *columns, F.explode(settings).alias("s")).select(key, "t_idx", *columns, "s.*")
+    good = series.filter(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in columns)).select(F.col(key).cast("bigint").alias(key), "t_idx", *columns)
+    if settings is None:
+        grid = F.array(*(F.struct(F.lit(i).alias("realization"), F.lit(float(a)).alias("rho"), F.lit(float(b)).alias("log10_sigma_in")) for i in range(realizations) for a in rho for b in log_sigma))
+        units_of_work = good.select(key, "t_idx", *columns, F.explode(grid).alias("s")).select(key, "t_idx", *columns, "s.*")
+    else:
+        units_of_work = good.join(settings.select(key, "realization", "rho", "log10_sigma_in"), key)
     schema = f"{key} bigint, realization int, rho double, log10_sigma_in double, tikh double, score double, n bigint"
     return units_of_work.groupBy(key, "realization", "rho", "log10_sigma_in").applyInPandas(score, schema)
 

@@ -11,10 +11,10 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import label_state, state_samples, state_samples_sql, table
+from ..common import label_state, materialize, state_samples, state_samples_sql, table
 from ..functions import systems as sy
 from ..functions.vectors import normalize
-from ..operators import density, grids, hmm, lyapunov, reservoir, simulate, spectral, stats
+from ..operators import density, forecast, grids, hmm, lyapunov, reservoir, simulate, spectral, stats
 from ..operators import episodes as ep
 from ..sources import saved_files as sf
 from ..sources import state_files
@@ -428,3 +428,29 @@ def categories(spark: SparkSession, d: str) -> DataFrame:
 def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
     v = normalize(F.col("embedding").cast("array<double>"))
     return table(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("i", "v")).withColumn("v", F.round("v", 6))
+
+
+_GRID = ([0.5, 0.9], [-1.0, 0.0], [1e-6, 1e-3])
+
+
+@query()
+def reservoir_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """Horizon of the forecast of each run's last 20 samples, and the closed loop's exponents."""
+    series = trajectory(spark, d)
+    best = reservoir.best(materialize(reservoir.search(series, "run_id", XS, *_GRID), "scores"), "run_id")
+    made = materialize(forecast.forecast(series, best, "run_id", XS, 20), "forecast")
+    return rounded(forecast.first_exceedance(made, "run_id").join(forecast.forecast_exponents(made, "run_id", 6, 1.0), ["run_id", "realization"]), 5)
+
+
+@query()
+def reservoir_refined(spark: SparkSession, d: str) -> DataFrame:
+    """Best setting of each run after two settings more, chosen by a Gaussian process."""
+    series = trajectory(spark, d)
+    scores = reservoir.search(series, "run_id", XS, *_GRID)
+    return rounded(reservoir.best(forecast.refine(series, scores, "run_id", XS, _GRID[2], rounds=2), "run_id"))
+
+
+@query()
+def noisy_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Samples with seeded noise of a hundredth of each column's deviation."""
+    return rounded(forecast.with_noise(trajectory(spark, d), XS, 0.01, ["run_id", "t_idx"]))
