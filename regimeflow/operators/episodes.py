@@ -1,7 +1,11 @@
 """Runs of equal states in ordered sequences: episodes, remaining times, transitions, horizons.
 
-All operators take an `entity` column (a run), order columns and a state column, and partition by the entity, so time
-runs within an entity only. A null state is a state of its own (compared null-safe).
+The operators take an `entity` column (a run), order columns and a state column; time runs within an entity only. A
+null state is a state of its own (compared null-safe).
+
+One entity may hold a third of all rows, so none is ordered whole: rows fall into blocks by their first order column
+(BLOCK_ROWS steps of a number, a day of a timestamp), each block is ordered by itself, and what passes from a block to
+the next (its last state, how many rows and changes it has) is carried over in a table of one row per block.
 """
 
 from __future__ import annotations
@@ -11,21 +15,69 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _order(order: Sequence[str]) -> list[Column]:
-    return [F.col(c) for c in order]
+BLOCK_ROWS, BLOCK_SECONDS = 65_536, 86_400
+
+
+def block_of(df: DataFrame, order: Sequence[str]) -> Column:
+    """Block of a row: never falls along the order; rows without a first order value come first, as in a sort."""
+    kind = dict(df.dtypes)[order[0]]
+    c = F.col(order[0])
+    if kind.startswith("timestamp"):
+        at = F.floor(F.unix_timestamp(c) / BLOCK_SECONDS)
+    elif kind in ("tinyint", "smallint", "int", "bigint"):
+        at = F.floor(c / BLOCK_ROWS)
+    else:
+        at = F.lit(0)
+    return F.coalesce(at.cast("bigint"), F.lit(-(1 << 62)))
+
+
+def numbered(df: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
+    """Adds rn: 0-based place of a row in its entity's sequence. Rows that tie in all order columns come in any order."""
+    w = Window.partitionBy(entity, "_b").orderBy(*order)
+    local = df.withColumn("_b", block_of(df, order)).withColumn("_i", F.row_number().over(w) - 1)
+    sizes = local.groupBy(entity, "_b").agg(F.count("*").alias("_n"))
+    upto = Window.partitionBy(entity).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(entity).alias("_e"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    joined = local.join(sizes, local[entity].eqNullSafe(sizes["_e"]) & (local["_b"] == sizes["_c"]))
+    return joined.withColumn("rn", (F.col("_before") + F.col("_i")).cast("bigint")).select(*df.columns, "rn")
+
+
+def _chained(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
+    """df with _b, rn, _new (whether the state differs from the row before), _next and _has_next of the row after, and
+    the number of changes up to the row in _ep."""
+    w = Window.partitionBy(entity, "_b").orderBy(*order)
+    i = F.row_number().over(w)
+    local = (
+        df.withColumn("_b", block_of(df, order)).withColumn("_i", i - 1)
+        .withColumn("_new", F.when((i > 1) & F.lag(state).over(w).eqNullSafe(F.col(state)), 0).otherwise(1))
+        .withColumn("_next", F.lead(state).over(w)).withColumn("_in", F.lead(F.lit(1)).over(w))
+        .withColumn("_ch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    # the block's first row counts as new in _ch; whether it is, the block before tells
+    ends = local.groupBy(entity, "_b").agg(
+        F.count("*").alias("_n"), F.sum("_new").alias("_k"),
+        F.max(F.when(F.col("_i") == 0, F.struct(F.col(state).alias("s")))).alias("_first"), F.max(F.when(F.col("_in").isNull(), F.struct(F.col(state).alias("s")))).alias("_last"),
+    )
+    chain = Window.partitionBy(entity).orderBy("_b")
+    upto = chain.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.lag("_last").over(chain)
+    ends = ends.withColumn("_same", F.when(before.isNotNull() & before["s"].eqNullSafe(F.col("_first")["s"]), 1).otherwise(0))
+    ends = ends.select(
+        F.col(entity).alias("_e"), F.col("_b").alias("_c"), "_same", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_rows"),
+        (F.coalesce(F.sum(F.col("_k") - F.col("_same")).over(upto), F.lit(0)) - F.col("_same")).alias("_eps"), F.lead("_first").over(chain).alias("_after"),
+    )
+    rows = local.join(ends, local[entity].eqNullSafe(ends["_e"]) & (local["_b"] == ends["_c"]))
+    return (
+        rows.withColumn("rn", (F.col("_rows") + F.col("_i")).cast("bigint"))
+        .withColumn("_ep", (F.col("_eps") + F.col("_ch")).cast("bigint"))
+        .withColumn("_has_next", F.col("_in").isNotNull() | F.col("_after").isNotNull())
+        .withColumn("_next", F.when(F.col("_in").isNotNull(), F.col("_next")).otherwise(F.col("_after")["s"]))
+    )
 
 
 def with_episode(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
     """Adds rn (0-based place in the sequence) and episode_id (0-based number of the run of equal states)."""
-    w = Window.partitionBy(entity).orderBy(*_order(order))
-    changed = F.when(F.lag(state).over(w).eqNullSafe(F.col(state)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return (
-        df.withColumn("changed", changed)
-        .withColumn("rn", (F.row_number().over(w) - 1).cast("bigint"))
-        .withColumn("episode_id", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint") - 1)
-        .drop("changed")
-    )
+    return _chained(df, entity, order, state).withColumn("episode_id", F.col("_ep") - 1).select(*df.columns, "rn", "episode_id")
 
 
 def episodes(df: DataFrame, entity: str, order: Sequence[str], state: str, dt: float = 1.0) -> DataFrame:
@@ -48,48 +100,56 @@ def episode_stats(eps: DataFrame, state: str) -> DataFrame:
     )
 
 
+def _with_ends(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
+    """with_episode and _end: place of the last row of the row's episode, by a join with one row per episode."""
+    marked = with_episode(df, entity, order, state)
+    ends = marked.groupBy(F.col(entity).alias("_e"), F.col("episode_id").alias("_c")).agg(F.max("rn").alias("_end"))
+    return marked.join(ends, marked[entity].eqNullSafe(ends["_e"]) & (marked["episode_id"] == ends["_c"])).drop("_e", "_c")
+
+
 def remaining_time(df: DataFrame, entity: str, order: Sequence[str], state: str, target, dt: float = 1.0) -> DataFrame:
     """Adds `remaining`: time to the end of the run at every row in the target state, this row included; null elsewhere.
 
     The last run ends with the data. A target that never occurs gives nulls throughout.
     """
-    ep = Window.partitionBy(entity, "episode_id")
-    left = F.count("*").over(ep) - F.row_number().over(ep.orderBy("rn")) + 1
-    return with_episode(df, entity, order, state).withColumn("remaining", F.when(F.col(state) == target, left * F.lit(float(dt))))
+    left = F.col("_end") - F.col("rn") + 1
+    rows = _with_ends(df, entity, order, state).withColumn("remaining", F.when(F.col(state) == target, left * F.lit(float(dt))))
+    return rows.drop("_end")
 
 
 def steps_to_change(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
     """Adds `steps`: rows until the state changes next; 0 throughout the last run of an entity."""
-    marked = with_episode(df, entity, order, state)
-    by_entity, ep = Window.partitionBy(entity), Window.partitionBy(entity, "episode_id")
-    last = F.max("episode_id").over(by_entity) == F.col("episode_id")
-    return marked.withColumn("steps", F.when(last, F.lit(0)).otherwise(F.max("rn").over(ep) + 1 - F.col("rn")).cast("bigint"))
+    rows = _with_ends(df, entity, order, state)
+    size = df.groupBy(F.col(entity).alias("_e")).agg((F.count("*") - 1).alias("_size"))
+    rows = rows.join(size, rows[entity].eqNullSafe(size["_e"]))
+    steps = F.when(F.col("_end") == F.col("_size"), F.lit(0)).otherwise(F.col("_end") + 1 - F.col("rn")).cast("bigint")
+    return rows.withColumn("steps", steps).drop("_e", "_end", "_size")
 
 
 def transition_matrix(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
     """from_state, to_state, n, p: how often a state follows another in a sequence, and its share of all that follow."""
-    w = Window.partitionBy(entity).orderBy(*_order(order))
-    pairs = df.select(F.col(state).alias("from_state"), F.lead(state).over(w).alias("to_state"), F.lead(F.lit(1)).over(w).alias("has"))
-    counts = pairs.filter("has = 1").groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+    pairs = _chained(df.select(entity, *order, state), entity, order, state).filter("_has_next")
+    counts = pairs.groupBy(F.col(state).alias("from_state"), F.col("_next").alias("to_state")).agg(F.count("*").alias("n"))
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("from_state")))
 
 
 def horizon(df: DataFrame, entity: str, order: Sequence[str], error: Column, threshold: float, per_unit: float = 1.0) -> DataFrame:
     """Per entity: 0-based place of the first error above the threshold, or the sequence's length if there is none,
     divided by `per_unit` (steps in a unit of time). A null error is not above it."""
-    w = Window.partitionBy(entity).orderBy(*_order(order))
-    marked = df.select(entity, (F.row_number().over(w) - 1).alias("i"), error.alias("e"))
-    first = F.coalesce(F.min(F.when(F.col("e") > threshold, F.col("i"))), F.count("*"))
+    marked = numbered(df.select(entity, *order, error.alias("_error")), entity, order)
+    first = F.coalesce(F.min(F.when(F.col("_error") > threshold, F.col("rn"))), F.count("*"))
     return marked.groupBy(entity).agg((first / F.lit(float(per_unit))).alias("horizon"))
 
 
 def episode_histogram(eps: DataFrame, state: str, dt: float = 1.0) -> DataFrame:
     """Per state: number of episodes by unit bins of the duration from the state's least one; a last bin of which the
-    right edge is closed takes the largest duration."""
-    least = F.min("duration").over(Window.partitionBy(state))
-    bins = F.greatest(F.ceil(F.max("duration").over(Window.partitionBy(state)) - least), F.lit(1))
-    at = F.least(F.floor(F.col("duration") - least), bins - 1).cast("bigint")
-    return eps.select(state, at.alias("bin"), least.alias("lo")).groupBy(state, "bin", "lo").agg(F.count("*").alias("n"))
+    right edge is closed takes the largest duration. Bins have the width 1 whatever dt is."""
+    ends = eps.groupBy(F.col(state).alias("_s")).agg(F.min("duration").alias("lo"), F.max("duration").alias("_hi"))
+    rows = eps.groupBy(state, "duration").agg(F.count("*").alias("_m"))
+    rows = rows.join(ends, rows[state].eqNullSafe(ends["_s"]))
+    bins = F.greatest(F.ceil(F.col("_hi") - F.col("lo")), F.lit(1))
+    at = F.least(F.floor(F.col("duration") - F.col("lo")), bins - 1).cast("bigint")
+    return rows.groupBy(state, at.alias("bin"), "lo").agg(F.sum("_m").alias("n"))
 
 
 def regime_report(df: DataFrame, entity: str, order: Sequence[str], state: str, dt: float = 1.0) -> DataFrame:

@@ -12,10 +12,11 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import arrow_groups, materialize
+from ..common import arrow_groups
 from .stats import covariance
 
 
@@ -86,8 +87,8 @@ def fit(df: DataFrame, columns: Sequence[str], n_states: int = 3, key: str = "ru
     scaled = [((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(c) for c, m, s in zip(columns, mean, std)]
     seq = F.lit(0).cast("bigint") if single_sequence else F.col(key).cast("bigint")
     rows = df.select(seq.alias("_seq"), F.col(order).cast("bigint").alias("_t"), *scaled, F.col(key).alias("_key"))
-    rows = materialize(rows.repartition("_seq").sortWithinPartitions("_seq", "_key", "_t"), "hmm")
-    rows = rows.repartition("_seq").sortWithinPartitions("_seq", "_key", "_t")
+    # shuffled once for all iterations; a lost executor's part is made again from the source
+    rows = rows.repartition("_seq").sortWithinPartitions("_seq", "_key", "_t").persist(StorageLevel.MEMORY_AND_DISK)
     d, k = len(columns), n_states
     if centers is None:
         centers = np.zeros((k, d))

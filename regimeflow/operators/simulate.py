@@ -10,10 +10,11 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.systems import START_BOX, System, np_tendency
+from .episodes import numbered
 
 SCHEMES = ("midpoint", "euler_maruyama", "euler", "rk4")
 #: Members that are integrated side by side.
@@ -128,8 +129,9 @@ def red_noise_last(df: DataFrame, key: str, order: Sequence[str], white: str, r:
 
     The recurrence is a weighted sum over the rows, so it is a plain aggregate after their ranks are known; nulls and
     NaN count as 0."""
-    w = Window.partitionBy(key).orderBy(*order)
     v = F.when(F.isnan(white), F.lit(0.0)).otherwise(F.coalesce(F.col(white).cast("double"), F.lit(0.0)))
-    ranked = df.select(key, v.alias("v"), F.row_number().over(w).alias("i"), F.count("*").over(Window.partitionBy(key)).alias("n"))
+    ranked = numbered(df.select(key, *order, v.alias("_v")), key, order).select(key, F.col("_v").alias("v"), (F.col("rn") + 1).alias("i"))
+    sizes = ranked.groupBy(F.col(key).alias("_e")).agg(F.count("*").alias("n"))
+    ranked = ranked.join(sizes, ranked[key].eqNullSafe(sizes["_e"]))
     part = F.pow(F.lit(float(r)), F.col("n") - F.col("i")) * F.when(F.col("i") == 1, F.lit(1.0)).otherwise(F.lit(float(np.sqrt(1 - r * r)))) * F.col("v")
     return ranked.groupBy(key).agg(F.max("n").alias("n"), F.sum(part).alias("last"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..common import KEY
+from .episodes import numbered
 
 XS = [f"x_{i}" for i in range(1, 7)]
 
@@ -43,8 +44,9 @@ def standardize(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def lead_pairs(df: DataFrame, columns: Sequence[str], by: str = "run_id", order: str = "t_idx") -> DataFrame:
     """Supervised pairs: each row with the columns of the next one of the same run as next_<column>; the last has none."""
-    w = Window.partitionBy(by).orderBy(order)
-    return df.withColumns({f"next_{c}": F.lead(c).over(w) for c in columns}).filter(F.col(f"next_{columns[0]}").isNotNull())
+    here = numbered(df, by, [order])
+    after = here.select(F.col(by).alias("_e"), (F.col("rn") - 1).alias("_rn"), *(F.col(c).alias(f"next_{c}") for c in columns))
+    return here.join(after, here[by].eqNullSafe(after["_e"]) & (here["rn"] == after["_rn"])).select(*df.columns, *(f"next_{c}" for c in columns))
 
 
 def gram(df: DataFrame, xs: Sequence[Column], ys: Sequence[Column] | None = None) -> DataFrame:

@@ -43,6 +43,39 @@ def test_steps_to_change_and_invariants(spark):
     assert sum(r.share for r in report) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("block", [1, 3, 7])
+def test_blocks_change_nothing(spark, monkeypatch, block):
+    import random
+
+    rng = random.Random(block)
+    runs = [[rng.choice([1, 1, 1, 2, None]) for _ in range(rng.randrange(1, 40))] for _ in range(6)] + [[5] * 30]
+    df = seq(spark, *runs)
+
+    def results():
+        return [
+            sorted(map(str, f.collect()))
+            for f in (
+                ep.episodes(df, *ARGS), ep.with_episode(df, *ARGS), ep.remaining_time(df, *ARGS, target=1), ep.steps_to_change(df, *ARGS),
+                ep.transition_matrix(df, *ARGS), ep.horizon(df, "run_id", ["t_idx"], F.col("state"), 1.5), ep.numbered(df, "run_id", ["t_idx"]),
+            )
+        ]
+
+    whole = results()
+    monkeypatch.setattr(ep, "BLOCK_ROWS", block)
+    assert results() == whole
+    lens = {(r.run_id, r.start_idx): r.len for r in ep.episodes(df, *ARGS).collect()}
+    assert lens[6, 0] == 30 and sum(lens.values()) == sum(map(len, runs))
+
+
+def test_timestamps_and_missing_order(spark):
+    import datetime as dt
+
+    rows = [(1, dt.datetime(2024, 1, d), s) for d, s in ((1, 1), (2, 1), (3, 2))] + [(1, None, 1), (None, dt.datetime(2024, 1, 1), 1)]
+    df = spark.createDataFrame(rows, "run_id int, ts timestamp, state int")
+    got = sorted(((r.run_id, r.start_idx, r.len, r.state) for r in ep.episodes(df, "run_id", ["ts"], "state").collect()), key=str)
+    assert got == [(1, 0, 3, 1), (1, 3, 1, 2), (None, 0, 1, 1)]
+
+
 def test_transitions(spark):
     got = {(r.from_state, r.to_state): (r.n, r.p) for r in ep.transition_matrix(seq(spark, [1, 1, 2, 1], [2, 2]), *ARGS).collect()}
     assert got == {(1, 1): (1, 0.5), (1, 2): (1, 0.5), (2, 1): (1, 0.5), (2, 2): (1, 0.5)}
