@@ -178,19 +178,23 @@ def neighbourhoods(points: DataFrame, centres: np.ndarray, radius: float, block_
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell, i, j, own, guest, rep, f, w, hs in arrow_groups(batches, 3):
             x = matrix(f) - held.value[0][cell[0]]
-            sq, r2 = (x**2).sum(1), radius * radius
-            low, deg, sums = rep.copy(), np.zeros(len(rep), np.int64), np.zeros(len(rep), np.int64)
-            for a in range(0, len(rep), 1000):
+            sq, r2, n = (x**2).sum(1), radius * radius, len(rep)
+            low, deg, sums = rep.copy(), np.zeros(n, np.int64), np.zeros(n, np.int64)
+            # weights and hashes in parts whose sums are exact in doubles
+            parts = np.c_[w, hs & (1 << 26) - 1, hs >> 26].astype(float)
+            for a in range(0, n, 1000):
                 s = slice(a, a + 1000)
                 near = sq[s, None] + sq - 2 * (x[s] @ x.T) <= r2
                 near &= ~(guest[s, None] & guest)
                 near[np.arange(near.shape[0]), np.arange(a, a + near.shape[0])] = False
                 if i[0] != j[0]:
                     near &= own[s, None] != own
-                at, to = np.nonzero(near)
-                np.minimum.at(low, at + a, rep[to])
-                deg[s] += np.bincount(at, weights=w[to], minlength=near.shape[0]).astype(np.int64)
-                np.add.at(sums, at + a, hs[to])
+                at = np.flatnonzero(near.any(1))
+                if len(at):
+                    near = near[at]
+                    got = (near.astype(float) @ parts).astype(np.int64)
+                    low[at + a] = np.minimum(low[at + a], np.where(near, rep, np.iinfo(np.int64).max).min(1))
+                    deg[at + a], sums[at + a] = got[:, 0], got[:, 1] + (got[:, 2] << 26)
             some = deg > 0
             if some.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[some]) for c in (rep, low, deg, sums)], ["rep", "low", "deg", "hs"])

@@ -106,8 +106,9 @@ def budgets(rows: DataFrame, sources: list[dict]) -> tuple[list[dict], float]:
 
     A source's weight spreads over its languages by their tokens, so each leaf of a source has the same share to cap.
     """
-    tokens = {(r["name"], r["lang"]): r["t"] for r in rows.groupBy("name", "lang").agg(F.sum("n_tokens").alias("t")).collect()}
-    total = float(sum(t or 0 for t in tokens.values()))
+    known = F.when(F.col("name").isin([s["name"] for s in sources]), F.col("name"))  # unknown names are one, however many
+    tokens = {(r["name"], r["lang"]): r["t"] or 0 for r in rows.groupBy(known.alias("name"), "lang").agg(F.sum("n_tokens").alias("t")).collect()}
+    total = float(sum(tokens.values()))
     leaves = []
     for s in sources:
         own = {lang: t for (name, lang), t in tokens.items() if name == s["name"]}

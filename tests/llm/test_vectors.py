@@ -55,6 +55,18 @@ def test_a_third_of_all_rows_are_copies(spark):
     assert {tuple(r) for r in near_pairs(vectors).collect()} == pairs
 
 
+def test_a_third_of_all_rows_are_one_crowded_group(spark):
+    rng = np.random.default_rng(8)
+    x = np.vstack([rng.normal(scale=4, size=(1500, 20)), rng.normal(scale=0.05, size=(1500, 20)) + 3, rng.normal(scale=0.05, size=(4, 20)) - 3])
+    x = x[rng.permutation(len(x))]
+    got = {}
+    for g, v in similar_groups(hashed_vectors(table(spark, x)), block_rows=400).collect():
+        got.setdefault(g, set()).add(v)
+    big = {i + 1 for i in range(len(x)) if abs(x[i] - 3).max() < 0.5}
+    few = {i + 1 for i in range(len(x)) if abs(x[i] + 3).max() < 0.5}
+    assert got == {min(big): big, min(few): few}
+
+
 def test_rows_without_a_whole_vector_take_no_part(spark):
     v = [0.5] * 20
     df = table(spark, [v, None, v[:19], v[:19] + [None], v[:19] + [float("nan")], v[:19] + [float("inf")], v, [-0.0] * 20, [0.0] * 20])
