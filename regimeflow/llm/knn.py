@@ -27,7 +27,7 @@ K = 5
 #: Rows of the sample for the planes, at most; trees; rows a leaf shall have; sample rows a leaf has at least.
 SAMPLE, TREES, LEAF_ROWS, LEAF_SAMPLE = 50_000, 6, 512, 8
 #: Leaves looked up for a row: for pairs within a radius, and in a search without one.
-NEAR_VISITS, VISITS = 10, 48
+NEAR_VISITS, VISITS = 10, 96
 SEED = 11
 
 
