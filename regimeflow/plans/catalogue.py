@@ -60,7 +60,7 @@ HEIGHT_SQL = f"(SELECT t.*, r.g FROM {stats.CLEAN_SQL} t JOIN run_info r USING (
 
 # ---- episodes
 
-_EV = "SELECT user_id AS entity, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS rn FROM events"
+_EV = "SELECT user_id AS entity, event_type AS state, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1 AS rn FROM events"
 _RG = f"SELECT run_id AS entity, state, t_idx, row_number() OVER (PARTITION BY run_id ORDER BY t_idx) - 1 AS rn FROM ({state_samples_sql()})"
 
 
@@ -105,7 +105,7 @@ def transition_matrix(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT user_id, coalesce(min(CASE WHEN value > {FAR} THEN i END), count(*)) / {PER_UNIT} AS horizon FROM (
-  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events) GROUP BY user_id""")
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) - 1 AS i FROM events) GROUP BY user_id""")
 def prediction_horizon(spark: SparkSession, d: str) -> DataFrame:
     return ep.horizon(table(spark, d, "events"), "user_id", EVENTS[1], F.col("value"), FAR, PER_UNIT)
 
@@ -311,7 +311,7 @@ def orographic_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""SELECT user_id, CAST(max(n) AS INTEGER) AS n, round(sum(pow(CAST({RED} AS DOUBLE), n - i) * CASE WHEN i = 1 THEN 1.0 ELSE sqrt(CAST({1 - RED**2} AS DOUBLE)) END * v), 6) AS last FROM (
-  SELECT user_id, coalesce(CASE WHEN isnan(value) THEN 0 ELSE value END, 0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id""")
+  SELECT user_id, coalesce(CASE WHEN isnan(value) THEN 0 ELSE value END, 0) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts NULLS FIRST, event_id NULLS FIRST) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY user_id""")
 def red_noise_last(spark: SparkSession, d: str) -> DataFrame:
     got = simulate.red_noise_last(table(spark, d, "events"), "user_id", EVENTS[1], "value", RED)
     return rounded(got.withColumn("n", F.col("n").cast("int")))
@@ -387,10 +387,10 @@ def hmm_regimes(spark: SparkSession, d: str) -> DataFrame:
     return hmm.regimes(trajectory(spark, d), XS[:3], 3, iterations=8)
 
 
-@query("SELECT DISTINCT run_id FROM run_info WHERE run_id NOT IN (SELECT run_id FROM trajectory WHERE run_id IS NOT NULL)")
+@query("SELECT DISTINCT run_id FROM run_info WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM trajectory WHERE run_id IS NOT NULL)")
 def missing_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of which no sample was kept."""
-    return table(spark, d, "run_info").select("run_id").distinct().join(table(spark, d, "trajectory").select("run_id"), "run_id", "left_anti")
+    return table(spark, d, "run_info").select("run_id").dropna().distinct().join(table(spark, d, "trajectory").select("run_id"), "run_id", "left_anti")
 
 
 @query(f"""SELECT file_id, CASE k WHEN 'dataoro' THEN 'dataOro' WHEN 'ftle' THEN 'ftle' END AS file_kind, CAST(nullif(g, '') AS INTEGER) / 100.0::DOUBLE AS g, CAST(nullif(r, '') AS INTEGER) AS run_id FROM (
@@ -403,9 +403,9 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "saved_file").select("file_id", F.when(kind == "dataoro", "dataOro").when(kind == "ftle", "ftle").alias("file_kind"), (part(2) / 100.0).alias("g"), part(3).alias("run_id"))
 
 
-@query("SELECT run_id, 'dataOro' || CAST(floor(g * 100 + 0.5) AS INTEGER) || '_' || run_id || '.bin' AS file_name FROM run_info WHERE g IS NOT NULL")
+@query("SELECT run_id, 'dataOro' || CAST(floor(g * 100 + 0.5) AS INTEGER) || '_' || run_id || '.bin' AS file_name FROM run_info WHERE g IS NOT NULL AND run_id IS NOT NULL")
 def run_file_names(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "run_info").filter("g IS NOT NULL")
+    runs = table(spark, d, "run_info").filter("g IS NOT NULL AND run_id IS NOT NULL")
     return runs.select("run_id", state_files.file_name(F.lit("dataOro"), F.col("g"), F.col("run_id")).alias("file_name"))
 
 
