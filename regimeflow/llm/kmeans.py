@@ -242,7 +242,7 @@ def similar_groups(vectors: DataFrame, radius: float = RADIUS, k: int | None = N
     copied = reps.filter("w > 1").select("cluster_id", "rep")
     others = (
         vectors.join(points.filter("w > 1").select("f", "rep"), "f").filter("vec_id <> rep")
-        .join(copied, "rep").select("cluster_id", "vec_id")
+        .join(copied, "rep").select("cluster_id", "vec_id").distinct()
     )
     return reps.select("cluster_id", F.col("rep").alias("vec_id")).unionByName(others)
 
@@ -250,7 +250,7 @@ def similar_groups(vectors: DataFrame, radius: float = RADIUS, k: int | None = N
 def describe(groups: DataFrame, snaps: DataFrame, typical: int = 3) -> DataFrame:
     """Per cluster: size, regime (the most frequent state, of equally frequent ones the smallest; null if none is given),
     spread (mean distance to the centre) and the ids of its most typical members, the nearest to the centre first."""
-    x = groups.join(snaps.select("vec_id", "state", "vec"), "vec_id")
+    x = groups.join(snaps.select("vec_id", "state", "vec").dropDuplicates(["vec_id"]), "vec_id")
     parts = [F.col("vec")[i] for i in range(DIMS)]
     centre = x.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*(F.avg(p) for p in parts)).alias("centre"))
     dist = F.sqrt(F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))

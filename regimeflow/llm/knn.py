@@ -187,13 +187,13 @@ def nearest_rows(vectors: DataFrame, k: int = K, visits: int = VISITS, radius: f
     A table without rows, or with one, gives no rows.
     """
     asks = F.max(F.col("vec_id") % queries == 0)
-    points = materialize(vectors.groupBy("f").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), asks.alias("asks")), "points")
+    points = materialize(vectors.distinct().groupBy("f").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), asks.alias("asks")), "points")
     n = points.count()
     if not n:
         return vectors.select("vec_id", F.col("vec_id").alias("other"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).limit(0)
     copied = points.filter("w > 1").select("f", "rep", "w")
     # all copies by the id of the first; of each vector with copies the k + 1 smallest ids stand for all
-    members = materialize(vectors.join(copied, "f").select("rep", "vec_id"), "copies")
+    members = materialize(vectors.join(copied, "f").select("rep", "vec_id").distinct(), "copies")
     few = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("vec_id"))).filter(F.col("r") <= k + 1).drop("r")
     near = nearest_reps(points, n, k, visits, radius, **index)
     to = near.join(few.select(F.col("rep").alias("b"), F.col("vec_id").alias("o")), "b", "left").select("a", F.coalesce("o", "b").alias("other"), "d2")

@@ -129,7 +129,8 @@ def mixture(rows: DataFrame, leaves: list[dict], seed: int = SEED) -> DataFrame:
     """(doc_id, source, lang, n_tokens, uses): how often each mail of a known source is used, at most `max_repeats` times.
 
     A leaf's budget of b tokens is b // tokens whole epochs and a prefix of the next; a mail belongs to the prefix if
-    all mails before it and itself fit. Mails without tokens are used in whole epochs only.
+    all mails before it and itself fit. Mails without tokens are used in whole epochs only. Rows without an id can't be
+    named, so they are in no mixture, though their tokens count in the total.
     """
     spark = rows.sparkSession
     plan = []
@@ -139,7 +140,7 @@ def mixture(rows: DataFrame, leaves: list[dict], seed: int = SEED) -> DataFrame:
         plan.append((x["name"], x["lang"], x["source"], whole, int(x["budget"] - whole * x["tokens"]) if whole < x["repeats"] else 0))
     schema = "name string, lang string, source string, epochs int, rest bigint"
     plan_df = F.broadcast(spark.createDataFrame(plan, schema))  # a row per leaf
-    keyed = rows.join(plan_df, ["name", "lang"]).withColumn("h", F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id")))
+    keyed = rows.filter("doc_id IS NOT NULL").join(plan_df, ["name", "lang"]).withColumn("h", F.xxhash64(F.lit(seed), F.col("epochs"), F.col("doc_id")))
     keyed = keyed.withColumn("bin", F.pmod(F.shiftright("h", 40), F.lit(BINS)).cast("int"))
     upto = Window.partitionBy("name", "lang").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = (

@@ -221,7 +221,7 @@ def packed_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mails that the packing had to split."""
-    return packed_mails(spark, sf_dir).filter("part = 2").select("doc_id")
+    return packed_mails(spark, sf_dir).filter("part = 2").select("doc_id").distinct()
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,8 +71,9 @@ def id_hash(c: Column) -> Column:
 
 
 def without_copies(vectors: DataFrame) -> DataFrame:
-    """(rep, f, w, hs): each distinct vector with its smallest id, its number of rows and the sum of their ids' hashes."""
-    return vectors.groupBy("f").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.sum(id_hash(F.col("vec_id"))).alias("hs"))
+    """(rep, f, w, hs): each distinct vector with its smallest id, its number of ids and the sum of their hashes. Rows
+    that repeat id and vector count once."""
+    return vectors.distinct().groupBy("f").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.sum(id_hash(F.col("vec_id"))).alias("hs"))
 
 
 def matrix(cells: np.ndarray, width: int = WIDTH) -> np.ndarray:

@@ -73,6 +73,11 @@ def test_rows_without_a_whole_vector_take_no_part(spark):
     vectors = hashed_vectors(df)
     assert sorted(map(tuple, similar_groups(vectors).collect())) == [(1, 1), (1, 7), (8, 8), (8, 9)]
     assert sorted(map(tuple, near_pairs(vectors).collect())) == [(1, 7), (8, 9)]
+    again = hashed_vectors(df.unionByName(df))
+    assert sorted(map(tuple, similar_groups(again).collect())) == [(1, 1), (1, 7), (8, 8), (8, 9)]
+    assert sorted(map(tuple, near_pairs(again).collect())) == [(1, 7), (8, 9)]
+    one = hashed_vectors(df.filter("vec_id = 1").unionByName(df.filter("vec_id = 1")))
+    assert similar_groups(one).count() == 0 and near_pairs(one).count() == 0
     empty = hashed_vectors(df.limit(0))
     assert similar_groups(empty).count() == 0 and near_pairs(empty).count() == 0
     assert near_pairs(hashed_vectors(df.limit(1))).count() == 0
