@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Width of a cell in radii: wider cells mean fewer copies of rows near an edge, and more rows to compare.
-WIDTH = 4
+WIDTH = 8
 #: Rows of a cell beyond which it is split.
 CROWDED = 4096
 
@@ -19,7 +19,7 @@ def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: floa
     Keys are unique; exact copies of a row count. A row with null or NaN among the columns, or a null key, takes no part.
 
     Rows lie in cells of a grid over the first `grid_dims` columns (all, by default). A row meets the rows of its cell,
-    and visits those neighbour cells whose edge is within the radius; a row in the middle of a cell visits none. The
+    and visits those later neighbour cells whose edge is within the radius; a row in the middle of a cell visits none. The
     rows of a crowded cell are spread over several groups, which its rows and visitors all come to. Only counts go on.
     """
     n, width = len(columns), WIDTH * radius
@@ -30,16 +30,20 @@ def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: floa
     home = rows.withColumns({f"c{i}": F.floor(F.col(f"v{i}") / width) for i in dims})
     hot = home.groupBy(*cells).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select(*cells, F.ceil(F.col("n") / crowded).alias("parts"))
     parts = F.coalesce("parts", F.lit(1))
-    near = home
+    near = home.select(*home.columns, *(F.col(c).alias(f"h{c[1:]}") for c in cells))
     for i in dims:
         c, at = F.col(f"c{i}"), F.col(f"v{i}") - F.col(f"c{i}") * width
         slack = radius * 1e-9
         sides = F.array(c, F.when(at <= radius + slack, c - 1), F.when(at >= width - radius - slack, c + 1))
         near = near.withColumn(f"c{i}", F.explode(F.array_compact(sides)))
+    there, own = F.struct(*cells), F.struct(*(F.col(f"h{c[1:]}").alias(c) for c in cells))
+    near = near.withColumn("visit", there > own).filter(there >= own)
     home = home.join(hot, cells, "left").withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), parts)).drop("parts")
     near = near.join(hot, cells, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    near = near.select(*cells, "part", F.col("k").alias("o"), *(F.col(f"v{i}").alias(f"o{i}") for i in range(n)))
+    near = near.select(*cells, "part", "visit", F.col("k").alias("o"), *(F.col(f"v{i}").alias(f"o{i}") for i in range(n)))
     d2 = sum(((F.col(f"v{i}") - F.col(f"o{i}")) * (F.col(f"v{i}") - F.col(f"o{i}")) for i in range(n)), F.lit(0.0))
     pairs = home.join(near, [*cells, "part"]).filter((F.sqrt(d2) <= radius) & (F.col("k") != F.col("o")))
-    counts = pairs.groupBy("k").agg(F.count("*").alias("n"))
+    # a pair of one cell is met from both sides, one of two cells only once
+    ends = pairs.select(F.explode(F.when(F.col("visit"), F.array("k", "o")).otherwise(F.array("k"))).alias("k"))
+    counts = ends.groupBy("k").agg(F.count("*").alias("n"))
     return rows.select("k").join(counts, "k", "left").select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).alias("density"))
