@@ -137,9 +137,11 @@ def nearest_reps(points: DataFrame, n: int, k: int, visits: int, radius: float |
         for big in batches:
             for lo in range(0, big.num_rows, 4000):
                 b = big.slice(lo, 4000)
-                row, leaf, home = lookup(held.value, matrix(b.column(1).to_pylist()), visits, radius)
-                asks = b.column(2).to_numpy(zero_copy_only=False)[row]
-                row, leaf, home, asks = (c[home | asks] for c in (row, leaf, home, asks))
+                x, who = matrix(b.column(1).to_pylist()), b.column(2).to_numpy(zero_copy_only=False)
+                row, leaf, home = lookup(held.value, x[who], visits, radius)
+                row1, leaf1, home1 = lookup(held.value, x[~who], trees, 0.0)  # rows that don't ask lie in their own leaves
+                row, leaf, home = np.r_[np.flatnonzero(who)[row], np.flatnonzero(~who)[row1]], np.r_[leaf, leaf1], np.r_[home, home1]
+                asks = who[row]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), pa.array(asks), b.column(0).take(take), b.column(1).take(take)], ["leaf", "home", "asks", "rep", "f"])
 
