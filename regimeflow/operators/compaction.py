@@ -25,6 +25,10 @@ from pyspark.sql import functions as F
 from ..common import hadoop_fs
 
 
+#: Partitions that one job rewrites at most.
+MOST_PARTITIONS = 500
+
+
 class CompactionConflict(RuntimeError):
     """Another writer changed the table, or claimed its next version."""
 
@@ -141,30 +145,34 @@ class SnapshotTable:
         if now != {r["part"]: r["print"] for r in picked}:
             self.release(version)
             raise CompactionConflict("partitions changed since the census")
-        files = F.create_map(*(F.lit(x) for r in picked for x in (r["part"], max(1, -(-r["bytes"] // target_bytes)))))
-        old = self._only(names)
+        try:
+            for at in range(0, len(picked), MOST_PARTITIONS):
+                self._rewrite({r["part"]: max(1, -(-r["bytes"] // target_bytes)) for r in picked[at : at + MOST_PARTITIONS]}, key, merge or {})
+        except Exception:
+            self.recover()
+            raise
+        self.commit(version, "compact")
+        return version
+
+    def _rewrite(self, files: dict[str, int], key: Sequence[str], merge: dict[str, Column]) -> None:
+        """Overwrite these partitions, each in the given number of files, and check the number of rows."""
+        number = F.create_map(*(F.lit(x) for pair in files.items() for x in pair))
+        old = self._only(list(files))
         rest = [c for c in old.columns if c not in self.partition_by]
         if key:
-            merge = merge or {}
             aggs = [merge[c].alias(c) if c in merge else F.first(c).alias(c) for c in rest if c not in key]
             old = old.groupBy(*self.partition_by, *(c for c in key if c not in self.partition_by)).agg(*aggs)
-        spread = F.pmod(F.xxhash64(*(key or rest)), files[self._part()]) if key or rest else F.lit(0)
+        spread = F.pmod(F.xxhash64(*(key or rest)), number[self._part()])
         seen = Observation()
         sized = (
             old.withColumn("_file", spread.cast("int"))
-            .repartition(max(1, sum(max(1, -(-r["bytes"] // target_bytes)) for r in picked)), *self.partition_by, "_file")
+            .repartition(sum(files.values()), *self.partition_by, "_file")
             .drop("_file").select(*rest, *self.partition_by).observe(seen, F.count(F.lit(1)).alias("n"))
         )
-        try:
-            sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partition_by).parquet(self.data)
-            there = self._only(names).count()
-            if there != seen.get["n"]:
-                raise RuntimeError(f"{seen.get['n']} rows were written, {there} are there")
-        except Exception:
-            self.recover()
-            raise
-        self.commit(version, "compact")
-        return version
+        sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partition_by).parquet(self.data)
+        there = self._only(list(files)).count()
+        if there != seen.get["n"]:
+            raise RuntimeError(f"{seen.get['n']} rows were written, {there} are there")
 
     def _only(self, names: list[str]) -> DataFrame:
         """Rows of these partitions; the condition is on partition columns only, so other files aren't read."""
