@@ -24,8 +24,9 @@ def labelled_exponents(local_exponents: DataFrame, regime: DataFrame) -> DataFra
 
 def state_percentiles(labelled: DataFrame, qs: list[float] = QS) -> DataFrame:
     """(state, lambda_no, q, value, n, rank_error) of a table of labelled_exponents; `labelled` is read once."""
-    parts = sketch_columns(labelled, "state", LAMBDAS, "lambda_no")
-    merged = merge_sketches(parts, ["state", "lambda_no"], labelled.rdd.getNumPartitions())
+    parts = materialize(sketch_columns(labelled, "state", LAMBDAS, "lambda_no"), "sketches")
+    nodes = (parts.agg(F.max("node")).first()[0] or 0) + 1
+    merged = merge_sketches(parts, ["state", "lambda_no"], nodes)
     return percentiles(merged, ["state", "lambda_no"], qs)
 
 
