@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import materialize
+
 #: Width of a cell in radii: wider cells mean fewer copies of rows near an edge, and more rows to compare.
-WIDTH = 8
+WIDTH = 6
 #: Rows of a cell beyond which it is split.
 CROWDED = 4096
+#: Crowded cells that are broadcast at most; there is one for CROWDED rows at most.
+FEW = 100_000
 
 
 def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: float, grid_dims: int | None = None, crowded: int = CROWDED) -> DataFrame:
@@ -20,7 +24,7 @@ def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: floa
 
     Rows lie in cells of a grid over the first `grid_dims` columns (all, by default). A row meets the rows of its cell,
     and visits those later neighbour cells whose edge is within the radius; a row in the middle of a cell visits none. The
-    rows of a crowded cell are spread over several groups, which its rows and visitors all come to. Only counts go on.
+    rows of a crowded cell are spread over several groups, which its rows and visitors all come to. Cells are told apart by a 64-bit hash. Only counts go on.
     """
     n, width = len(columns), WIDTH * radius
     dims = range(min(n, grid_dims or n))
@@ -28,7 +32,10 @@ def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: floa
     rows = rows.filter(" AND ".join(["k IS NOT NULL", *(f"v{i} IS NOT NULL AND NOT isnan(v{i})" for i in range(n))]))
     cells = [f"c{i}" for i in dims]
     home = rows.withColumns({f"c{i}": F.floor(F.col(f"v{i}") / width) for i in dims})
-    hot = home.groupBy(*cells).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select(*cells, F.ceil(F.col("n") / crowded).alias("parts"))
+    cell = F.xxhash64(*cells).alias("cell")
+    hot = materialize(home.groupBy(cell).agg(F.count("*").alias("n")).filter(F.col("n") > crowded).select("cell", F.ceil(F.col("n") / crowded).alias("parts")), "crowded")
+    if hot.count() <= FEW:
+        hot = F.broadcast(hot)
     parts = F.coalesce("parts", F.lit(1))
     near = home.select(*home.columns, *(F.col(c).alias(f"h{c[1:]}") for c in cells))
     for i in dims:
@@ -38,12 +45,13 @@ def radius_density(df: DataFrame, key: str, columns: Sequence[str], radius: floa
         near = near.withColumn(f"c{i}", F.explode(F.array_compact(sides)))
     there, own = F.struct(*cells), F.struct(*(F.col(f"h{c[1:]}").alias(c) for c in cells))
     near = near.withColumn("visit", there > own).filter(there >= own)
-    home = home.join(hot, cells, "left").withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), parts)).drop("parts")
-    near = near.join(hot, cells, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
-    near = near.select(*cells, "part", "visit", F.col("k").alias("o"), *(F.col(f"v{i}").alias(f"o{i}") for i in range(n)))
+    vs = [f"v{i}" for i in range(n)]
+    home = home.select(cell, "k", *vs).join(hot, "cell", "left").withColumn("part", F.pmod(F.xxhash64("k", F.lit(1)), parts)).drop("parts")
+    near = near.select(cell, "visit", F.col("k").alias("o"), *(F.col(v).alias(f"o{v[1:]}") for v in vs)).join(hot, "cell", "left")
+    near = near.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("parts")
     d2 = sum(((F.col(f"v{i}") - F.col(f"o{i}")) * (F.col(f"v{i}") - F.col(f"o{i}")) for i in range(n)), F.lit(0.0))
-    pairs = home.join(near, [*cells, "part"]).filter((F.sqrt(d2) <= radius) & (F.col("k") != F.col("o")))
+    pairs = home.join(near, ["cell", "part"]).filter((F.sqrt(d2) <= radius) & (F.col("k") != F.col("o")))
     # a pair of one cell is met from both sides, one of two cells only once
-    ends = pairs.select(F.explode(F.when(F.col("visit"), F.array("k", "o")).otherwise(F.array("k"))).alias("k"))
-    counts = ends.groupBy("k").agg(F.count("*").alias("n"))
-    return rows.select("k").join(counts, "k", "left").select(F.col("k").alias(key), F.coalesce("n", F.lit(0)).alias("density"))
+    ends = pairs.select(F.explode(F.when(F.col("visit"), F.array("k", "o")).otherwise(F.array("k"))).alias("k"), F.lit(1).alias("m"))
+    counts = rows.select("k", F.lit(0).alias("m")).unionByName(ends).groupBy("k").agg(F.sum("m").alias("density"))
+    return counts.select(F.col("k").alias(key), "density")

@@ -205,8 +205,6 @@ def hist2d_mean_open(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grids.hist2d_mean(trajectory(spark, d).join(regime(spark, d), ["run_id", "t_idx"]), grids.all_pairs(XS), "state", 40))
 
 
-_X2 = ", ".join(f"CASE WHEN isnan({c}) THEN NULL ELSE {c} END AS {c}" for c in XS)
-
 
 @query(f"""WITH t AS MATERIALIZED {stats.CLEAN_SQL}
 SELECT a.run_id, a.t_idx, CAST(count(b.run_id) AS BIGINT) AS density FROM t a LEFT JOIN t b ON abs(a.x_1 - b.x_1) <= {RADIUS} AND abs(a.x_2 - b.x_2) <= {RADIUS} AND NOT (a.run_id = b.run_id AND a.t_idx = b.t_idx)
