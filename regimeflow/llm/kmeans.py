@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..common import arrow_groups, materialize, resolved_state, table
-from .vectors import DIMS, WIDTH, hashed_vectors, id_hash, matrix, without_copies
+from .vectors import DIMS, WIDTH, hashed_vectors, matrix, without_copies
 
 RADIUS = 1.5
 SEED = 7
