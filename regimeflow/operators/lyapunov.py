@@ -56,12 +56,12 @@ def tangent_step(s: System, x: np.ndarray, u: np.ndarray, dt: float, p: np.ndarr
     return x + dt * (a1 / 2 + a2 + a3 + a4 / 2) / 3, u + dt * (b1 / 2 + b2 + b3 + b4 / 2) / 3
 
 
-def lyapunov_steps(members: DataFrame, s: System, key: str, start: Sequence[str], steps: int, dt: float, transient: int = 0, norm_time: int = 1, seed: int = 3) -> DataFrame:
+def lyapunov_steps(members: DataFrame, s: System, key: str, start: Sequence[str], steps: int, dt: float, transient: int = 0, norm_time: int = 1, seed: int = 3, vectors: bool = True) -> DataFrame:
     """(key, t_idx, t, x, log_r, ftle, q, r): after every norm_time-th step beyond the transient, the state, the log
     growth of each tangent direction since the last, the same per unit of time, and the matrices (row by row).
 
     Members of a task run side by side; the first directions are random, seeded by the key. Members with a null or NaN
-    start, or parameter, are left out."""
+    start, or parameter, are left out. Without `vectors`, q and r are not written, so that long series stay narrow."""
     names = [*start, *s.parameters]
     rows = members.select(F.col(key).cast("bigint").alias(key), *(F.col(c).cast("double").alias(c) for c in names))
     rows = rows.filter(" AND ".join([f"{key} IS NOT NULL", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in names)]))
@@ -83,12 +83,56 @@ def lyapunov_steps(members: DataFrame, s: System, key: str, start: Sequence[str]
                         growth = np.log(np.diagonal(r, axis1=1, axis2=2))
                         n, at = len(keys), (i - transient - 1) // norm_time
                         lists = lambda a, w: pa.ListArray.from_arrays(pa.array(np.arange(0, n * w + 1, w, dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1)))
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(keys), pa.array(np.full(n, at)), pa.array(np.full(n, (at + 1) * span)), lists(x, d), lists(growth, d), lists(growth / span, d), lists(u, d * d), lists(r, d * d)],
-                            [key, "t_idx", "t", "x", "log_r", "ftle", "q", "r"],
-                        )
+                        columns = [pa.array(keys), pa.array(np.full(n, at)), pa.array(np.full(n, (at + 1) * span)), lists(x, d), lists(growth, d), lists(growth / span, d)]
+                        if vectors:
+                            columns += [lists(u, d * d), lists(r, d * d)]
+                        yield pa.RecordBatch.from_arrays(columns, made)
 
-    return rows.mapInArrow(run, f"{key} bigint, t_idx bigint, t double, x array<double>, log_r array<double>, ftle array<double>, q array<double>, r array<double>")
+    lists = ["x", "log_r", "ftle", *(["q", "r"] if vectors else [])]
+    made = [key, "t_idx", "t", *lists]
+    return rows.mapInArrow(run, f"{key} bigint, t_idx bigint, t double, " + ", ".join(f"{c} array<double>" for c in lists))
+
+
+def covariant_series(members: DataFrame, s: System, key: str, start: Sequence[str], length: str, dt: float, transient: int, spin: int, norm_time: int = 1, seed: int = 3, side: int = 32) -> DataFrame:
+    """(key, t_idx, v, growth) as covariant_vectors, for `length` (a column) norm_times of each member, between `spin`
+    norm_times of spin-up and of spin-down and behind a transient of so many steps.
+
+    `side` members run side by side, of like length, and keep their Q and R in the task, so that no step is shuffled."""
+    names = [*start, *s.parameters]
+    rows = members.select(F.col(key).cast("bigint").alias(key), F.col(length).cast("bigint").alias("_n"), *(F.col(c).cast("double").alias(c) for c in names))
+    rows = rows.filter(" AND ".join([f"{key} IS NOT NULL", "_n > 0", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in names)]))
+    d, span = s.dim, dt * norm_time
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        t = pa.Table.from_batches(got).sort_by([("_n", "ascending"), (key, "ascending")]) if got else None
+        for lo in range(0, t.num_rows if t else 0, side):
+            part = [c.to_numpy() for c in t.slice(lo, side).columns]
+            keys, kept, v = part[0], part[1], np.stack(part[2:], axis=1)
+            x, p = v[:, :d].copy(), v[:, d:] if s.parameters else None
+            u, _ = positive_qr(np.stack([np.random.Generator(np.random.PCG64([seed, int(k)])).random((d, d)) for k in keys]))
+            n = int(kept.max()) + 2 * spin
+            q, r = np.empty((n, len(keys), d, d)), np.empty((n, len(keys), d, d))
+            for i in range(-(transient // norm_time), n):
+                for _ in range(norm_time):
+                    x, u = tangent_step(s, x, u, dt, p)
+                u, upper = positive_qr(u)
+                if i >= 0:
+                    q[i], r[i] = u, upper
+            c = np.tile(np.eye(d), (len(keys), 1, 1))
+            for i in range(n - 2, spin - 1, -1):
+                # a member begins at the identity at its own end
+                c[i >= kept + 2 * spin - 2] = np.eye(d)
+                c = np.linalg.solve(r[i], c)
+                size = np.linalg.norm(c, axis=1)
+                c = c / size[:, None, :]
+                here = np.flatnonzero(i < kept + spin)
+                if len(here):
+                    vectors = (q[i][here] @ c[here]).transpose(0, 2, 1).reshape(len(here), -1)
+                    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[here]), pa.array(np.full(len(here), i - spin)), lists(vectors), lists(-np.log(size[here]) / span)], [key, "t_idx", "v", "growth"])
+
+    return rows.mapInArrow(run, f"{key} bigint, t_idx bigint, v array<double>, growth array<double>")
 
 
 def exponents(steps: DataFrame, key: str, dim: int) -> DataFrame:

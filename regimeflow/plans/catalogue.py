@@ -5,9 +5,11 @@ Sums of doubles depend on the order of addition, so results made of them are rou
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -343,8 +345,33 @@ def local_exponents(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lyapunov.local_exponents(with_height(spark, d), _SIX, ["run_id", "t_idx"], XS))
 
 
+#: Steps of 0.1: a Lyapunov time (50 units) has 500. Ten are left out as transient, exponents are over a hundred, and
+#: covariant vectors settle over ten at either end. Directions are made orthogonal, and rows written, once a unit.
+LYAPUNOV_TIME, TRANSIENT, LENGTH, PER_ROW = 500, 10 * 500, 100 * 500, 10
+
+
+def own_starts(spark: SparkSession, d: str) -> DataFrame:
+    """Members with a random start each, spread over the tasks; n is the run's planned samples, one a unit of time."""
+    runs = members(spark, d).filter("run_id IS NOT NULL")
+    planned = table(spark, d, "run_info").filter("run_id IS NOT NULL").groupBy("run_id").agg(F.coalesce(F.max("planned_samples"), F.lit(LYAPUNOV_TIME)).alias("n"))
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([simulate.random_start(3, int(k)) for k in b.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(c)) for c in x.T)], ["run_id", "g", "n", *STARTS])
+
+    spread = runs.select(F.col("run_id").cast("bigint").alias("run_id"), F.col("g").cast("double").alias("g")).join(planned, "run_id").select("run_id", "g", F.col("n").cast("bigint").alias("n"))
+    spread = spread.repartition(spark.sparkContext.defaultParallelism, "run_id")
+    return spread.mapInArrow(start, "run_id bigint, g double, n bigint, " + ", ".join(f"{c} double" for c in STARTS))
+
+
 def _steps(spark: SparkSession, d: str) -> DataFrame:
-    return lyapunov.lyapunov_steps(members(spark, d), _SIX, "run_id", STARTS, 220, 0.1, transient=20)
+    return lyapunov.lyapunov_steps(own_starts(spark, d), _SIX, "run_id", STARTS, TRANSIENT + LENGTH, 0.1, transient=TRANSIENT, norm_time=PER_ROW, vectors=False)
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return lyapunov.covariant_series(own_starts(spark, d), _SIX, "run_id", STARTS, "n", 0.1, TRANSIENT, TRANSIENT // PER_ROW, PER_ROW)
 
 
 @query()
@@ -364,12 +391,12 @@ def lyapunov_ensemble(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def clv_angles(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lyapunov.vector_angles(lyapunov.covariant_vectors(_steps(spark, d), "run_id", 6, 0.1), "run_id", 6), 4)
+    return rounded(lyapunov.vector_angles(_vectors(spark, d), "run_id", 6), 4)
 
 
 @query()
 def clv_subspaces(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lyapunov.subspace_angles(lyapunov.covariant_vectors(_steps(spark, d), "run_id", 6, 0.1), "run_id", 6, 2, 1), 4)
+    return rounded(lyapunov.subspace_angles(_vectors(spark, d), "run_id", 6, 2, 1), 4)
 
 
 @query()

@@ -124,6 +124,35 @@ def test_exponents_and_covariant_vectors(spark):
     assert lyapunov.covariant_vectors(tiny, "run_id", 3, 0.01).count() == 0
 
 
+def test_catalogue_exponents_settle(spark, tmp_path, monkeypatch):
+    """Over 20 Lyapunov times (the queries have 100), the second half changes no exponent by more than 0.05; runs have
+    starts of their own."""
+    from regimeflow.plans import catalogue
+
+    assert catalogue.LENGTH >= 100 * catalogue.LYAPUNOV_TIME and catalogue.TRANSIENT >= 10 * catalogue.LYAPUNOV_TIME
+    monkeypatch.setattr(catalogue, "LENGTH", 20 * catalogue.LYAPUNOV_TIME)
+    monkeypatch.setattr(catalogue, "TRANSIENT", 2 * catalogue.LYAPUNOV_TIME)
+    runs = [(i, 0.2, 0.0, None, 20) for i in range(1, 5)]
+    spark.createDataFrame(runs, "run_id int, g double, sigma double, noise_type string, planned_samples int").write.parquet(str(tmp_path / "run_info.parquet"))
+    rows = catalogue.lyapunov_series(spark, str(tmp_path)).collect()
+    full, half = ({r.run_id: np.array(r[3:]) for r in rows if r.t_idx == n - 1} for n in (1000, 500))
+    assert len({tuple(v) for v in full.values()}) == 4
+    assert all(np.abs(full[k] - half[k]).max() < 0.05 and abs(full[k].sum() + 0.6) < 1e-3 for k in full)
+
+
+def test_covariant_series_equals_vectors_of_steps(spark):
+    s, names = sy.lorenz63(), ["a", "b", "c"]
+    df = starts(spark, 2).withColumn("n", F.lit(30) + F.col("run_id") * 20)
+    got = lyapunov.covariant_series(df, s, "run_id", names, "n", 0.01, 100, 60).collect()
+    for run, n in ((0, 30), (1, 50)):
+        steps = lyapunov.lyapunov_steps(df.filter(f"run_id = {run}"), s, "run_id", names, 100 + n + 120, 0.01, transient=100)
+        want = {r.t_idx - 60: r for r in lyapunov.covariant_vectors(steps, "run_id", 3, 0.01).collect()}
+        mine = [r for r in got if r.run_id == run]
+        assert {r.t_idx for r in mine} == set(range(n))
+        for r in mine:
+            assert r.v == pytest.approx(want[r.t_idx].v) and r.growth == pytest.approx(want[r.t_idx].growth)
+
+
 def test_local_exponents(spark):
     df = spark.createDataFrame([(1, *map(float, sy.START), 0.2), (2, *[0.1] * 6, None), (3, *[0.1] * 6, 0.0)], "id int, " + ", ".join(f"x_{i} double" for i in range(1, 7)) + ", g double")
     got = {r.id: r[1:] for r in lyapunov.local_exponents(df, sy.six_mode(g=None), ["id"], [f"x_{i}" for i in range(1, 7)]).collect()}
