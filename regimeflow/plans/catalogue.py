@@ -408,8 +408,8 @@ def reservoir_search(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hmm_regimes(spark: SparkSession, d: str) -> DataFrame:
-    """Regimes of all samples by a hidden Markov model of three states."""
-    return hmm.regimes(trajectory(spark, d), XS[:3], 3, iterations=8)
+    """Regimes of all samples by a hidden Markov model of three states over all components."""
+    return hmm.regimes(trajectory(spark, d), XS, 3)
 
 
 @query("SELECT DISTINCT run_id FROM run_info WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM trajectory WHERE run_id IS NOT NULL)")

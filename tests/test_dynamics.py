@@ -199,3 +199,14 @@ def test_hidden_regimes(spark):
     with pytest.raises(ValueError):
         hmm.fit(df, ["x_1"], 0)
     assert hmm.regimes(df.limit(0), ["x_1"], 2, iterations=2).count() == 0
+
+
+def test_regimes_are_fitted_until_they_settle(spark, monkeypatch):
+    """The query fits all six components and stops by the tolerance, or after the operator's hundred iterations."""
+    from regimeflow.plans import catalogue
+
+    got = []
+    monkeypatch.setattr(catalogue, "trajectory", lambda spark, d: None)
+    monkeypatch.setattr(hmm, "regimes", lambda df, columns, n_states, **options: got.append((list(columns), options)))
+    catalogue.hmm_regimes(spark, "")
+    assert got == [([f"x_{i}" for i in range(1, 7)], {})]
