@@ -23,8 +23,8 @@ from ..common import materialize, table
 from .tokens import with_tokens
 
 CAPACITY = 4096
-#: Parts in which the items of one size are ranked.
-RANK_PARTS = 64
+#: Items of one size that are ranked together.
+RANK_ROWS = 100_000
 
 
 class Plan:
@@ -168,40 +168,38 @@ def pack(items: DataFrame, key: str, size: str, capacity: int = CAPACITY) -> Dat
     `size` is the item's whole size, null counts as 0; items of size 0 come into the first container. Keys shall be
     unique; repeated ones are items of their own. An empty table gives no rows.
     """
+    spark = items.sparkSession
     whole = F.coalesce(F.col(size), F.lit(0)).cast("bigint")
     parts = F.greatest(F.ceil(whole / F.lit(capacity)), F.lit(1)).cast("int")
     cut = items.select(F.col(key).alias("key"), whole.alias("whole"), F.explode(F.sequence(F.lit(1), parts)).alias("part"))
     each = F.least(F.col("whole") - (F.col("part") - 1) * F.lit(capacity), F.lit(capacity).cast("bigint"))
-    cut = materialize(cut.withColumn("size", each).withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.lit(RANK_PARTS)).cast("int")), "items")
-    # at most capacity + 1 sizes in RANK_PARTS parts
-    rows = cut.groupBy("size", "salt").count().collect()
-    counts: dict[int, int] = {}
-    before: dict[int, np.ndarray] = {}
-    for r in rows:
-        counts[r["size"]] = counts.get(r["size"], 0) + r["count"]
-        before.setdefault(r["size"], np.zeros(RANK_PARTS + 1, dtype=np.int64))[r["salt"] + 1] = r["count"]
-    offset = {s: b.cumsum() for s, b in before.items()}
+    cut = materialize(cut.withColumn("size", each), "items")
+    counts = {r["size"]: r["count"] for r in cut.groupBy("size").count().collect()}  # at most capacity + 1 rows
     by_size: dict[int, list[tuple[int, int, int, int]]] = {}
     for s, first, per, times, container in plan_slots(counts, capacity):
         by_size.setdefault(s, []).append((first, per, times, container))
     places = {s: np.array(v, dtype=np.int64) for s, v in by_size.items()}
-    held = items.sparkSession.sparkContext.broadcast((offset, places))
+    held = spark.sparkContext.broadcast(places)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offset, places = held.value
+        places = held.value
         for b in batches:
-            sizes, salt, r = (b.column(i).to_numpy() for i in (3, 4, 5))
+            sizes, ranks = b.column(3).to_numpy(), b.column(4).to_numpy()
             out = np.zeros(b.num_rows, dtype=np.int64)
             for s in np.unique(sizes):
                 here = sizes == s
-                rank = offset[s][salt[here]] + r[here] - 1
                 p = places[s]
-                at = np.searchsorted(p[:, 0], rank, side="right") - 1
-                out[here] = p[at, 3] + (rank - p[at, 0]) // p[at, 1]
+                at = np.searchsorted(p[:, 0], ranks[here], side="right") - 1
+                out[here] = p[at, 3] + (ranks[here] - p[at, 0]) // p[at, 1]
             yield pa.RecordBatch.from_arrays([pa.array(out), b.column(0), b.column(2), b.column(3), b.column(1)], ["container_id", key, "part", "size", "item_tokens"])
 
+    # a size of many items is ranked in as many parts as it needs for RANK_ROWS items each; a row per size
+    many = spark.createDataFrame([(s, max(1, -(-n // RANK_ROWS))) for s, n in counts.items()], "size bigint, parts bigint")
+    salted = cut.join(F.broadcast(many), "size").withColumn("salt", F.pmod(F.xxhash64("key", "part"), F.col("parts"))).drop("parts")
+    before = Window.partitionBy("size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy("size", "salt").count().select("size", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
     w = Window.partitionBy("size", "salt").orderBy("key", "part")
-    ranked = cut.withColumn("r", F.row_number().over(w)).select("key", "whole", "part", "size", "salt", "r")
+    ranked = salted.withColumn("r", F.row_number().over(w)).join(offsets, ["size", "salt"]).select("key", "whole", "part", "size", (F.col("r") - 1 + F.col("offset")).alias("rank"))
     kind = items.schema[key].dataType.simpleString()
     return ranked.mapInArrow(place, f"container_id bigint, {key} {kind}, part int, size bigint, item_tokens bigint")
 
@@ -219,9 +217,20 @@ def packed_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "n_tokens")
 
 
+def contents(packed: DataFrame) -> DataFrame:
+    """(sizes, containers): what containers hold, as sizes in order, and how many hold just that."""
+    per = packed.groupBy("container_id").agg(F.array_sort(F.collect_list("size")).alias("sizes"))  # no more than a container has room for
+    return per.groupBy("sizes").agg(F.count("*").alias("containers"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mails that the packing had to split."""
-    return packed_mails(spark, sf_dir).filter("part = 2").select("doc_id").distinct()
+    """Mails that the packing put into more than one container."""
+    spread = packed_mails(spark, sf_dir).groupBy("doc_id").agg(F.min("container_id").alias("first"), F.max("container_id").alias("last"), F.max("part").alias("parts"))
+    return spread.filter("first < last AND parts > 1").select("doc_id")  # an id that comes twice is not split
+
+
+def p6_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contents(packed_mails(spark, sf_dir).filter("size > 0"))
 
 
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,3 +239,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(packed_mails(spark, sf_dir))
+
+
+# The rows don't depend on the tokenizer; a token has some three to four characters, and no size lies near the capacity.
+P6_FOUND_SQL = f"SELECT doc_id FROM documents WHERE length(text) > 3.5 * {CAPACITY}"

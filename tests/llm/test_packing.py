@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from regimeflow.llm.packing import Plan, fill_report, pack, plan_slots
+from regimeflow.llm import packing
+from regimeflow.llm.packing import Plan, contents, fill_report, pack, plan_slots
 from regimeflow.llm.tokens import CHUNK, count_tokens, encoder, with_tokens
 
 SCHEMA = "doc_id bigint, n bigint, size string, container_id int"
@@ -40,6 +41,13 @@ def test_every_item_once_and_little_unused(spark, seed):
     got = pack(spark.createDataFrame([(i, v, "x", None) for i, v in sizes.items()], SCHEMA), "doc_id", "n", capacity=100)
     used = check(got.collect(), sizes, 100)
     assert len(used) <= plain_best_fit(sizes.values(), 100) * 1.01 + 1
+    held = {}
+    for r in got.collect():
+        held.setdefault(r.container_id, []).append(r.size)
+    want = {}
+    for v in held.values():
+        want[tuple(sorted(v))] = want.get(tuple(sorted(v)), 0) + 1
+    assert {tuple(r.sizes): r.containers for r in contents(got).collect()} == want
     rep = fill_report(got, 100).first()
     assert rep.containers == len(used) and rep.tokens == sum(sizes.values())
 
@@ -60,6 +68,14 @@ def test_one_size_holds_all_rows_and_hard_cases(spark):
     assert pack(spark.createDataFrame([], SCHEMA), "doc_id", "n").count() == 0
 
 
+def test_a_size_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANK_ROWS", 7)
+    sizes = {i: 37 if i % 3 else 40 for i in range(500)} | {900 + i: 1000 for i in range(20)}
+    got = pack(spark.createDataFrame([(i, v, "x", None) for i, v in sizes.items()], SCHEMA), "doc_id", "n", capacity=100).collect()
+    used = check(got, sizes, 100)
+    assert sorted(used) == list(range(len(used))) and sum(v == 100 for v in used.values()) == 200
+
+
 def test_tokens_of_long_and_empty_texts(spark):
     long = "word and 12 more, " * 9000 + "x" * 70_000
     df = spark.createDataFrame([(1, "Hello there"), (2, ""), (3, None), (4, long)], "doc_id int, text string")
