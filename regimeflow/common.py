@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 import zipfile
@@ -42,9 +43,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests) a temporary one, set for the session."""
+    """The folder of spark.checkpoint.dir; where it is unset, and all runs on this machine, a temporary one, set for the
+    session. On a cluster it must be set, since a folder of the driver's machine is none that executors share."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is unset; give a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -94,22 +98,26 @@ def arrow_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[
     For use in mapInArrow after a repartition and a sort within partitions by these columns: a group comes whole,
     and of other groups no more than a batch is held.
     """
-    rest: list[np.ndarray] | None = None
+    pieces: list[list[np.ndarray]] = []  # of the open group; joined once, at its end
+    join = lambda: pieces[0] if len(pieces) == 1 else [np.concatenate(x) for x in zip(*pieces)]
     for batch in batches:
-        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if rest is not None:
-            cols = [np.concatenate(x) for x in zip(rest, cols)]
-        if not len(cols[0]):
+        if not batch.num_rows:
             continue
-        new = np.zeros(len(cols[0]) - 1, dtype=bool)
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if pieces and any(c[0] != o[-1] for c, o in zip(cols[:keys], pieces[-1])):
+            yield join()
+            pieces = []
+        new = np.zeros(batch.num_rows - 1, dtype=bool)
         for c in cols[:keys]:
             new |= c[1:] != c[:-1]
         edges = [0, *(np.flatnonzero(new) + 1).tolist()]
         for a, b in zip(edges, edges[1:]):
-            yield [c[a:b] for c in cols]
-        rest = [c[edges[-1] :] for c in cols]
-    if rest is not None:
-        yield rest
+            pieces.append([c[a:b] for c in cols])
+            yield join()
+            pieces = []
+        pieces.append([c[edges[-1] :] for c in cols])
+    if pieces:
+        yield join()
 
 
 def label_state(label: Column) -> Column:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import label_state, materialize, state_samples, state_samples_sql, table
+from ..common import KEY, label_state, materialize, state_samples, state_samples_sql, table
 from ..functions import systems as sy
 from ..functions.vectors import normalize
 from ..operators import density, forecast, grids, hmm, lyapunov, reservoir, simulate, spectral, stats
@@ -212,8 +212,7 @@ def hist2d_mean_open(spark: SparkSession, d: str) -> DataFrame:
 SELECT a.run_id, a.t_idx, CAST(count(b.run_id) AS BIGINT) AS density FROM t a LEFT JOIN t b ON abs(a.x_1 - b.x_1) <= {RADIUS} AND abs(a.x_2 - b.x_2) <= {RADIUS} AND NOT (a.run_id = b.run_id AND a.t_idx = b.t_idx)
   AND sqrt({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in XS)}) <= {RADIUS} GROUP BY ALL""")
 def radius_density(spark: SparkSession, d: str) -> DataFrame:
-    rows = trajectory(spark, d).withColumn("k", F.struct("run_id", "t_idx"))
-    return density.radius_density(rows, "k", XS, RADIUS).select("k.run_id", "k.t_idx", "density")
+    return density.radius_density(trajectory(spark, d), KEY, XS, RADIUS)
 
 
 # ---- model
