@@ -64,12 +64,10 @@ def ridge(df: DataFrame, xs: Sequence[str], ys: Sequence[str], tikhonov: Sequenc
 
     The normal equations are summed in Spark; their size is that of the columns, and they are solved on the driver."""
     x = [*(F.col(c).cast("double") for c in xs), F.lit(1.0)]
-    a = np.zeros((len(x), len(x)))
-    for r in gram(df, x).collect():
-        a[r.i - 1, r.j - 1] = a[r.j - 1, r.i - 1] = r.v or 0.0
-    b = np.zeros((len(x), len(ys)))
-    for r in gram(df, x, [F.col(c).cast("double") for c in ys]).collect():
-        b[r.i - 1, r.j - 1] = r.v or 0.0
+    both = np.zeros((len(x), len(x) + len(ys)))
+    for r in gram(df, x, x + [F.col(c).cast("double") for c in ys]).collect():  # one pass for both matrices
+        both[r.i - 1, r.j - 1] = r.v or 0.0
+    a, b = both[:, : len(x)], both[:, len(x) :]
     rows = []
     for t in tikhonov:
         w = np.linalg.lstsq(a + t * np.eye(len(x)), b, rcond=None)[0]

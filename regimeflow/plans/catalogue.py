@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import KEY, label_state, materialize, state_samples, state_samples_sql, table
+from ..common import KEY, label_state, materialize, new_path, state_samples, state_samples_sql, table
 from ..functions import systems as sy
-from ..functions.vectors import normalize
+from ..functions.vectors import normalize, state_columns
 from ..operators import density, forecast, grids, hmm, lyapunov, reservoir, simulate, spectral, stats
 from ..operators import episodes as ep
 from ..sources import saved_files as sf
-from ..sources import state_files
+from ..sources import results, state_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": sf.p4_found, "p4_samples": sf.p4_samples, "p4_files": sf.p4_files}
 SQL: dict[str, str] = {"p4_found": sf.P4_FOUND_SQL}
@@ -172,6 +172,56 @@ def eof_patterns(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.eof(trajectory(spark, d), XS, 6)[1])
 
 
+@query(f"SELECT run_id, t_idx, {', '.join(f'round({c}, 6) AS {c}' for c in XS)} FROM {stats.CLEAN_SQL}")
+def eof_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """Every sample again, from its scores, the patterns and the means: all six components lose nothing."""
+    rows = trajectory(spark, d)
+    scores, patterns = stats.eof(rows, XS, 6)
+    # a row of means, and a row of the patterns as a matrix
+    mean = rows.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(XS)))
+    loads = patterns.agg(*(F.array_sort(F.collect_list(F.struct("mode", c))).getField(c).alias(f"l{i}") for i, c in enumerate(XS)))
+    back = [F.round(F.col(f"m{i}") + sum((F.col(f"PC{k + 1}") * F.col(f"l{i}")[k] for k in range(6)), F.lit(0.0)), 6) for i in range(6)]
+    return scores.crossJoin(F.broadcast(mean)).crossJoin(F.broadcast(loads)).select(*KEY, *(F.when(b == 0, 0.0).otherwise(b).alias(c) for b, c in zip(back, XS)))
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, round(covar_samp({a}, {b}), 6) AS cov FROM t" for a, b in _ALL)}""")
+def eof_covariance(spark: SparkSession, d: str) -> DataFrame:
+    """The covariances again, as sums over the patterns of variance and loadings."""
+    patterns = stats.eof(trajectory(spark, d), XS, 6)[1]
+    row = patterns.agg(*(F.sum(F.col("variance") * F.col(a) * F.col(b)).alias(f"p{k}") for k, (a, b) in enumerate(_ALL)))
+    cells = F.array(*(F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.round(f"p{k}", 6).alias("cov")) for k, (a, b) in enumerate(_ALL)))
+    return row.select(F.inline(cells))
+
+
+_COV = [f"covar_samp({a}, {b})" for a in XS for b in XS]
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} SELECT 'count' AS name, CAST(count(*) AS DOUBLE) AS v FROM t
+UNION ALL SELECT 'variance', round({" + ".join(f"var_samp({c})" for c in XS)}, 6) FROM t
+UNION ALL SELECT 'squared covariance', round({" + ".join(f"{c} * {c}" for c in _COV)}, 6) FROM t
+UNION ALL SELECT 'greatest covariance of two scores', CAST(0 AS DOUBLE)""")
+def eof_moments(spark: SparkSession, d: str) -> DataFrame:
+    """What the scores of all components have in common with the samples: the sum of variances, and of squared covariances;
+    and that no two scores have a covariance."""
+    pcs = [f"PC{k + 1}" for k in range(6)]
+    rows = stats.eof(trajectory(spark, d), XS, 6)[0]
+    pairs = list(combinations(pcs, 2))
+    row = rows.agg(F.count("*").cast("double").alias("n"), *(F.var_samp(c).alias(f"v_{c}") for c in pcs), *(F.covar_samp(a, b).alias(f"c_{a}_{b}") for a, b in pairs))
+    v, c = [F.col(f"v_{x}") for x in pcs], [F.col(f"c_{a}_{b}") for a, b in pairs]
+    squares = sum((x * x for x in v), F.lit(0.0)) + sum((2 * x * x for x in c), F.lit(0.0))
+    values = {"count": F.col("n"), "variance": F.round(sum(v, F.lit(0.0)), 6), "squared covariance": F.round(squares, 6), "greatest covariance of two scores": F.round(F.greatest(*(F.abs(x) for x in c)), 6)}
+    return row.select(F.inline(F.array(*(F.struct(F.lit(k).alias("name"), x.alias("v")) for k, x in values.items()))))
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, round(min({a}), 6) AS x_low, round(max({a}), 6) AS x_high, round(min({b}), 6) AS y_low, round(max({b}), 6) AS y_high FROM t" for a, b in combinations(XS, 2))}""")
+def grid_extents(spark: SparkSession, d: str) -> DataFrame:
+    """Extent of the grid of each pair of state columns, which are told by their prefix."""
+    rows = trajectory(spark, d)
+    pairs = list(combinations(state_columns(rows.columns), 2))
+    cells = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), *(F.col(f"{n}_{c}").alias(x) for c, n, x in ((a, "lo", "x_low"), (a, "hi", "x_high"), (b, "lo", "y_low"), (b, "hi", "y_high")))) for a, b in pairs]
+    return rounded(grids.extents(rows, state_columns(rows.columns)).select(F.inline(F.array(*cells))))
+
+
 @query(f"""WITH p AS (SELECT x, y FROM (SELECT x_1 AS x, lead(x_1) OVER (PARTITION BY run_id ORDER BY t_idx) AS y FROM {stats.CLEAN_SQL}) WHERE y IS NOT NULL),
 s AS (SELECT sum(x * x) + 1 AS a, sum(x) AS b, count(*) + 1 AS c, sum(x * y) AS p, sum(y) AS q FROM p)
 SELECT CAST(1 AS DOUBLE) AS tikhonov, 1 AS i, 1 AS j, round((p * c - q * b) / (a * c - b * b), 6) AS w FROM s
@@ -181,6 +231,19 @@ def ridge_next(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.ridge(stats.lead_pairs(trajectory(spark, d), ["x_1"]), ["x_1"], ["next_x_1"], [1.0]))
 
 
+@query(SQL["ridge_next"].replace("CAST(1 AS DOUBLE) AS tikhonov, 1 AS i", "'w_out' AS matrix, 0 AS i").replace("1 AS j", "0 AS j").replace("CAST(1 AS DOUBLE), 2, 1,", "'w_out', 1, 0,").replace(" AS w FROM", " AS v FROM"))
+def stored_readout(spark: SparkSession, d: str) -> DataFrame:
+    """The readout of the regression of the next sample on this one, trained, stored as a network's, and read again."""
+    w = stats.ridge(stats.lead_pairs(trajectory(spark, d), ["x_1"]), ["x_1"], ["next_x_1"], [1.0])
+    path = new_path(spark, "network")
+    out = np.array([r.w for r in w.orderBy("i").collect()])[:, None]  # two weights
+    results.save_network(spark, path, reservoir.Reservoir(np.ones((1, 2)), np.zeros((1, 1)), 0.1, 1.0), out, np.ones(1), 0.9, -1.0, 1.0)
+    kept = results.load_network(spark, path)
+    if not np.array_equal(kept[1], out):
+        raise RuntimeError("the network that was read isn't the one that was stored")
+    return rounded(spark.read.parquet(f"{path}/entries").filter("matrix = 'w_out'"))
+
+
 def _bin_sql(c: str, bins: int) -> str:
     return f"coalesce(CAST(floor(({c} - (SELECT min({c}) FROM t)) / nullif((SELECT max({c}) - min({c}) FROM t), 0) * {bins}) AS INTEGER), 0)"
 
@@ -217,7 +280,7 @@ def radius_density(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- model
 
-_SIX = sy.six_mode(g=None)
+_SIX = sy.system("six_mode", g=None)
 _G = [*XS, "g"]
 
 
@@ -233,6 +296,25 @@ def model_jacobian(spark: SparkSession, d: str) -> DataFrame:
     return with_height(spark, d).select("run_id", "t_idx", *(F.round(c, 9).alias(f"j_{i + 1}_{j + 1}") for i, r in enumerate(cells) for j, c in enumerate(r)))
 
 
+def _quadratic(s: sy.System) -> list[tuple[int, float, tuple[int, ...]]]:
+    return [(row, c, f) for row, c, f in s.terms if len(f) == 2 and max(f) < s.dim]
+
+
+def _quadratic_sql() -> str:
+    s = sy.system("six_mode")
+    rows = [" + ".join(["CAST(0 AS DOUBLE)", *(f"CAST({c!r} AS DOUBLE) * x_{a + 1} * x_{b + 1}" for r, c, (a, b) in _quadratic(s) if r == i)]) for i in range(s.dim)]
+    return f"SELECT run_id, t_idx, {', '.join(f'round({e}, 9) AS q_{i + 1}' for i, e in enumerate(rows))} FROM {stats.CLEAN_SQL}"
+
+
+@query(_quadratic_sql())
+def quadratic_tendency(spark: SparkSession, d: str) -> DataFrame:
+    """Quadratic part of the tendency of every sample, by terms derived from the wave modes; SQL has the model's formulas."""
+    b = sy.RATIO
+    terms = spectral.nonlinear_terms(spectral.triads(spectral.mode_table(spark), b), spectral.real_modes(spark, b), b).collect()  # ten terms
+    rows = [[F.lit(r.v * 2 * b**3) * F.col(f"x_{r.k}") * F.col(f"x_{r.l}") for r in sorted(terms) if r.j == i] for i in range(1, 7)]
+    return trajectory(spark, d).select(*KEY, *(F.round(sum(row, F.lit(0.0)), 9).alias(f"q_{i}") for i, row in enumerate(rows, 1)))
+
+
 def _euler_sql(s: sy.System, dt: float, steps: int, start: str) -> str:
     new = []
     for i in range(s.dim):
@@ -344,6 +426,27 @@ def local_exponents(spark: SparkSession, d: str) -> DataFrame:
     return rounded(lyapunov.local_exponents(with_height(spark, d), _SIX, ["run_id", "t_idx"], XS))
 
 
+def _squared_trace(cells: list[list[str]]) -> str:
+    return " + ".join(f"({cells[i][j]}) * ({cells[j][i]})" for i in range(6) for j in range(6))
+
+
+_JAC = sy.jacobian_sql(_SIX, _G)
+
+
+@query(f"SELECT run_id, t_idx, round({' + '.join(f'({_JAC[i][i]})' for i in range(6))}, 6) AS total, TRUE AS ordered, round({_squared_trace(_JAC)}, 6) AS square, TRUE AS bounded FROM {HEIGHT_SQL}")
+def local_exponent_sums(spark: SparkSession, d: str) -> DataFrame:
+    """Checks of every sample's exponents: their sum is the trace of the Jacobian, they are in order, and their squares sum
+    up to no less than the trace of its square, which imaginary parts lower."""
+    found = lyapunov.local_exponents(with_height(spark, d), _SIX, KEY, XS)
+    names = [f"lambda_{i + 1}" for i in range(6)]
+    cells = sy.jacobian(_SIX, [F.col(c) for c in _G])
+    square = with_height(spark, d).select(*KEY, sum((cells[i][j] * cells[j][i] for i in range(6) for j in range(6)), F.lit(0.0)).alias("square"))
+    total = F.round(sum((F.col(c) for c in names), F.lit(0.0)), 6).alias("total")
+    ordered = F.array(*names) == F.reverse(F.array_sort(F.array(*names)))
+    bounded = sum((F.col(c) * F.col(c) for c in names), F.lit(0.0)) >= F.col("square") - 1e-9
+    return found.join(square, KEY).select(*KEY, total, ordered.alias("ordered"), F.round("square", 6).alias("square"), bounded.alias("bounded"))
+
+
 #: Steps of 0.1: a Lyapunov time (50 units) has 500. Ten are left out as transient, exponents are over a hundred, and
 #: covariant vectors settle over ten at either end. Directions are made orthogonal, and rows written, once a unit.
 LYAPUNOV_TIME, TRANSIENT, LENGTH, PER_ROW = 500, 10 * 500, 100 * 500, 10
@@ -411,6 +514,44 @@ def hmm_regimes(spark: SparkSession, d: str) -> DataFrame:
     return hmm.regimes(trajectory(spark, d), XS, 3)
 
 
+@query(f"""WITH f AS ({sf.WHOLE_SQL}),
+c AS (SELECT file_kind, run_id, component, i, 16 * (component * sample_num + i) + 1 AS pos, hex(payload) AS h FROM f, (SELECT unnest(range(0, 6)) AS component), LATERAL (SELECT unnest(range(0, f.sample_num)) AS i) WHERE component < dims),
+b AS (SELECT file_kind, run_id, component, CAST('0x' || {" || ".join(f"substr(h, pos + {2 * k}, 2)" for k in range(7, -1, -1))} AS UBIGINT) AS u FROM c),
+v AS (SELECT file_kind, run_id, component, CAST(u // 9223372036854775808 AS INTEGER) AS neg, CAST((u // 4503599627370496) % 2048 AS INTEGER) AS e, CAST(u % 4503599627370496 AS BIGINT) AS m FROM b),
+x AS (SELECT file_kind, run_id, component, CASE WHEN e = 2047 THEN NULL ELSE (1 - 2 * neg) * CAST(CASE WHEN e = 0 THEN m ELSE m + 4503599627370496 END AS DOUBLE) * pow(CAST(2 AS DOUBLE), greatest(e, 1) - 1075) END AS v FROM v)
+SELECT file_kind, run_id, CAST(component + 1 AS INTEGER) AS component, CAST(count(v) AS BIGINT) AS n, round(sum(v), 6) AS total, round(min(v), 6) AS low, round(max(v), 6) AS high FROM x GROUP BY ALL""")
+def combined_files(spark: SparkSession, d: str) -> DataFrame:
+    """All dense files of a run together, by kind and component: values, their sum and extremes; SQL decodes the bytes."""
+    rows = sf.samples(table(spark, d, "saved_file")).select("file_kind", "run_id", F.posexplode("x").alias("at", "v"))
+    v = F.when(~F.isnan("v") & (F.abs("v") != float("inf")), F.col("v"))
+    return rounded(rows.groupBy("file_kind", "run_id", (F.col("at") + 1).alias("component")).agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.min(v).alias("low"), F.max(v).alias("high")))
+
+
+@query(f"SELECT run_id, t_idx, {', '.join(XS)} FROM {stats.CLEAN_SQL}")
+def stored_states(spark: SparkSession, d: str) -> DataFrame:
+    """All clean samples, written to files of the dense format, a run's in pieces, and read again.
+
+    A sample's place in its file is its number among the run's; t_idx is the first component."""
+    folder = new_path(spark, "states")
+    placed = ep.numbered(trajectory(spark, d), "run_id", ["t_idx"])
+    files = state_files.write_states(placed, folder, ["t_idx", *XS], order="rn").collect()  # a row per file
+    if not files:
+        return trajectory(spark, d)
+    back = state_files.read_states(spark, [r.path for r in files], 1 + len(XS), prefix="y")
+    return back.select("run_id", F.col("y_1").cast("bigint").alias("t_idx"), *(F.col(f"y_{i + 2}").alias(c) for i, c in enumerate(XS)))
+
+
+@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT '{c}' AS var, CAST(count({c}) AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS deviation FROM t" for c in XS)}""")
+def noise_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation of the noise on each column, in units of its strength, to one digit: 0 and 1."""
+    rows = trajectory(spark, d)
+    noisy = forecast.with_noise(rows, XS, 0.01, KEY).select(*KEY, *(F.col(c).alias(f"n_{c}") for c in XS))
+    both = rows.join(noisy, KEY).crossJoin(F.broadcast(rows.agg(*(F.stddev_pop(c).alias(f"s_{c}") for c in XS))))
+    z = {c: (F.col(f"n_{c}") - F.col(c)) / (0.01 * F.col(f"s_{c}")) for c in XS}
+    row = both.agg(*(f(x).alias(f"{k}_{c}") for c, x in z.items() for k, f in (("c", F.count), ("m", F.avg), ("d", F.stddev_pop))))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("var"), F.col(f"c_{c}").alias("n"), F.abs(F.round(f"m_{c}", 1)).alias("mean"), F.round(f"d_{c}", 1).alias("deviation")) for c in XS))))
+
+
 @query("SELECT DISTINCT run_id FROM run_info WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM trajectory WHERE run_id IS NOT NULL)")
 def missing_runs(spark: SparkSession, d: str) -> DataFrame:
     """Runs of which no sample was kept."""

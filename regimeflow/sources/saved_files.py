@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..common import new_path, table
 from ..operators.compaction import SnapshotTable
+from .state_files import component
 
 #: Kinds of files as named in results.
 KINDS = ("dataOro", "ftle")
@@ -47,7 +48,7 @@ def samples(saved: DataFrame) -> DataFrame:
             counts = np.array(n)
             at = np.repeat(np.arange(len(n)), counts)
             step = np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)
-            flat = np.concatenate([np.frombuffer(p, dtype="<f8").reshape(d, m).T.ravel() for p, d, m in zip(payload, dims, n)])
+            flat = np.concatenate([np.stack([component(p, k, m) for k in range(d)], axis=1).ravel() for p, d, m in zip(payload, dims, n)])
             offsets = np.r_[0, np.cumsum(np.repeat(dims, counts))].astype(np.int32)
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays(
@@ -96,9 +97,11 @@ def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compacted(table(spark, sf_dir, "saved_file")).census().select("part", "files", "bytes")
 
 
+WHOLE_SQL = f"""SELECT file_id, CASE regexp_extract(lower(file_name), '{NAME}', 1) WHEN 'dataoro' THEN 'dataOro' WHEN 'ftle' THEN 'ftle' END AS file_kind,
+  coalesce(run_id, try_cast(nullif(regexp_extract(lower(file_name), '{NAME}', 3), '') AS INTEGER)) AS run_id, first_idx, sample_num, dims, payload
+  FROM saved_file WHERE octet_length(payload) = 8 * dims * sample_num AND sample_num > 0 AND regexp_extract(lower(file_name), '{NAME}', 1) <> ''
+  AND coalesce(run_id, try_cast(nullif(regexp_extract(lower(file_name), '{NAME}', 3), '') AS INTEGER)) IS NOT NULL AND first_idx IS NOT NULL"""
 P4_FOUND_SQL = f"""
-WITH f AS (SELECT file_id, CASE regexp_extract(lower(file_name), '{NAME}', 1) WHEN 'dataoro' THEN 'dataOro' WHEN 'ftle' THEN 'ftle' END AS file_kind,
-  coalesce(run_id, try_cast(nullif(regexp_extract(lower(file_name), '{NAME}', 3), '') AS INTEGER)) AS run_id, first_idx, sample_num
-  FROM saved_file WHERE octet_length(payload) = 8 * dims * sample_num),
-s AS (SELECT DISTINCT file_id, file_kind, run_id, unnest(range(first_idx, first_idx + sample_num)) AS t_idx FROM f WHERE file_kind IS NOT NULL AND run_id IS NOT NULL)
+WITH f AS ({WHOLE_SQL}),
+s AS (SELECT DISTINCT file_id, file_kind, run_id, unnest(range(first_idx, first_idx + sample_num)) AS t_idx FROM f)
 SELECT file_kind, run_id, t_idx FROM s GROUP BY ALL HAVING count(*) >= 2"""
