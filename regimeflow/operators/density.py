@@ -14,8 +14,8 @@ from ..common import arrow_groups, materialize
 #: Width of a cell in radii: wider cells mean fewer copies of rows near an edge, and more rows to compare.
 WIDTH = 6
 #: Rows of a cell, visitors counted, beyond which it is split.
-CROWDED = 4096
-#: Crowded cells that are broadcast at most; there is one for CROWDED rows at most.
+CROWDED = 8192
+#: Crowded cells that are broadcast at most; no more than one for CROWDED rows.
 FEW = 100_000
 #: Rows of a block that is compared with a group's others at once.
 BLOCK = 1000
