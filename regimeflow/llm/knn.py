@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..common import arrow_groups, materialize, table
 from .kmeans import RADIUS, VALID_SQL, cells_for, fit, neighbourhoods
-from .vectors import WIDTH, hashed_vectors, matrix, without_copies
+from .vectors import DIMS, hashed_vectors, matrix, without_copies
 
 K = 5
 #: Rows of the sample for the planes, at most; trees; rows a leaf shall have; sample rows a leaf has at least.
@@ -229,7 +229,7 @@ def p3_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = hashed_vectors(snaps)
     points = materialize(without_copies(vectors), "points")
     n = points.count()
-    centres = fit(points.select("rep", "f", "w"), n, cells_for(n)) if n else np.zeros((1, WIDTH))
+    centres = fit(points.select("rep", "f", "w"), cells_for(n)) if n else np.zeros((1, DIMS))
     degrees = neighbourhoods(points, centres, RADIUS).select("rep", (F.col("deg") - 1).alias("neighbours"))
     by_rep = vectors.join(points.select("f", "rep"), "f").select("vec_id", "rep").join(degrees, "rep")
     return snaps.select("vec_id", "density").join(by_rep, "vec_id").select("vec_id", "density", "neighbours")

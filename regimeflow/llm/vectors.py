@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,21 +46,23 @@ def hashed_vectors(df: DataFrame, id_column: str = "vec_id", vec: str = "vec", s
     """(vec_id, f): the hashed weighted features of every row with a whole vector, as bytes of doubles.
 
     Features are the vector's components at weight 1 and, if asked for, the category of `state` at `state_weight`.
+    Buckets that no feature falls into are always 0 and aren't kept.
     """
     names = [f"vec_{i}" for i in range(dims)]
     states = [f"state={s}" for s in (1, 2, 3, 4)] if state and state_weight else []
     m = feature_map(names + states, [1.0] * dims + [state_weight] * len(states), WIDTH)
+    m = m[:, m.any(axis=0)]
 
     def pack(batches):
-        import pyarrow as pa
-
         for b in batches:
+            if not b.num_rows:
+                continue
             x = b.column(1).flatten().to_numpy().reshape(b.num_rows, dims)
             f = x @ m[:dims]
             for k in range(len(states)):
                 f[b.column(2).to_numpy(zero_copy_only=False) == k + 1] += m[dims + k]
             f += 0.0  # a negative zero equals zero, but not in bytes
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in f], pa.binary())], ["vec_id", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), bytes_of(f)], ["vec_id", "f"])
 
     cols = [F.col(id_column).cast("bigint").alias("vec_id"), F.col(vec).cast("array<double>").alias("vec")]
     cols += [F.coalesce(F.col(state).cast("int"), F.lit(0)).alias("state")] if states else []
@@ -76,6 +79,23 @@ def without_copies(vectors: DataFrame) -> DataFrame:
     return vectors.distinct().groupBy("f").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.sum(id_hash(F.col("vec_id"))).alias("hs"))
 
 
-def matrix(cells: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """Doubles of a column of bytes, a row each."""
-    return np.frombuffer(b"".join(cells), dtype=float).reshape(len(cells), width)
+def matrix(cells: np.ndarray) -> np.ndarray:
+    """Doubles of a column of bytes, a row each; all are of one length."""
+    return np.frombuffer(b"".join(cells), dtype=float).reshape(len(cells), -1)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    """The same of an Arrow column without nulls, from its buffer."""
+    if not len(column):
+        return np.zeros((0, 0))
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
+    flat = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return flat.view(float).reshape(len(column), -1)
+
+
+def bytes_of(x: np.ndarray) -> pa.Array:
+    """An Arrow column with the bytes of each row."""
+    x = np.ascontiguousarray(x)
+    width = x.shape[1] * x.itemsize
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * width
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)])

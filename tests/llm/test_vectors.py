@@ -42,6 +42,8 @@ def test_groups_and_pairs_equal_brute_force(spark, block_rows):
     vectors = hashed_vectors(table(spark, x))
     got = {tuple(r) for r in similar_groups(vectors, k=12, block_rows=block_rows).collect()}
     assert got == groups
+    # cells that are cut again, into small ones
+    assert {tuple(r) for r in similar_groups(vectors, k=3, cell_rows=10, cut_rows=30, block_rows=block_rows).collect()} == groups
     assert {tuple(r) for r in near_pairs(vectors, leaf_rows=64).collect()} == pairs
 
 
