@@ -2,9 +2,13 @@
 
 The trees' planes are fitted on a bounded sample (SAMPLE rows), all rows are indexed. Each row is looked up in all trees
 through one shared priority queue: the subtree whose planes lie least on the wrong side comes next, until `visits`
-leaves are found or, with a radius, no subtree within it is left. Rows meet in leaves; a leaf's rows are ranked exactly
-against each other and its visitors, and the best k of all leaves remain. The queue runs for thousands of rows at once
-as array operations.
+leaves are found or, with a radius, no subtree within it is left. The queue runs for thousands of rows at once as array
+operations. Rows meet in leaves, where each is ranked against the rows at home there; a leaf that still holds more rows
+than SPLIT_ROWS, as the sample is bounded and the table isn't, grows its own tree over its rows and ranks in its leaves.
+
+Vectors travel to their leaves in single precision. A distance found there comes with the bound of its error, so the
+best k of all leaves are ranked exactly: where the order of two, or the side of the radius, isn't certain, the distance is
+computed again from the vectors themselves.
 
 Exact copies are searched once and expanded afterwards, so a vector with many copies fills no leaf.
 """
@@ -21,13 +25,15 @@ from pyspark.sql import functions as F
 
 from ..common import arrow_groups, materialize, table
 from .kmeans import RADIUS, VALID_SQL, cells_for, fit, neighbourhoods
-from .vectors import DIMS, hashed_vectors, matrix, without_copies
+from .vectors import DIMS, bytes_of, hashed_vectors, matrix, matrix_of, without_copies
 
 K = 5
 #: Rows of the sample for the planes, at most; trees; rows a leaf shall have; sample rows a leaf has at least.
-SAMPLE, TREES, LEAF_ROWS, LEAF_SAMPLE = 50_000, 6, 512, 8
-#: Leaves looked up for a row: for pairs within a radius, and in a search without one.
-NEAR_VISITS, VISITS = 10, 96
+SAMPLE, TREES, LEAF_ROWS, LEAF_SAMPLE = 200_000, 6, 512, 16
+#: Rows of a leaf, visitors counted, beyond which it grows a tree of its own; leaves that a row is looked up in there.
+SPLIT_ROWS, SPLIT_VISITS = 8192, 4
+#: Leaves looked up for a row: in a search without a radius; trees and leaves for pairs within one.
+VISITS, NEAR_TREES, NEAR_VISITS = 96, 4, 6
 SEED = 11
 
 
@@ -123,62 +129,109 @@ def lookup(forest: Forest, x: np.ndarray, visits: int, radius: float | None = No
     return rows, leaves, home
 
 
-def nearest_reps(points: DataFrame, n: int, k: int, visits: int, radius: float | None = None, trees: int = TREES, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(a, b, d2): for each row of `points` (rep, f, asks) that asks, the k best others found among all rows."""
+def best_in_leaf(rep: np.ndarray, home: np.ndarray, asks: np.ndarray, x: np.ndarray, k: int, radius: float | None, split: bool = True) -> list[tuple[np.ndarray, ...]]:
+    """(a, b, squared distance, bound of its error) of the k best home rows for each row that asks, and of what may be as
+    near as the last of them. `x` is in single precision, of numbers that were double."""
+    if not home.any() or not asks.any():
+        return []
+    if split and len(rep) > SPLIT_ROWS:
+        rng = np.random.default_rng(SEED)
+        drawn = np.sort(rng.choice(len(x), min(len(x), 20_000), replace=False))
+        y = x.astype(float)
+        inner = grow(y[drawn], 1, max(LEAF_SAMPLE, LEAF_ROWS * len(drawn) // len(x)))
+        row, leaf, own = lookup(inner, y, SPLIT_VISITS, radius)
+        order = np.argsort(leaf, kind="stable")
+        edges = np.flatnonzero(np.r_[True, np.diff(leaf[order]) != 0, True])
+        if len(edges) > 2:
+            out = []
+            for lo, hi in zip(edges, edges[1:]):
+                at = order[lo:hi]
+                out += best_in_leaf(rep[row[at]], home[row[at]] & own[at], asks[row[at]], x[row[at]], k, radius, False)
+            return out
+    size = np.sqrt((x.astype(float) ** 2).sum(1)) * 2.0**-23  # how far a vector may lie from what it was
+    x = x.astype(float) - x.mean(0, dtype=float)
+    there, xt, st = rep[home], x[home], size[home]
+    sq = (xt**2).sum(1)
+    out = []
+    for lo in range(0, int(asks.sum()), 1000):
+        a = np.flatnonzero(asks)[lo : lo + 1000]
+        sa = (x[a] ** 2).sum(1)
+        d = sa[:, None] + sq - 2 * (x[a] @ xt.T)
+        d[rep[a][:, None] == there] = np.inf
+        last = np.partition(d, k - 1, axis=1)[:, k - 1] if k < d.shape[1] else np.full(len(a), np.inf)
+        if radius is not None:
+            last = np.minimum(last, radius * radius)
+        # room for the errors of both distances that are compared, and of the arithmetic
+        off = (size[a] + st.max()) + 1e-7 * size[a].max() + 1e-30
+        room = 2 * (2 * np.sqrt(np.maximum(np.where(np.isfinite(last), last, 0), 0)) * off + off**2) + 1e-13 * (sa + sq.max())
+        q, c = np.nonzero((d <= (last + room)[:, None]) & np.isfinite(d))
+        if len(q):
+            near = np.sqrt(((x[a[q]] - xt[c]) ** 2).sum(1))
+            both = size[a[q]] + st[c]
+            out.append((rep[a[q]], there[c], near**2, (2 * near * both + both**2 + 1e-14 * (sa[q] + sq[c])).astype(np.float32)))
+    return out
+
+
+def nearest_reps(points: DataFrame, n: int, k: int, visits: int, radius: float | None = None, trees: int = TREES, leaf_rows: int = LEAF_ROWS, distances: bool = True) -> DataFrame:
+    """(a, b, d2): for each row of `points` (rep, f, asks) that asks, the k best others found among all rows, in their exact
+    order. Without `distances`, d2 may be off in the seventh digit where that changes no order."""
     u = F.pmod(F.xxhash64("rep", F.lit(SEED)), F.lit(1 << 20))
-    share = min(1.0, 0.95 * SAMPLE / n)
-    drawn = points.filter(u < share * (1 << 20)).select("rep", "f").limit(SAMPLE).collect()
+    want = min(SAMPLE, max(4096, LEAF_SAMPLE * n // leaf_rows))
+    drawn = points.filter(u < min(1.0, 1.1 * want / n) * (1 << 20)).select("rep", "f").limit(SAMPLE).collect() if n > want else []
     if not drawn:
         drawn = points.select("rep", "f").limit(SAMPLE).collect()
     sample = matrix([r.f for r in sorted(drawn, key=lambda r: r.rep)])
-    held = points.sparkSession.sparkContext.broadcast(grow(sample, trees, max(LEAF_SAMPLE, round(leaf_rows * len(sample) / n))))
+    mid = sample.mean(0)
+    held = points.sparkSession.sparkContext.broadcast((grow(sample - mid, trees, max(LEAF_SAMPLE, round(leaf_rows * len(sample) / n))), mid))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, mid = held.value
         for big in batches:
             for lo in range(0, big.num_rows, 4000):
                 b = big.slice(lo, 4000)
-                x, who = matrix(b.column(1).to_pylist()), b.column(2).to_numpy(zero_copy_only=False)
-                row, leaf, home = lookup(held.value, x[who], visits, radius)
-                row1, leaf1, home1 = lookup(held.value, x[~who], trees, 0.0)  # rows that don't ask lie in their own leaves
+                x, who = matrix_of(b.column(1)) - mid, b.column(2).to_numpy(zero_copy_only=False)
+                row, leaf, home = lookup(forest, x[who], visits, radius)
+                row1, leaf1, home1 = lookup(forest, x[~who], trees, 0.0)  # rows that don't ask lie in their own leaves
                 row, leaf, home = np.r_[np.flatnonzero(who)[row], np.flatnonzero(~who)[row1]], np.r_[leaf, leaf1], np.r_[home, home1]
-                asks = who[row]
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(home), pa.array(asks), b.column(0).take(take), b.column(1).take(take)], ["leaf", "home", "asks", "rep", "f"])
+                role = home * 1 + who[row] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(role, pa.int8()), b.column(0).take(pa.array(row)), bytes_of(x.astype(np.float32)[row])], ["leaf", "role", "rep", "f"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, home, asks, rep, f in arrow_groups(batches, 1):
-            if not home.any() or not asks.any():
-                continue
-            x = matrix(f)
-            x = x - x.mean(0)
-            there, xt = rep[home], x[home]
-            sq = (xt**2).sum(1)
-            for lo in range(0, int(asks.sum()), 1000):
-                a = np.flatnonzero(asks)[lo : lo + 1000]
-                d = (x[a] ** 2).sum(1)[:, None] + sq - 2 * (x[a] @ xt.T)
-                d[rep[a][:, None] == there] = np.inf
-                m = min(k + 3, d.shape[1])
-                best = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(m), (len(a), 1))
-                ok = np.isfinite(np.take_along_axis(d, best, 1))
-                if radius is not None:
-                    ok &= np.take_along_axis(d, best, 1) <= radius * radius + 1e-6
-                q, c = np.nonzero(ok)
-                if not len(q):
-                    continue
-                to = best[q, c]
-                exact = ((x[a][q] - xt[to]) ** 2).sum(1)
-                order = np.lexsort((there[to], exact, q))
-                q, to, exact = q[order], to[order], exact[order]
-                start = np.searchsorted(q, q)
-                first = np.arange(len(q)) - start < k
-                yield pa.RecordBatch.from_arrays([pa.array(rep[a][q][first]), pa.array(there[to][first]), pa.array(exact[first])], ["a", "b", "d2"])
-
-    groups = points.select("rep", "f", "asks").mapInArrow(spread, "leaf bigint, home boolean, asks boolean, rep bigint, f binary")
-    pairs = groups.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(rank, "a bigint, b bigint, d2 double")
-    # a pair met in several leaves has, but for rounding, the same distance there
-    once = pairs.groupBy("a", "b").agg(F.min("d2").alias("d2"))
+        for _, role, rep, f in arrow_groups(batches, 1):
+            x = np.frombuffer(b"".join(f), dtype=np.float32).reshape(len(f), -1)
+            for found in best_in_leaf(rep, role & 1 > 0, role & 2 > 0, x, k, radius):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a", "b", "d2", "off"])
+
+    groups = points.select("rep", "f", "asks").mapInArrow(spread, "leaf int, role tinyint, rep bigint, f binary")
+    pairs = groups.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(rank, "a bigint, b bigint, d2 double, off float")
+    # a pair met in several leaves has, but for its error, the same distance there
+    once = pairs.groupBy("a", "b").agg(F.min("d2").alias("d2"), F.max("off").cast("double").alias("off"))
     w = Window.partitionBy("a").orderBy("d2", "b")
-    return once.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
+    one = Window.partitionBy("a")
+    once = once.withColumn("rank", F.row_number().over(w)).withColumn("far", F.max(F.when(F.col("rank") <= k, F.col("d2") + F.col("off"))).over(one))
+    once = once.filter(F.col("d2") - F.col("off") <= F.col("far"))
+    if distances:
+        unsure = F.lit(True)
+    else:
+        meets = lambda o, sign: F.coalesce(F.abs(F.col("d2") - o("d2").over(w)) <= F.col("off") + o("off").over(w), F.lit(False))
+        unsure = meets(F.lag, -1) | meets(F.lead, 1)
+        if radius is not None:
+            unsure |= F.abs(F.col("d2") - radius * radius) <= F.col("off")
+    once = once.select("a", "b", "d2", unsure.alias("unsure"))
+    if not distances:
+        once = materialize(once, "pairs")
+    again = once.filter("unsure").select("a", "b")
+    left, right = points.select(F.col("rep").alias("a"), F.col("f").alias("fa")), points.select(F.col("rep").alias("b"), F.col("f").alias("fb"))
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                d = ((matrix_of(b.column(2)) - matrix_of(b.column(3))) ** 2).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(d)], ["a", "b", "d2"])
+
+    exact = again.join(left, "a").join(right, "b").select("a", "b", "fa", "fb").mapInArrow(measure, "a bigint, b bigint, d2 double")
+    found = exact if distances else exact.unionByName(once.filter("NOT unsure").select("a", "b", "d2"))
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).drop("rank")
 
 
 def nearest_rows(vectors: DataFrame, k: int = K, visits: int = VISITS, radius: float | None = None, queries: int = 1, **index) -> DataFrame:
@@ -207,9 +260,9 @@ def nearest_rows(vectors: DataFrame, k: int = K, visits: int = VISITS, radius: f
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def near_pairs(vectors: DataFrame, radius: float = RADIUS, k: int = K, visits: int = NEAR_VISITS, **index) -> DataFrame:
+def near_pairs(vectors: DataFrame, radius: float = RADIUS, k: int = K, visits: int = NEAR_VISITS, trees: int = NEAR_TREES, **index) -> DataFrame:
     """(vec_lo, vec_hi): pairs within the radius of which one is among the k most similar of the other."""
-    found = nearest_rows(vectors, k, visits, radius, **index).filter(F.col("d2") <= radius * radius)
+    found = nearest_rows(vectors, k, visits, radius, distances=False, trees=trees, **index).filter(F.col("d2") <= radius * radius)
     return found.select(F.least("vec_id", "other").alias("vec_lo"), F.greatest("vec_id", "other").alias("vec_hi")).distinct()
 
 

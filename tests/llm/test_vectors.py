@@ -110,6 +110,33 @@ def test_recall_of_the_search_without_radius(spark):
     assert len({a for a, _ in got}) == len(asked) and len(got & want) / len(want) >= 0.9
 
 
+def test_leaves_that_grow_trees_and_ties(spark, monkeypatch):
+    from regimeflow.llm import knn
+
+    x = np.random.default_rng(9).integers(0, 3, size=(900, 20)).astype(float)  # many equal distances
+    df = table(spark, x, first=20)
+    got = {}
+    for r in nearest_rows(hashed_vectors(df), queries=20, leaf_rows=10_000).collect():
+        got.setdefault(r.vec_id, []).append((r.rank, r.other))
+    d = ((x[:, None] - x[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    ids = np.arange(20, 920)
+    want = {int(ids[i]): [(m + 1, int(ids[j])) for m, j in enumerate(np.lexsort((ids, d[i]))[:5])] for i in range(0, 900, 20)}
+    assert {a: sorted(v) for a, v in got.items()} == want
+    rows = np.repeat(True, 900)
+    monkeypatch.setattr(knn, "SPLIT_ROWS", 300)
+    monkeypatch.setattr(knn, "LEAF_ROWS", 150)
+    y = np.random.default_rng(2).normal(size=(900, 20))
+    found = knn.best_in_leaf(ids, rows, rows, y.astype(np.float32), 5, None)
+    pairs = {(a, b) for p in found for a, b in zip(p[0], p[1])}
+    d = ((y[:, None] - y[None]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    hits = sum((int(ids[i]), int(ids[j])) in pairs for i in range(900) for j in np.argsort(d[i])[:5])
+    assert 0.5 < hits / 4500 and max(len(p[0]) for p in found) < 4500
+    for a, b, d2, off in found:
+        assert (np.abs(d2 - d[a - 20, b - 20]) <= off + 1e-12).all()
+
+
 def test_features_keep_distances():
     m = feature_map([f"vec_{i}" for i in range(20)] + ["state=1"], [1.0] * 20 + [0.0])
     x = np.random.default_rng(1).normal(size=(5, 20))
