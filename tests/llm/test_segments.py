@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from regimeflow.llm import segments
 from regimeflow.llm.segments import MAX_GAP, episodes, pelt, segment
 
 SCHEMA = "entity bigint, pos bigint, symbol int"
@@ -30,7 +31,7 @@ def cost_of(rows, pos, gap, penalty):
 
 
 @pytest.mark.parametrize("block", [3, 8, 4096])
-@pytest.mark.parametrize("penalty", [0.49, 1.7, 2.5])
+@pytest.mark.parametrize("penalty", [0.49, 1.7, 2.5, 7.5])
 def test_cost_is_the_least_for_any_block(spark, block, penalty):
     rng = np.random.default_rng(int(penalty * 10) + block)
     data, want = [], {}
@@ -55,6 +56,28 @@ def test_long_run_over_many_blocks_is_one_segment(spark):
     assert [(r.first_pos, r.last_pos, r.n, r.n_same) for r in got] == [(0, 1199, 1200, 1199)]
 
 
+@pytest.mark.parametrize("symbols", [2, 3, 4])
+def test_alternating_events_over_many_blocks(spark, symbols, monkeypatch):
+    """No run is heavy, so pieces reach over all blocks; their parts must cost no more, and as one piece no less."""
+    rng = np.random.default_rng(symbols)
+    data, want = [], {}
+    for e in range(6):
+        m = 90
+        pos = np.cumsum(rng.choice([1, 1, 1, 1, 2, 9], m))
+        favour = np.repeat(rng.integers(1, symbols + 1, m // 15), 15)
+        sym = np.where(rng.random(m) < 0.6, favour, rng.integers(1, symbols + 1, m))
+        data += [(e, int(p), int(s)) for p, s in zip(pos, sym)]
+        want[e] = brute(pos, sym, 4.2, MAX_GAP), pos
+    df = spark.createDataFrame(data, SCHEMA)
+    for most in (64, 1):
+        monkeypatch.setattr(segments, "SYMBOLS", most)
+        got = segment(df, 4.2, block=10).collect()
+        for e, (cost, pos) in want.items():
+            rows = [(r.first_pos, r.last_pos, r.n, r.n_same) for r in got if r.entity == e]
+            assert sum(r[2] for r in rows) == len(pos) and len(rows) > 1
+            assert cost_of(rows, pos, MAX_GAP, 4.2) == pytest.approx(cost)
+
+
 def test_nulls_repeats_clashing_columns_and_empty(spark):
     rows = [(1, 0, 1, "a"), (1, 0, 1, "b"), (1, 1, None, "c"), (None, 2, 1, "d"), (1, None, 1, "e"), (1, 3, 1, None)]
     df = spark.createDataFrame(rows, SCHEMA + ", block string")
