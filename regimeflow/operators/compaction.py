@@ -1,32 +1,43 @@
 """Compaction of partitioned tables of many small files, with snapshot versions and conflict checks.
 
-A table is a folder: `data/` holds Parquet files in partition folders, `_snapshots/` a JSON file per version. A version
-says which files each partition has, as their number, bytes and a sum of hashes of their names and sizes. To compact:
+A table is a folder. `data/gen=N/<partition>/` holds the Parquet files that version N wrote; no file is ever changed.
+`_snapshots/N.json` says what version N is and whether it is committed, `_snapshots/N/` is its manifest, a table with a
+row per file: readers of a version see its files and no others, whatever is written meanwhile. To compact:
 
-1. take the census of files (a Spark job over the listing; no file is opened) and pick the partitions with more than
-   `most_small` files under `small_bytes`;
+1. take the census of the version's files (its manifest, and files that others put beside them meanwhile) and pick the
+   partitions with more than `most_small` files under `small_bytes`;
 2. claim the next version by creating its file, which only one writer can;
-3. check that the picked partitions still are as the census saw them; if not, give the claim back (CompactionConflict);
-4. rewrite only these partitions by dynamic overwrite, each in as many files as its bytes ask for;
-5. check that as many rows are there as were written, and commit the version.
+3. rewrite the picked partitions, and only these, from just the files of the census, each in as many files as its bytes
+   ask for, by dynamic overwrite of the new generation's folder: a job that runs again replaces its own files only;
+4. check that all rows of the census' files were read, that all rows written are there, and that none of these files was
+   changed or removed since the census (CompactionConflict); files that others added since stay and join the version;
+5. write the manifest and commit the version. Replaced files stay for readers of older versions until vacuum().
 
-Executors that are lost are no matter: Spark runs their tasks again, and the commit of the overwrite moves only files
-of finished tasks. If the driver dies, the claim stays; recover() takes a new census and settles it.
+Executors that are lost are no matter: Spark runs their tasks again, and only files of finished tasks come into place. If
+the driver dies, its claim stays and its files belong to no version; recover() gives the claim up.
+
+The claim relies on a file system that creates a file exclusively, as HDFS and local ones do. On object stores without
+that, two writers may both believe to have the claim; there the folder needs a lock from outside.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import hadoop_fs
-
+from ..common import hadoop_fs, materialize
 
-#: Partitions that one job rewrites at most.
-MOST_PARTITIONS = 500
+#: Files, and partitions, of which a list goes through the driver at most; beyond, it stays a table that is joined.
+FEW = 10_000
+#: Tasks that write in a job, at most.
+MOST_TASKS = 20_000
+#: Names of columns that the table itself uses.
+RESERVED = frozenset(("gen", "_part", "_n", "_file", "_name"))
+MANIFEST = "file string, part string, bytes bigint, written timestamp, rows bigint, merged boolean"
 
 
 class CompactionConflict(RuntimeError):
@@ -42,13 +53,10 @@ class SnapshotTable:
 
     # versions
 
-    def _files(self) -> list[str]:
+    def _heads(self) -> list[int]:
         fs, p = hadoop_fs(self.spark, self.log)
-        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
-
-    def version(self) -> int:
-        """The last version, committed or claimed; 0 for a new table."""
-        return max((int(f.split(".")[0]) for f in self._files() if f.endswith(".json")), default=0)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json"))
 
     def snapshot(self, version: int) -> dict:
         fs, p = hadoop_fs(self.spark, f"{self.log}/{version:08d}.json")
@@ -58,6 +66,10 @@ class SnapshotTable:
         finally:
             stream.close()
 
+    def version(self) -> int:
+        """The last committed version; 0 for a new table."""
+        return next((v for v in reversed(self._heads()) if self.snapshot(v)["state"] == "committed"), 0)
+
     def _write(self, version: int, content: dict, overwrite: bool) -> None:
         fs, p = hadoop_fs(self.spark, f"{self.log}/{version:08d}.json")
         try:
@@ -72,108 +84,196 @@ class SnapshotTable:
             stream.close()
 
     def claim(self, what: str) -> int:
-        """Reserve the next version for this writer."""
-        last = self.version()
-        if last and self.snapshot(last)["state"] != "committed":
+        """Reserve the next version for this writer. A number is never used twice, so a writer that was given up can't
+        come into another's files."""
+        last = max(self._heads(), default=0)
+        if last and self.snapshot(last)["state"] == "claimed":
             raise CompactionConflict(f"version {last} is claimed")
         self._write(last + 1, {"state": "claimed", "what": what}, overwrite=False)
         return last + 1
 
     def release(self, version: int) -> None:
-        fs, p = hadoop_fs(self.spark, f"{self.log}/{version:08d}.json")
-        fs.delete(p, False)
-
-    def commit(self, version: int, what: str) -> None:
-        """Write the census of all partitions as a version; a row per partition comes to the driver."""
-        parts = {r["part"]: [r["files"], r["bytes"], r["print"]] for r in self.census().collect()}
-        self._write(version, {"state": "committed", "what": what, "partitions": parts}, overwrite=True)
+        """Give a claim up: its files, if any, belong to no version and are deleted."""
+        self._write(version, {"state": "abandoned"}, overwrite=True)
+        fs, p = hadoop_fs(self.spark, f"{self.data}/gen={version}")
+        fs.delete(p, True)
 
     def recover(self) -> None:
-        """Settle a claim that a dead writer left: what its jobs finished counts, as the census finds it."""
-        last = self.version()
-        if last and self.snapshot(last)["state"] != "committed":
-            self.commit(last, "recovered")
+        """Give up the claim that a dead writer left. What it hadn't committed was never part of the table."""
+        last = max(self._heads(), default=0)
+        if last and self.snapshot(last)["state"] == "claimed":
+            self.release(last)
 
     # files
 
-    def census(self, small_bytes: int = 1 << 26) -> DataFrame:
-        """part (folder below data/), files, bytes, small (files under small_bytes), print (of names and sizes)."""
-        fs, p = hadoop_fs(self.spark, self.data)
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """Files of a version: file (below data/), part, bytes, written, rows, merged (whether a key was made unique)."""
+        version = self.version() if version is None else version
+        if not version:
+            return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.log}/{version:08d}")
+
+    def _listing(self, generation: int | None = None) -> DataFrame:
+        """file, part, bytes, written of all files below data/, or of a generation; no file is opened."""
+        root = self.data if generation is None else f"{self.data}/gen={generation}"
+        fs, p = hadoop_fs(self.spark, root)
         if not fs.exists(p):
-            return self.spark.createDataFrame([], "part string, files bigint, bytes bigint, small bigint, print bigint")
-        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(self.data)
-        part = F.regexp_extract("path", r"/data/(?:(.*)/)?[^/]+$", 1)
-        return found.groupBy(part.alias("part")).agg(
-            F.count("*").alias("files"), F.sum("length").alias("bytes"), F.count(F.when(F.col("length") < small_bytes, 1)).alias("small"),
-            F.bit_xor(F.xxhash64("path", "length")).alias("print"),
+            return self.spark.createDataFrame([], MANIFEST).drop("rows", "merged")
+        found = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(root)
+        found = found.select(F.regexp_extract("_metadata.file_path", r"/data/(gen=\d+/.*)$", 1).alias("file"), F.col("_metadata.file_size").alias("bytes"), F.col("_metadata.file_modification_time").alias("written"))
+        return found.select("file", F.regexp_extract("file", r"^gen=\d+/(?:(.*)/)?[^/]+$", 1).alias("part"), "bytes", "written")
+
+    def _rows_of(self, files: DataFrame) -> DataFrame:
+        """file, rows: from the files' footers."""
+        if not files.head(1):
+            return self.spark.createDataFrame([], "file string, rows bigint")
+        return self._only(files).groupBy(F.col("_name").alias("file")).agg(F.count("*").alias("rows"))
+
+    def _with_strangers(self, known: DataFrame) -> DataFrame:
+        """A manifest with the files that others put into the folders of its files."""
+        folder = F.regexp_replace("file", r"/[^/]*$", "")
+        added = self._listing().withColumn("folder", folder).join(known.select(folder.alias("folder")).distinct(), "folder", "left_semi").drop("folder")
+        added = materialize(added.join(known.select("file"), "file", "left_anti"), "added")
+        return known.unionByName(added.join(self._rows_of(added), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("merged", F.lit(False)))
+
+    def census(self, small_bytes: int = 1 << 26) -> DataFrame:
+        """Of the last version: part (partition folder), files, bytes, small (files under small_bytes), rows, print (of its files)."""
+        return self._by_part(self.manifest(), small_bytes)
+
+    def _by_part(self, files: DataFrame, small_bytes: int) -> DataFrame:
+        return files.groupBy("part").agg(
+            F.count("*").alias("files"), F.sum("bytes").alias("bytes"), F.count(F.when(F.col("bytes") < small_bytes, 1)).alias("small"),
+            F.sum("rows").alias("rows"), F.bit_xor(F.xxhash64("file", "bytes", "written")).alias("print"), F.every("merged").alias("merged"),
         )
 
-    def read(self) -> DataFrame:
-        return self.spark.read.option("basePath", self.data).parquet(self.data)
+    def _only(self, files: DataFrame) -> DataFrame:
+        """Rows of just these files, with the partition columns, and _name, the file. Few files are opened by name, so no other
+        is listed."""
+        reader = self.spark.read.option("basePath", self.data)
+        names = [r.file for r in files.select("file").limit(FEW + 1).collect()]
+        file = F.regexp_extract("_metadata.file_path", r"/data/(gen=\d+/.*)$", 1)
+        if len(names) <= FEW:
+            return reader.parquet(*(f"{self.data}/{unquote(n)}" for n in names)).withColumn("_name", file)
+        return reader.parquet(self.data).withColumn("_name", file).join(files.select(F.col("file").alias("_name")), "_name", "left_semi")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """Rows of a version, by default the last committed one; an empty table has no columns but `gen`."""
+        files = self.manifest(version)
+        return self._only(files).drop("gen", "_name") if files.head(1) else self.spark.createDataFrame([], "gen int")
+
+    def _commit(self, version: int, what: str, files: DataFrame) -> None:
+        """Write the manifest, then the head that makes it a version."""
+        path = f"{self.log}/{version:08d}"
+        files.select(*(n.split()[0] for n in MANIFEST.split(", "))).coalesce(8).write.mode("overwrite").parquet(path)
+        total = self.spark.read.schema(MANIFEST).parquet(path).agg(F.count("*"), F.sum("bytes"), F.sum("rows")).first()
+        self._write(version, {"state": "committed", "what": what, "files": total[0], "bytes": total[1] or 0, "rows": total[2] or 0}, overwrite=True)
+
+    def _put(self, df: DataFrame, version: int) -> DataFrame:
+        """Write rows as a generation, by dynamic overwrite of its partitions; gives its files after counting their rows."""
+        seen = Observation()
+        rows = df.withColumn("gen", F.lit(version)).observe(seen, F.count(F.lit(1)).alias("n"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gen", *self.partition_by).parquet(self.data)
+        files = materialize(self._listing(version), "files")
+        files = materialize(files.join(self._rows_of(files), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0))), "files")
+        there = files.agg(F.sum("rows")).first()[0] or 0
+        if there != seen.get["n"]:
+            raise RuntimeError(f"{seen.get['n']} rows were written, {there} are there")
+        return files
 
     def append(self, df: DataFrame) -> int:
-        """Add rows as new files; gives the new version."""
+        """Add rows as new files; gives the new version. Columns may not be named as those in RESERVED."""
+        if clash := sorted(RESERVED.intersection(df.columns)):
+            raise ValueError(f"columns {', '.join(clash)} are the table's own")
+        known = self._with_strangers(self.manifest())
         version = self.claim("append")
         try:
-            df.write.mode("append").partitionBy(*self.partition_by).parquet(self.data)
-        except Exception:
-            self.recover()
+            files = self._put(df, version)
+            self._commit(version, "append", known.unionByName(files.withColumn("merged", F.lit(False))))
+        except BaseException:
+            self.release(version)
             raise
-        self.commit(version, "append")
         return version
 
-    def _part(self) -> Column:
-        """The partition folder's name from the partition columns."""
-        null = "__HIVE_DEFAULT_PARTITION__"
-        cols = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(null))) for c in self.partition_by]
-        return F.concat_ws("/", *cols)
-
-    def compact(self, small_bytes: int = 1 << 26, most_small: int = 8, target_bytes: int = 1 << 28, key: Sequence[str] = (), merge: dict[str, Column] | None = None, before_write=None) -> int | None:
+    def compact(
+        self, small_bytes: int = 1 << 26, most_small: int = 8, target_bytes: int = 1 << 28, key: Sequence[str] = (), merge: dict[str, Column] | None = None,
+        before_write: Callable | None = None, before_commit: Callable | None = None,
+    ) -> int | None:
         """Rewrite the partitions that have more than `most_small` small files; gives the version, or None if there are none.
 
         With a `key`, rows that repeat it become one: other columns come from any of them, those in `merge` from its
-        aggregates. `before_write` is called before the conflict check (for tests).
+        aggregates; partitions with files of which that isn't known yet are rewritten too. The two functions are called
+        before the rewrite and before the last check (for tests).
         """
-        picked = self.census(small_bytes).filter(F.col("small") > most_small).collect()  # a row per such partition
-        if not picked:
+        before = self._with_strangers(self.manifest())
+        wanted = F.col("small") > most_small
+        if key:
+            wanted |= ~F.col("merged")
+        picked = materialize(self._by_part(before, small_bytes).filter(wanted).select("part", "bytes"), "picked")
+        if not picked.head(1):
             return None
         version = self.claim("compact")
-        if before_write:
-            before_write()
-        names = [r["part"] for r in picked]
-        now = {r["part"]: r["print"] for r in self.census(small_bytes).filter(F.col("part").isin(names)).collect()}
-        if now != {r["part"]: r["print"] for r in picked}:
-            self.release(version)
-            raise CompactionConflict("partitions changed since the census")
         try:
-            for at in range(0, len(picked), MOST_PARTITIONS):
-                self._rewrite({r["part"]: max(1, -(-r["bytes"] // target_bytes)) for r in picked[at : at + MOST_PARTITIONS]}, key, merge or {})
-        except Exception:
-            self.recover()
+            sources = materialize(before.join(picked.select("part"), "part", "left_semi"), "sources")
+            if before_write:
+                before_write()
+            files = self._rewrite(version, sources, picked, target_bytes, key, merge or {})
+            if before_commit:
+                before_commit()
+            now = self._listing()
+            lost = sources.select("file", "bytes", "written").exceptAll(now.select("file", "bytes", "written"))
+            if lost.head(1):
+                raise CompactionConflict("files were changed or removed since the census")
+            # files that came since the census are nobody's source; they go on
+            rest = self._with_strangers(self.manifest()).join(sources.select("file"), "file", "left_anti")
+            self._commit(version, "compact", rest.unionByName(files.withColumn("merged", F.lit(bool(key)))))
+        except BaseException:
+            self.release(version)
             raise
-        self.commit(version, "compact")
         return version
 
-    def _rewrite(self, files: dict[str, int], key: Sequence[str], merge: dict[str, Column]) -> None:
-        """Overwrite these partitions, each in the given number of files, and check the number of rows."""
-        number = F.create_map(*(F.lit(x) for pair in files.items() for x in pair))
-        old = self._only(list(files))
+    def _rewrite(self, version: int, sources: DataFrame, picked: DataFrame, target_bytes: int, key: Sequence[str], merge: dict[str, Column]) -> DataFrame:
+        """Write the sources' rows as a generation, each partition in the files its bytes ask for."""
+        seen = Observation()
+        old = self._only(sources).drop("gen", "_name")
         rest = [c for c in old.columns if c not in self.partition_by]
+        old = old.observe(seen, F.count(F.lit(1)).alias("n"))
         if key:
             aggs = [merge[c].alias(c) if c in merge else F.first(c).alias(c) for c in rest if c not in key]
             old = old.groupBy(*self.partition_by, *(c for c in key if c not in self.partition_by)).agg(*aggs)
-        spread = F.pmod(F.xxhash64(*(key or rest)), number[self._part()])
-        seen = Observation()
-        sized = (
-            old.withColumn("_file", spread.cast("int"))
-            .repartition(sum(files.values()), *self.partition_by, "_file")
-            .drop("_file").select(*rest, *self.partition_by).observe(seen, F.count(F.lit(1)).alias("n"))
-        )
-        sized.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*self.partition_by).parquet(self.data)
-        there = self._only(list(files)).count()
-        if there != seen.get["n"]:
-            raise RuntimeError(f"{seen.get['n']} rows were written, {there} are there")
+        number = picked.select(F.col("part").alias("_part"), F.greatest(F.ceil(F.col("bytes") / F.lit(target_bytes)), F.lit(1)).alias("_n"))
+        total = number.agg(F.sum("_n"), F.count("*")).first()
+        small = number.hint("broadcast") if total[1] <= FEW else number
+        sized = old.withColumn("_part", self._part()).join(small, "_part", "left").withColumn("_file", F.pmod(F.xxhash64(*(key or rest)), F.coalesce("_n", F.lit(1))))
+        sized = sized.repartition(min(total[0], MOST_TASKS), *self.partition_by, "_file").select(*rest, *self.partition_by)
+        files = self._put(sized, version)
+        expected = sources.agg(F.sum("rows")).first()[0] or 0
+        if seen.get["n"] != expected:
+            raise RuntimeError(f"of {expected} rows {seen.get['n']} were read")
+        return files
+
+    def _part(self) -> Column:
+        """The partition folder's name from the partition columns, as Spark spells plain values; others get one file."""
+        null = "__HIVE_DEFAULT_PARTITION__"
+        cols = [F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit(null))) for c in self.partition_by]
+        return F.concat_ws("/", *cols)
 
-    def _only(self, names: list[str]) -> DataFrame:
-        """Rows of these partitions; the condition is on partition columns only, so other files aren't read."""
-        return self.read().filter(self._part().isin(names))
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete the files that only versions before the last `keep` have; gives their number. Those versions can't be read
+        any more. Files that no version lists are left alone."""
+        versions = [v for v in self._heads() if self.snapshot(v)["state"] == "committed"]
+        old, kept = versions[:-keep], versions[-keep:]
+        if not old or not kept:
+            return 0
+        wanted = self.manifest(kept[0]).select("file")
+        for v in kept[1:]:
+            wanted = wanted.unionByName(self.manifest(v).select("file"))
+        gone = self.manifest(old[0]).select("file")
+        for v in old[1:]:
+            gone = gone.unionByName(self.manifest(v).select("file"))
+        n = 0
+        for r in materialize(gone.distinct().join(wanted, "file", "left_anti"), "gone").toLocalIterator():
+            fs, p = hadoop_fs(self.spark, f"{self.data}/{unquote(r.file)}")
+            n += bool(fs.delete(p, False))
+        for v in old:
+            self._write(v, {"state": "vacuumed"}, overwrite=True)
+        return n

@@ -17,7 +17,7 @@ from .state_files import component
 KINDS = ("dataOro", "ftle")
 NAME = r"(dataoro|ftle)_?([0-9]+)_([0-9]+)"
 #: Runs in a partition of the table.
-RUNS_PER_GROUP = 1000
+RUNS_PER_GROUP = 100
 KEY = ["file_kind", "run_id", "t_idx"]
 
 
@@ -62,7 +62,8 @@ def samples(saved: DataFrame) -> DataFrame:
 def compacted(saved: DataFrame, root: str | None = None, target_bytes: int = 1 << 28) -> SnapshotTable:
     """A table, by kind and group of runs, of all samples that whole files hold, each once, in few files.
 
-    First every sample goes in as it arrives, in many small files; then the partitions with more than one are compacted.
+    First every sample goes in as it arrives, in many small files; then the partitions are compacted, and in each the
+    samples that several files hold become one row, with their number.
     """
     spark = saved.sparkSession
     t = SnapshotTable(spark, root or new_path(spark, "samples"), ["file_kind", "run_group"])
@@ -72,14 +73,12 @@ def compacted(saved: DataFrame, root: str | None = None, target_bytes: int = 1 <
 
 
 def held_samples(t: SnapshotTable, spark: SparkSession) -> DataFrame:
-    """file_kind, run_id, t_idx, x, n_files of the table; each sample once, also in partitions that needed no compaction."""
-    try:
-        rows = t.read()
-    except Exception:
-        if t.census().count():
-            raise
+    """file_kind, run_id, t_idx, x, n_files of the compacted table."""
+    if not t.manifest().head(1):
         return spark.createDataFrame([], "file_kind string, run_id int, t_idx bigint, x array<double>, n_files bigint")
-    return rows.groupBy(*KEY).agg(F.first("x").alias("x"), F.sum("n_files").alias("n_files"))
+    if t.manifest().filter("NOT merged").head(1):
+        raise ValueError("the table isn't compacted")
+    return t.read().select(*KEY, "x", "n_files")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
