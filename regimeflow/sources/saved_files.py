@@ -17,7 +17,7 @@ from .state_files import component
 KINDS = ("dataOro", "ftle")
 NAME = r"(dataoro|ftle)_?([0-9]+)_([0-9]+)"
 #: Runs in a partition of the table.
-RUNS_PER_GROUP = 100
+RUNS_PER_GROUP = 250
 KEY = ["file_kind", "run_id", "t_idx"]
 
 
