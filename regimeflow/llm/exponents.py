@@ -12,6 +12,8 @@ from .quantiles import merge_sketches, percentiles, sketch_columns
 
 LAMBDAS = [f"lambda_{i}" for i in range(1, 7)]
 QS = [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]
+#: Samples of a day, where sketches of days are combined.
+DAY = 500
 #: Of the cases: how many times the distance between the 5th and 95th percentile.
 FAR = 6.0
 
@@ -60,6 +62,43 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return far_values(labelled, state_percentiles(labelled))
 
 
+def merged_days(labelled: DataFrame, qs: list[float] = QS, day: int = DAY) -> DataFrame:
+    """(state, lambda_no, q, value, n, rank_error) from a sketch for each day (of `day` samples), kept and then combined."""
+    keyed = labelled.withColumn("part", (F.floor(F.col("t_idx") / F.lit(day)) * 8 + F.col("state")).cast("int"))
+    parts = materialize(sketch_columns(keyed, "part", LAMBDAS, "lambda_no"), "sketches")
+    nodes = (parts.agg(F.max("node")).first()[0] or 0) + 1
+    days = materialize(merge_sketches(parts, ["part", "lambda_no"], nodes), "days")  # what a day's job would leave behind
+    days = days.withColumn("state", F.pmod("part", F.lit(8))).withColumn("node", F.expr("part div 8").cast("int")).drop("part")
+    last = (days.agg(F.max("node")).first()[0] or 0) + 1
+    return percentiles(merge_sketches(days, ["state", "lambda_no"], last), ["state", "lambda_no"], qs)
+
+
+def rank_checks(labelled: DataFrame, stats: DataFrame) -> DataFrame:
+    """(state, lambda_no, q, n, within): whether each value's true rank is off by no more than its bound says."""
+    value = F.inline(F.array(*(F.struct(F.lit(j).alias("lambda_no"), F.col(c).alias("v")) for j, c in enumerate(LAMBDAS, 1))))
+    rows = labelled.select("state", value).filter("v IS NOT NULL AND NOT isnan(v)")
+    # a row per state, exponent and percentile
+    met = rows.join(F.broadcast(stats.withColumnRenamed("n", "told")), ["state", "lambda_no"]).groupBy("state", "lambda_no", "q", "told", "rank_error").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("v") < F.col("value"), 1)).alias("below"), F.count(F.when(F.col("v") <= F.col("value"), 1)).alias("upto")
+    )
+    want, off = F.col("q") * (F.col("n") - 1), F.col("rank_error") * F.col("n") + 1
+    return met.select("state", "lambda_no", "q", F.col("told").alias("n"), ((F.col("below") - off <= want) & (want <= F.col("upto") + off) & (F.col("told") == F.col("n"))).alias("within"))
+
+
+def p2_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles combined from the sketches of separate days, checked against all values."""
+    labelled = materialize(labelled_exponents(table(spark, sf_dir, "local_exponents"), table(spark, sf_dir, "regime")), "p2")
+    return rank_checks(labelled, materialize(merged_days(labelled), "merged"))
+
+
+_VALUES = f"""
+WITH st AS ({state_samples_sql()}),
+once AS (SELECT run_id, t_idx, {", ".join(f"max({c}) AS {c}" for c in LAMBDAS)} FROM local_exponents GROUP BY ALL),
+v AS (SELECT o.run_id, o.t_idx, st.state, CAST(u.no AS INTEGER) AS lambda_no, u.v FROM once o JOIN st USING (run_id, t_idx),
+  LATERAL (VALUES {", ".join(f"({i}, o.{c})" for i, c in enumerate(LAMBDAS, 1))}) u(no, v)
+  WHERE u.v IS NOT NULL AND NOT isnan(u.v))"""
+P2_MERGED_SQL = f"""{_VALUES}
+SELECT state, lambda_no, CAST(q AS DOUBLE) AS q, CAST(count(*) AS BIGINT) AS n, TRUE AS within FROM v, (VALUES {", ".join(f"({q})" for q in QS)}) p(q) GROUP BY ALL"""
 P2_FOUND_SQL = f"""
 WITH st AS ({state_samples_sql()}),
 once AS (SELECT run_id, t_idx, {", ".join(f"max({c}) AS {c}" for c in LAMBDAS)} FROM local_exponents GROUP BY ALL),

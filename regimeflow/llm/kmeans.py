@@ -381,7 +381,8 @@ def describe(groups: DataFrame, snaps: DataFrame, typical: int = 3) -> DataFrame
     centre = x.groupBy("cluster_id").agg(F.count("*").alias("size"), F.array(*(F.avg(p) for p in parts)).alias("centre"))
     dist = F.sqrt(F.aggregate(F.zip_with("vec", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
     far = x.join(centre, "cluster_id").select("cluster_id", "vec_id", "size", dist.alias("dist"))
-    first = Window.partitionBy("cluster_id").orderBy("dist", "vec_id")
+    # members that are equally far but for rounding, such as the two of a pair, come by id
+    first = Window.partitionBy("cluster_id").orderBy(F.round("dist", 9), "vec_id")
     top = (
         far.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= typical)
         .groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("t"))
@@ -429,6 +430,12 @@ def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(similar_groups(hashed_vectors(snaps)), snaps)
 
 
+def p1_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p1_clusters in plain columns: size, regime, spread and the three most typical members of each cluster."""
+    typical = [F.get("typical", F.lit(i)).alias(f"typical_{i + 1}") for i in range(3)]
+    return p1_clusters(spark, sf_dir).select("cluster_id", "size", "regime", F.round("spread", 6).alias("spread"), *typical)
+
+
 def p1_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmeans_cells(table(spark, sf_dir, "state_snap"), state_weight=1.0)
 
@@ -440,3 +447,14 @@ WITH v AS MATERIALIZED (SELECT vec_id, CAST(vec AS DOUBLE[{DIMS}]) AS x FROM ({V
 n AS (SELECT a.vec_id, list(b.vec_id ORDER BY b.vec_id) AS hood FROM v a JOIN v b ON array_distance(a.x, b.x) <= {RADIUS} GROUP BY a.vec_id),
 g AS (SELECT hood FROM n GROUP BY hood HAVING count(*) = len(hood) AND len(hood) >= 2)
 SELECT hood[1] AS cluster_id, vec_id FROM n JOIN g USING (hood)"""
+
+P1_DESCRIBED_SQL = f"""
+WITH m AS MATERIALIZED ({P1_FOUND_SQL}),
+x AS MATERIALIZED (SELECT m.cluster_id, m.vec_id, s.state, s.vec FROM m JOIN state_snap s USING (vec_id)),
+l AS (SELECT cluster_id, vec_id, unnest(vec) AS v, unnest(range(1, {DIMS + 1})) AS i FROM x),
+c AS (SELECT cluster_id, i, avg(v) AS c FROM l GROUP BY ALL),
+d AS (SELECT cluster_id, vec_id, sqrt(sum((v - c) * (v - c))) AS dist FROM l JOIN c USING (cluster_id, i) GROUP BY ALL),
+r AS (SELECT cluster_id, vec_id, dist, row_number() OVER (PARTITION BY cluster_id ORDER BY round(dist, 9), vec_id) AS k FROM d),
+g AS (SELECT cluster_id, state, row_number() OVER (PARTITION BY cluster_id ORDER BY count(*) DESC, state) AS k FROM x WHERE state BETWEEN 1 AND 4 GROUP BY cluster_id, state)
+SELECT cluster_id, CAST(count(*) AS BIGINT) AS size, (SELECT state FROM g WHERE g.cluster_id = r.cluster_id AND k = 1) AS regime, round(avg(dist), 6) AS spread,
+  max(CASE WHEN k = 1 THEN vec_id END) AS typical_1, max(CASE WHEN k = 2 THEN vec_id END) AS typical_2, max(CASE WHEN k = 3 THEN vec_id END) AS typical_3 FROM r GROUP BY cluster_id"""

@@ -1,6 +1,6 @@
 import numpy as np
 
-from regimeflow.llm.exponents import LAMBDAS, far_values, labelled_exponents, state_percentiles
+from regimeflow.llm.exponents import LAMBDAS, far_values, labelled_exponents, merged_days, rank_checks, state_percentiles
 
 EXP = "run_id int, t_idx bigint, " + ", ".join(f"{c} double" for c in LAMBDAS) + ", q double, state string"
 REG = "run_id int, t_idx bigint, state int, label string, prob double, value int"
@@ -28,4 +28,8 @@ def test_far_values_equal_brute_force(spark):
             lo, med, hi = np.percentile(lam[rows, j], [5, 50, 95])
             want |= {(1, i, j + 1) for i in rows if abs(lam[i, j] - med) > 6 * (hi - lo)}
     assert got == want and {(1, 5, 1), (1, 17, 4)} <= got
+    checked = rank_checks(labelled, merged_days(labelled, day=100)).collect()
+    assert len(checked) == 3 * 6 * 7 and all(r.within for r in checked)
+    wrong = stats.withColumn("value", stats.value + 0.5)
+    assert not any(r.within for r in rank_checks(labelled, wrong).filter("q = 0.5").collect())
     assert far_values(labelled.limit(0), stats.limit(0)).count() == 0
