@@ -4,7 +4,7 @@ A table is a folder. `data/gen=N/<partition>/` holds the Parquet files that vers
 `_snapshots/N.json` says what version N is and whether it is committed, `_snapshots/N/` is its manifest, a table with a
 row per file: readers of a version see its files and no others, whatever is written meanwhile. To compact:
 
-1. take the census of the version's files (its manifest, and files that others put beside them meanwhile) and pick the
+1. take the census of the version's files (its manifest, and files that others put beside them since) and pick the
    partitions with more than `most_small` files under `small_bytes`;
 2. claim the next version by creating its file, which only one writer can;
 3. rewrite the picked partitions, and only these, from just the files of the census, each in as many files as its bytes
@@ -125,15 +125,20 @@ class SnapshotTable:
 
     def _rows_of(self, files: DataFrame) -> DataFrame:
         """file, rows: from the files' footers."""
-        if not files.head(1):
+        names = self._names(files)
+        if not names:
             return self.spark.createDataFrame([], "file string, rows bigint")
-        return self._only(files).groupBy(F.col("_name").alias("file")).agg(F.count("*").alias("rows"))
+        return self._only(files, names).groupBy(F.col("_name").alias("file")).agg(F.count("*").alias("rows"))
 
     def _with_strangers(self, known: DataFrame) -> DataFrame:
         """A manifest with the files that others put into the folders of its files."""
         folder = F.regexp_replace("file", r"/[^/]*$", "")
         added = self._listing().withColumn("folder", folder).join(known.select(folder.alias("folder")).distinct(), "folder", "left_semi").drop("folder")
-        added = materialize(added.join(known.select("file"), "file", "left_anti"), "added")
+        added = added.join(known.select("file"), "file", "left_anti")
+        names = self._names(added)
+        if not names:
+            return known
+        added = materialize(added, "added")
         return known.unionByName(added.join(self._rows_of(added), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0))).withColumn("merged", F.lit(False)))
 
     def census(self, small_bytes: int = 1 << 26) -> DataFrame:
@@ -146,11 +151,16 @@ class SnapshotTable:
             F.sum("rows").alias("rows"), F.bit_xor(F.xxhash64("file", "bytes", "written")).alias("print"), F.every("merged").alias("merged"),
         )
 
-    def _only(self, files: DataFrame) -> DataFrame:
+    @staticmethod
+    def _names(files: DataFrame) -> list[str]:
+        """Names of files, more than FEW only if there are more."""
+        return [r.file for r in files.select("file").limit(FEW + 1).collect()]
+
+    def _only(self, files: DataFrame, names: list[str] | None = None) -> DataFrame:
         """Rows of just these files, with the partition columns, and _name, the file. Few files are opened by name, so no other
         is listed."""
         reader = self.spark.read.option("basePath", self.data)
-        names = [r.file for r in files.select("file").limit(FEW + 1).collect()]
+        names = self._names(files) if names is None else names
         file = F.regexp_extract("_metadata.file_path", r"/data/(gen=\d+/.*)$", 1)
         if len(names) <= FEW:
             return reader.parquet(*(f"{self.data}/{unquote(n)}" for n in names)).withColumn("_name", file)
@@ -159,7 +169,8 @@ class SnapshotTable:
     def read(self, version: int | None = None) -> DataFrame:
         """Rows of a version, by default the last committed one; an empty table has no columns but `gen`."""
         files = self.manifest(version)
-        return self._only(files).drop("gen", "_name") if files.head(1) else self.spark.createDataFrame([], "gen int")
+        names = self._names(files)
+        return self._only(files, names).drop("gen", "_name") if names else self.spark.createDataFrame([], "gen int")
 
     def _commit(self, version: int, what: str, files: DataFrame) -> None:
         """Write the manifest, then the head that makes it a version."""
@@ -173,7 +184,7 @@ class SnapshotTable:
         seen = Observation()
         rows = df.withColumn("gen", F.lit(version)).observe(seen, F.count(F.lit(1)).alias("n"))
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("gen", *self.partition_by).parquet(self.data)
-        files = materialize(self._listing(version), "files")
+        files = self._listing(version)
         files = materialize(files.join(self._rows_of(files), "file", "left").withColumn("rows", F.coalesce("rows", F.lit(0))), "files")
         there = files.agg(F.sum("rows")).first()[0] or 0
         if there != seen.get["n"]:
@@ -184,7 +195,7 @@ class SnapshotTable:
         """Add rows as new files; gives the new version. Columns may not be named as those in RESERVED."""
         if clash := sorted(RESERVED.intersection(df.columns)):
             raise ValueError(f"columns {', '.join(clash)} are the table's own")
-        known = self._with_strangers(self.manifest())
+        known = self.manifest()
         version = self.claim("append")
         try:
             files = self._put(df, version)
