@@ -541,15 +541,16 @@ def stored_states(spark: SparkSession, d: str) -> DataFrame:
     return back.select("run_id", F.col("y_1").cast("bigint").alias("t_idx"), *(F.col(f"y_{i + 2}").alias(c) for i, c in enumerate(XS)))
 
 
-@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT '{c}' AS var, CAST(count({c}) AS BIGINT) AS n, CAST(0 AS DOUBLE) AS mean, CAST(1 AS DOUBLE) AS deviation FROM t" for c in XS)}""")
+@query(f"""WITH t AS {stats.CLEAN_SQL} {" UNION ALL ".join(f"SELECT '{c}' AS var, CAST(count({c}) AS BIGINT) AS n, TRUE AS mean_fits, TRUE AS deviation_fits FROM t" for c in XS)}""")
 def noise_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and deviation of the noise on each column, in units of its strength, to one digit: 0 and 1."""
+    """Whether mean and deviation of the noise on each column, in units of its strength, are 0 and 1 to five standard errors."""
     rows = trajectory(spark, d)
     noisy = forecast.with_noise(rows, XS, 0.01, KEY).select(*KEY, *(F.col(c).alias(f"n_{c}") for c in XS))
     both = rows.join(noisy, KEY).crossJoin(F.broadcast(rows.agg(*(F.stddev_pop(c).alias(f"s_{c}") for c in XS))))
     z = {c: (F.col(f"n_{c}") - F.col(c)) / (0.01 * F.col(f"s_{c}")) for c in XS}
     row = both.agg(*(f(x).alias(f"{k}_{c}") for c, x in z.items() for k, f in (("c", F.count), ("m", F.avg), ("d", F.stddev_pop))))
-    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("var"), F.col(f"c_{c}").alias("n"), F.abs(F.round(f"m_{c}", 1)).alias("mean"), F.round(f"d_{c}", 1).alias("deviation")) for c in XS))))
+    fits = lambda c: ((F.abs(f"m_{c}") * F.sqrt(f"c_{c}") < 5).alias("mean_fits"), (F.abs(F.col(f"d_{c}") - 1) * F.sqrt(2 * F.col(f"c_{c}")) < 5).alias("deviation_fits"))
+    return row.select(F.inline(F.array(*(F.struct(F.lit(c).alias("var"), F.col(f"c_{c}").alias("n"), *fits(c)) for c in XS))))
 
 
 @query("SELECT DISTINCT run_id FROM run_info WHERE run_id IS NOT NULL AND run_id NOT IN (SELECT run_id FROM trajectory WHERE run_id IS NOT NULL)")
