@@ -4,8 +4,9 @@ The operators take an `entity` column (a run), order columns and a state column;
 null state is a state of its own (compared null-safe).
 
 One entity may hold a third of all rows, so none is ordered whole: rows fall into blocks by their first order column
-(BLOCK_ROWS steps of a number, a day of a timestamp), each block is ordered by itself, and what passes from a block to
-the next (its last state, how many rows and changes it has) is carried over in a table of one row per block.
+(BLOCK_ROWS steps of a number, a day of a date or timestamp), each block is ordered by itself, and what passes from a
+block to the next (its last state, how many rows and changes it has, where an episode ends that it leaves open) is
+carried over in a table of one row per block. Rows are shuffled once, by entity and block; all that follows keeps that.
 """
 
 from __future__ import annotations
@@ -19,60 +20,80 @@ BLOCK_ROWS, BLOCK_SECONDS = 65_536, 86_400
 
 
 def block_of(df: DataFrame, order: Sequence[str]) -> Column:
-    """Block of a row: never falls along the order; rows without a first order value come first, as in a sort."""
+    """Block of a row: never falls along the order; rows without a first order value come first, NaN last, as in a sort.
+
+    The first order column is a number, a date or a timestamp; others have no blocks of even size and are refused."""
     kind = dict(df.dtypes)[order[0]]
     c = F.col(order[0])
     if kind.startswith("timestamp"):
         at = F.floor(F.unix_timestamp(c) / BLOCK_SECONDS)
-    elif kind in ("tinyint", "smallint", "int", "bigint"):
+    elif kind == "date":
+        at = F.unix_date(c)
+    elif kind in ("float", "double"):
+        at = F.when(F.isnan(c), F.lit(1 << 62)).otherwise(F.floor(c / BLOCK_ROWS))
+    elif kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal"):
         at = F.floor(c / BLOCK_ROWS)
     else:
-        at = F.lit(0)
+        raise ValueError(f"{order[0]} is a {kind}; the first order column must be a number, a date or a timestamp")
     return F.coalesce(at.cast("bigint"), F.lit(-(1 << 62)))
 
 
+def _keyed(df: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
+    """df with _b, the block, and _e, the entity as a struct: structs with null are equal, so that windows, groups and joins
+    by (_e, _b) all agree in their partitioning."""
+    return df.withColumn("_b", block_of(df, order)).withColumn("_e", F.struct(F.col(entity).alias("key")))
+
+
 def numbered(df: DataFrame, entity: str, order: Sequence[str]) -> DataFrame:
     """Adds rn: 0-based place of a row in its entity's sequence. Rows that tie in all order columns come in any order."""
-    w = Window.partitionBy(entity, "_b").orderBy(*order)
-    local = df.withColumn("_b", block_of(df, order)).withColumn("_i", F.row_number().over(w) - 1)
-    sizes = local.groupBy(entity, "_b").agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(entity).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(entity).alias("_e"), F.col("_b").alias("_c"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    joined = local.join(sizes, local[entity].eqNullSafe(sizes["_e"]) & (local["_b"] == sizes["_c"]))
-    return joined.withColumn("rn", (F.col("_before") + F.col("_i")).cast("bigint")).select(*df.columns, "rn")
-
-
-def _chained(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
-    """df with _b, rn, _new (whether the state differs from the row before), _next and _has_next of the row after, and
-    the number of changes up to the row in _ep."""
-    w = Window.partitionBy(entity, "_b").orderBy(*order)
+    local = _keyed(df, entity, order).withColumn("_i", F.row_number().over(Window.partitionBy("_e", "_b").orderBy(*order)) - 1)
+    upto = Window.partitionBy("_e").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = local.groupBy("_e", "_b").agg(F.count("*").alias("_n")).select("_e", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_rows"))
+    return local.join(sizes, ["_e", "_b"]).withColumn("rn", (F.col("_rows") + F.col("_i")).cast("bigint")).select(*df.columns, "rn")
+
+
+def _chained(df: DataFrame, entity: str, order: Sequence[str], state: str, ends: bool = False) -> DataFrame:
+    """df with rn, _next and _has_next of the row after, and the number of changes up to the row in _ep; if `ends`, also with
+    the places of the last row of its episode in _end and of its entity in _size."""
+    w = Window.partitionBy("_e", "_b").orderBy(*order)
     i = F.row_number().over(w)
     local = (
-        df.withColumn("_b", block_of(df, order)).withColumn("_i", i - 1)
+        _keyed(df, entity, order).withColumn("_i", i - 1)
         .withColumn("_new", F.when((i > 1) & F.lag(state).over(w).eqNullSafe(F.col(state)), 0).otherwise(1))
         .withColumn("_next", F.lead(state).over(w)).withColumn("_in", F.lead(F.lit(1)).over(w))
         .withColumn("_ch", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     )
     # the block's first row counts as new in _ch; whether it is, the block before tells
-    ends = local.groupBy(entity, "_b").agg(
-        F.count("*").alias("_n"), F.sum("_new").alias("_k"),
-        F.max(F.when(F.col("_i") == 0, F.struct(F.col(state).alias("s")))).alias("_first"), F.max(F.when(F.col("_in").isNull(), F.struct(F.col(state).alias("s")))).alias("_last"),
+    held = F.struct(F.col(state).alias("s"))
+    blocks = local.groupBy("_e", "_b").agg(
+        F.count("*").alias("_n"), F.sum("_new").alias("_k"), F.min(F.when((F.col("_new") == 1) & (F.col("_i") > 0), F.col("_i"))).alias("_second"),
+        F.max(F.when(F.col("_i") == 0, held)).alias("_first"), F.max(F.when(F.col("_in").isNull(), held)).alias("_last"),
     )
-    chain = Window.partitionBy(entity).orderBy("_b")
+    chain = Window.partitionBy("_e").orderBy("_b")
     upto = chain.rowsBetween(Window.unboundedPreceding, -1)
     before = F.lag("_last").over(chain)
-    ends = ends.withColumn("_same", F.when(before.isNotNull() & before["s"].eqNullSafe(F.col("_first")["s"]), 1).otherwise(0))
-    ends = ends.select(
-        F.col(entity).alias("_e"), F.col("_b").alias("_c"), "_same", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_rows"),
-        (F.coalesce(F.sum(F.col("_k") - F.col("_same")).over(upto), F.lit(0)) - F.col("_same")).alias("_eps"), F.lead("_first").over(chain).alias("_after"),
+    blocks = (
+        blocks.withColumn("_same", F.when(before.isNotNull() & before["s"].eqNullSafe(F.col("_first")["s"]), 1).otherwise(0))
+        .withColumn("_rows", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+        .withColumn("_goes_on", F.lead("_same", 1, 0).over(chain) == 1).withColumn("_after", F.lead("_first").over(chain))
+        .withColumn("_eps", F.coalesce(F.sum(F.col("_k") - F.col("_same")).over(upto), F.lit(0)) - F.col("_same"))
     )
-    rows = local.join(ends, local[entity].eqNullSafe(ends["_e"]) & (local["_b"] == ends["_c"]))
-    return (
-        rows.withColumn("rn", (F.col("_rows") + F.col("_i")).cast("bigint"))
+    if ends:
+        # where the block's first episode ends, if it ends here; the last one ends where the first of a later block does
+        here = F.col("_rows") + F.coalesce("_second", F.when(~F.col("_goes_on"), F.col("_n"))) - 1
+        later = Window.partitionBy("_e").orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        blocks = blocks.withColumn("_here", here).withColumn("_size", F.sum("_n").over(Window.partitionBy("_e")) - 1)
+        blocks = blocks.withColumn("_tail", F.when(F.col("_goes_on"), F.last("_here", ignorenulls=True).over(later)).otherwise(F.col("_rows") + F.col("_n") - 1))
+        local = local.withColumn("_till", F.max("_i").over(Window.partitionBy("_e", "_b", "_ch")))
+    carried = ["_rows", "_eps", "_after"] + (["_k", "_tail", "_size"] if ends else [])
+    rows = (
+        local.join(blocks.select("_e", "_b", *carried), ["_e", "_b"])
+        .withColumn("rn", (F.col("_rows") + F.col("_i")).cast("bigint"))
         .withColumn("_ep", (F.col("_eps") + F.col("_ch")).cast("bigint"))
         .withColumn("_has_next", F.col("_in").isNotNull() | F.col("_after").isNotNull())
         .withColumn("_next", F.when(F.col("_in").isNotNull(), F.col("_next")).otherwise(F.col("_after")["s"]))
     )
+    return rows.withColumn("_end", F.when(F.col("_ch") == F.col("_k"), F.col("_tail")).otherwise(F.col("_rows") + F.col("_till"))) if ends else rows
 
 
 def with_episode(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
@@ -92,7 +113,9 @@ def episodes(df: DataFrame, entity: str, order: Sequence[str], state: str, dt: f
 
 
 def episode_stats(eps: DataFrame, state: str) -> DataFrame:
-    """Per state: number, mean, median (interpolated), population deviation, least, largest and total duration."""
+    """Per state: number, mean, median (interpolated), population deviation, least, largest and total duration.
+
+    The exact median keeps a state's distinct durations with their counts in one task: as many as there are lengths."""
     return eps.groupBy(state).agg(
         F.count("*").alias("n_episodes"), F.avg("duration").alias("mean_escape_time"), F.median("duration").alias("median_escape_time"),
         F.stddev_pop("duration").alias("std_escape_time"), F.min("duration").alias("min_escape_time"),
@@ -100,30 +123,21 @@ def episode_stats(eps: DataFrame, state: str) -> DataFrame:
     )
 
 
-def _with_ends(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
-    """with_episode and _end: place of the last row of the row's episode, by a join with one row per episode."""
-    marked = with_episode(df, entity, order, state)
-    ends = marked.groupBy(F.col(entity).alias("_e"), F.col("episode_id").alias("_c")).agg(F.max("rn").alias("_end"))
-    return marked.join(ends, marked[entity].eqNullSafe(ends["_e"]) & (marked["episode_id"] == ends["_c"])).drop("_e", "_c")
-
-
 def remaining_time(df: DataFrame, entity: str, order: Sequence[str], state: str, target, dt: float = 1.0) -> DataFrame:
     """Adds `remaining`: time to the end of the run at every row in the target state, this row included; null elsewhere.
 
     The last run ends with the data. A target that never occurs gives nulls throughout.
     """
     left = F.col("_end") - F.col("rn") + 1
-    rows = _with_ends(df, entity, order, state).withColumn("remaining", F.when(F.col(state) == target, left * F.lit(float(dt))))
-    return rows.drop("_end")
+    rows = _chained(df, entity, order, state, ends=True).withColumn("episode_id", F.col("_ep") - 1)
+    return rows.withColumn("remaining", F.when(F.col(state) == target, left * F.lit(float(dt)))).select(*df.columns, "rn", "episode_id", "remaining")
 
 
 def steps_to_change(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
     """Adds `steps`: rows until the state changes next; 0 throughout the last run of an entity."""
-    rows = _with_ends(df, entity, order, state)
-    size = df.groupBy(F.col(entity).alias("_e")).agg((F.count("*") - 1).alias("_size"))
-    rows = rows.join(size, rows[entity].eqNullSafe(size["_e"]))
+    rows = _chained(df, entity, order, state, ends=True).withColumn("episode_id", F.col("_ep") - 1)
     steps = F.when(F.col("_end") == F.col("_size"), F.lit(0)).otherwise(F.col("_end") + 1 - F.col("rn")).cast("bigint")
-    return rows.withColumn("steps", steps).drop("_e", "_end", "_size")
+    return rows.withColumn("steps", steps).select(*df.columns, "rn", "episode_id", "steps")
 
 
 def transition_matrix(df: DataFrame, entity: str, order: Sequence[str], state: str) -> DataFrame:
