@@ -87,3 +87,17 @@ def test_horizon_and_histogram(spark):
     eps = spark.createDataFrame([(1, float(v)) for v in (2, 2, 3, 5)] + [(2, 7.0)], "state int, duration double")
     got = {(r.state, r.bin): r.n for r in ep.episode_histogram(eps, "state").collect()}
     assert got == {(1, 0): 2, (1, 1): 1, (1, 2): 1, (2, 0): 1}
+
+
+def test_order_by_dates_fractions_and_others(spark, monkeypatch):
+    """Blocks of dates and of fractions (NaN last) change nothing; a null entity is one of its own; text is refused."""
+    monkeypatch.setattr(ep, "BLOCK_ROWS", 2)
+    rows = [(e, float(i) if i < 7 else float("nan"), i, s) for e in (1, None) for i, s in enumerate([1, 1, 1, 1, 2, 2, 1, 1])]
+    df = spark.createDataFrame(rows, "run_id int, x double, i int, state int").withColumn("day", F.date_add(F.lit("2026-01-01").cast("date"), F.col("i")))
+    for order in ("x", "day", "i"):
+        got = ep.steps_to_change(df, "run_id", [order], "state").orderBy("run_id", "i").collect()
+        assert [r.steps for r in got] == [4, 3, 2, 1, 2, 1, 0, 0] * 2
+        left = ep.remaining_time(df, "run_id", [order], "state", target=1).orderBy("run_id", "i").collect()
+        assert [r.remaining for r in left] == [4, 3, 2, 1, None, None, 2, 1] * 2
+    with pytest.raises(ValueError, match="first order column"):
+        ep.episodes(df.withColumn("i", F.col("i").cast("string")), "run_id", ["i"], "state")
