@@ -8,8 +8,8 @@ height of the orography), so that one expression serves runs of different settin
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
+from functools import cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -129,3 +129,83 @@ def np_jacobian(s: System, x: np.ndarray, p: np.ndarray | None = None) -> np.nda
     for row, v, c, f in derivative(s):
         out[:, row, v] += c * np.prod(z[:, f], axis=1) if len(f) > 1 else c * (z[:, f[0]] if f else 1.0)
     return out
+
+
+@cache
+def number_step(s: System, dt: float) -> Callable[..., tuple[float, ...]]:
+    """One RK4 step as a compiled function of a state's numbers and parameters, for single states, where arrays cost most. Sums
+    go in np_tendency's order, so the numbers are the same to the last bit."""
+    xs, made = [f"x{i}" for i in range(s.dim)], []
+    for stage, at in enumerate(("x", "y", "z", "w")):
+        z = [*(f"{at}{i}" for i in range(s.dim)), *s.parameters]
+        if stage:
+            made += [f"{z[i]} = x{i} + {dt if stage == 3 else dt / 2!r} * {'abc'[stage - 1]}{i}" for i in range(s.dim)]
+        for i in range(s.dim):
+            terms = [f"{c!r} * ({' * '.join(z[k] for k in f) or '1.0'})" for row, c, f in s.terms if row == i]
+            made.append(f"{'abcd'[stage]}{i} = {' + '.join(['0.0', *terms])}")
+    after = ", ".join(f"x{i} + {dt!r} * (a{i} / 2 + b{i} + c{i} + d{i} / 2) / 3" for i in range(s.dim))
+    scope: dict = {}
+    exec(f"def step({', '.join([*xs, *s.parameters])}):\n" + "".join(f"    {x}\n" for x in made) + f"    return ({after},)\n", scope)
+    return scope["step"]
+
+
+class Kernel:
+    """Tendencies and Jacobians of many states side by side, in few operations. States are columns: (variables, states); what
+    comes out for one doesn't depend on the others."""
+
+    def __init__(self, s: System):
+        self.s = s
+        one = s.dim + len(s.parameters)  # stands for 1, where a term has fewer factors than the longest
+        terms = sorted([*((row, 0.0, ()) for row in range(s.dim)), *s.terms], key=lambda t: t[0])
+        self.factors = self._padded([f for _, _, f in terms], one)
+        self.c = np.array([c for _, c, _ in terms])[:, None]
+        self.rows = np.searchsorted([row for row, _, _ in terms], np.arange(s.dim))
+        products = sorted({f for _, _, _, f in derivative(s)})
+        self.products = self._padded(products, one)
+        self.cells = np.zeros((len(products), s.dim * s.dim))
+        for row, v, c, f in derivative(s):
+            self.cells[products.index(f), row * s.dim + v] += c
+
+    @staticmethod
+    def _padded(factors: Sequence[tuple[int, ...]], one: int) -> np.ndarray:
+        most = max(map(len, factors), default=0)
+        return np.array([[*f, *[one] * (max(most, 1) - len(f))] for f in factors]).T
+
+    def full(self, x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return np.concatenate([x, p, np.ones((1, x.shape[1]))])
+
+    def tendency(self, z: np.ndarray) -> np.ndarray:
+        """(variables, states), of full()."""
+        return np.add.reduceat(self.c * reduce(np.multiply, (z[k] for k in self.factors)), self.rows, axis=0)
+
+    def jacobian(self, z: np.ndarray) -> np.ndarray:
+        """(states, dim, dim), of full()."""
+        m = np.ascontiguousarray(reduce(np.multiply, (z[k] for k in self.products)).T)
+        return (m[:, None, :] @ self.cells).reshape(-1, self.s.dim, self.s.dim)
+
+    def step(self, x: np.ndarray, p: np.ndarray, dt: float) -> np.ndarray:
+        """One RK4 step."""
+        a1 = self.tendency(self.full(x, p))
+        a2 = self.tendency(self.full(x + dt / 2 * a1, p))
+        a3 = self.tendency(self.full(x + dt / 2 * a2, p))
+        a4 = self.tendency(self.full(x + dt * a3, p))
+        return x + dt * (a1 / 2 + a2 + a3 + a4 / 2) / 3
+
+    def propagator(self, x: np.ndarray, p: np.ndarray, dt: float, steps: int) -> np.ndarray:
+        """(states, dim, dim): matrices that carry tangent vectors so many RK4 steps on."""
+        u = np.broadcast_to(np.eye(self.s.dim), (x.shape[1], self.s.dim, self.s.dim))
+        for _ in range(steps):
+            z1 = self.full(x, p)
+            a1 = self.tendency(z1)
+            z2 = self.full(x + dt / 2 * a1, p)
+            a2 = self.tendency(z2)
+            z3 = self.full(x + dt / 2 * a2, p)
+            a3 = self.tendency(z3)
+            z4 = self.full(x + dt * a3, p)
+            b1 = self.jacobian(z1) @ u
+            b2 = self.jacobian(z2) @ (u + dt / 2 * b1)
+            b3 = self.jacobian(z3) @ (u + dt / 2 * b2)
+            b4 = self.jacobian(z4) @ (u + dt * b3)
+            u = u + dt * (b1 / 2 + b2 + b3 + b4 / 2) / 3
+            x = x + dt * (a1 / 2 + a2 + a3 + self.tendency(z4) / 2) / 3
+        return u

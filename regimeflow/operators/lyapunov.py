@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.systems import System, np_jacobian, np_tendency
+from ..functions.systems import Kernel, System, np_jacobian, np_tendency, number_step
 
 #: Share of the steps at either end of a series that covariant vectors need to settle.
 SPIN = 10
@@ -93,48 +93,108 @@ def lyapunov_steps(members: DataFrame, s: System, key: str, start: Sequence[str]
     return rows.mapInArrow(run, f"{key} bigint, t_idx bigint, t double, " + ", ".join(f"{c} array<double>" for c in lists))
 
 
-def covariant_series(members: DataFrame, s: System, key: str, start: Sequence[str], length: str, dt: float, transient: int, spin: int, norm_time: int = 1, seed: int = 3, side: int = 32) -> DataFrame:
+def covariant_series(members: DataFrame, s: System, key: str, start: Sequence[str], length: str, dt: float, transient: int, spin: int, norm_time: int = 1, seed: int = 3, side: int = 512, kept_units: int = 1 << 18) -> DataFrame:
     """(key, t_idx, v, growth) as covariant_vectors, for `length` (a column) norm_times of each member, between `spin`
     norm_times of spin-up and of spin-down and behind a transient of so many steps.
 
-    `side` members run side by side, of like length, and keep their Q and R in the task, so that no step is shuffled."""
+    `side` members run side by side, of like length, and keep their Q and R in the task, so that no step is shuffled. Only the
+    states go step by step; the matrices that carry tangent vectors over a norm_time come from the states of many
+    norm_times at once. Beyond `kept_units` norm_times a task keeps states, and Q at the beginnings of blocks, and computes
+    the blocks' Q and R a second time on its way back."""
     names = [*start, *s.parameters]
     rows = members.select(F.col(key).cast("bigint").alias(key), F.col(length).cast("bigint").alias("_n"), *(F.col(c).cast("double").alias(c) for c in names))
     rows = rows.filter(" AND ".join([f"{key} IS NOT NULL", "_n > 0", *(f"{c} IS NOT NULL AND NOT isnan({c})" for c in names)]))
-    d, span = s.dim, dt * norm_time
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
-        t = pa.Table.from_batches(got).sort_by([("_n", "ascending"), (key, "ascending")]) if got else None
-        for lo in range(0, t.num_rows if t else 0, side):
-            part = [c.to_numpy() for c in t.slice(lo, side).columns]
-            keys, kept, v = part[0], part[1], np.stack(part[2:], axis=1)
-            x, p = v[:, :d].copy(), v[:, d:] if s.parameters else None
-            u, _ = positive_qr(np.stack([np.random.Generator(np.random.PCG64([seed, int(k)])).random((d, d)) for k in keys]))
-            n = int(kept.max()) + 2 * spin
-            q, r = np.empty((n, len(keys), d, d)), np.empty((n, len(keys), d, d))
-            for i in range(-(transient // norm_time), n):
-                for _ in range(norm_time):
-                    x, u = tangent_step(s, x, u, dt, p)
-                u, upper = positive_qr(u)
-                if i >= 0:
-                    q[i], r[i] = u, upper
-            c = np.tile(np.eye(d), (len(keys), 1, 1))
-            for i in range(n - 2, spin - 1, -1):
-                # a member begins at the identity at its own end
-                c[i >= kept + 2 * spin - 2] = np.eye(d)
-                c = np.linalg.solve(r[i], c)
-                size = np.linalg.norm(c, axis=1)
-                c = c / size[:, None, :]
-                here = np.flatnonzero(i < kept + spin)
-                if len(here):
-                    vectors = (q[i][here] @ c[here]).transpose(0, 2, 1).reshape(len(here), -1)
-                    lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1)))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[here]), pa.array(np.full(len(here), i - spin)), lists(vectors), lists(-np.log(size[here]) / span)], [key, "t_idx", "v", "growth"])
+        t = pa.Table.from_batches(got).sort_by([("_n", "descending"), (key, "ascending")]) if got else None
+        far = np.cumsum(t["_n"].to_numpy() + transient // norm_time + 2 * spin) if t else np.array([])
+        lo = 0
+        while lo < len(far):
+            hi = max(lo + 1, min(lo + side, int(np.searchsorted(far, (far[lo - 1] if lo else 0) + STATES, "right"))))
+            part = [c.to_numpy() for c in t.slice(lo, hi - lo).columns]
+            lo = hi
+            v = np.stack(part[2:])
+            for member, at, vectors, growth in covariant_blocks(s, part[0], part[1], v[: s.dim], v[s.dim :], dt, transient // norm_time, spin, norm_time, seed, kept_units):
+                lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32)), pa.array(np.ascontiguousarray(a).reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(part[0][member]), pa.array(at), lists(vectors), lists(growth)], [key, "t_idx", "v", "growth"])
 
     return rows.mapInArrow(run, f"{key} bigint, t_idx bigint, v array<double>, growth array<double>")
 
 
+#: Matrices that are made at once; states that a task keeps of members side by side (a longer member is alone); members from
+#: which on arrays are faster than numbers, member by member.
+MATRICES, STATES, FEW = 1024, 1 << 21, 24
+
+
+def covariant_blocks(s: System, keys: np.ndarray, kept: np.ndarray, x: np.ndarray, p: np.ndarray, dt: float, transient: int, spin: int, norm_time: int, seed: int, kept_units: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers of the members, t_idx, vectors, growth) of members in descending order of `kept`, in blocks of norm_times, the
+    last block first; x and p have a column per member."""
+    d, kernel, one = s.dim, Kernel(s), number_step(s, dt)
+    ends = transient + kept + 2 * spin  # the norm_times of each member
+    block = max(64, 8 * MATRICES // len(keys))
+    begins = range(0, int(ends.max()), block)
+    there = [int((ends > lo).sum()) for lo in begins]  # members that a block has
+    width = [min(block, int(ends[0]) - lo) for lo in begins]
+
+    states = []
+    for m, w in zip(there, width):
+        x = x[:, :m]
+        held = np.empty((w, d, m))
+        if m < FEW:
+            for j in range(m):
+                now, rest = tuple(map(float, x[:, j])), tuple(map(float, p[:, j]))
+                for i in range(w):
+                    held[i, :, j] = now
+                    for _ in range(norm_time):
+                        now = one(*now, *rest)
+                x[:, j] = now
+        else:
+            for i in range(w):
+                held[i] = x
+                for _ in range(norm_time):
+                    x = kernel.step(x, p[:, :m], dt)
+        states.append(held)
+
+    def factors(b: int, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Q and R after each norm_time of a block, which begins with u."""
+        m, w = there[b], width[b]
+        flat, of = states[b].transpose(1, 0, 2).reshape(d, -1), np.tile(p[:, :m], w)
+        carried = np.concatenate([kernel.propagator(flat[:, i : i + MATRICES], of[:, i : i + MATRICES], dt, norm_time) for i in range(0, m * w, MATRICES)]).reshape(w, m, d, d)
+        q, r = np.empty((w, m, d, d)), np.empty((w, m, d, d))
+        for i in range(w):
+            u, r[i] = positive_qr(carried[i] @ u)
+            q[i] = u
+        return q, r
+
+    u, _ = positive_qr(np.stack([np.random.Generator(np.random.PCG64([seed, int(k)])).random((d, d)) for k in keys]))
+    first, made, units = [], {}, 0
+    for b, lo in enumerate(begins):
+        first.append(u := u[: there[b]])
+        q, r = factors(b, u)
+        u = q[-1].copy()
+        if lo + width[b] > transient + spin and (units := units + there[b] * width[b]) <= kept_units:
+            made[b] = q, r
+
+    c = np.tile(np.eye(d), (len(keys), 1, 1))
+    for b in range(len(begins) - 1, -1, -1):
+        lo, m, w = begins[b], there[b], width[b]
+        if lo + w <= transient + spin:
+            break
+        q, r = made.pop(b, None) or factors(b, first[b])
+        got, size = np.empty((w, m, d, d)), np.empty((w, m, d))
+        for i in range(w - 1, -1, -1):
+            # a member begins at the identity at its own end
+            c[:m][lo + i >= ends[:m] - 2] = np.eye(d)
+            now = np.linalg.solve(r[i], c[:m])
+            size[i] = np.linalg.norm(now, axis=1)
+            got[i] = c[:m] = now / size[i][:, None, :]
+        at = lo + np.arange(w)[:, None]
+        i, member = np.nonzero((at >= transient + spin) & (at < ends[:m] - spin))
+        if len(i):
+            yield member, i + (lo - transient - spin), (q[i, member] @ got[i, member]).transpose(0, 2, 1).reshape(len(i), -1), -np.log(size[i, member]) / (dt * norm_time)
+
+
 def exponents(steps: DataFrame, key: str, dim: int) -> DataFrame:
     """(key, t_idx, t, le_1..): growth so far over the time so far; the row of the last step has the exponents."""
     w = Window.partitionBy(key).orderBy("t_idx").rowsBetween(Window.unboundedPreceding, 0)
