@@ -7,17 +7,19 @@ their kinds and of what stands between. The best labelling is found by dynamic p
 order of their ends, over the last segment, so weights of either sign are exact.
 Candidates are spans of bounded length that have a form some kind can have; they may overlap and compete.
 
-Three things are learned: which written forms of numbers are of which kind (from the words that announce them, counted over
-all rows); and from a bounded sample of rows (TRAIN_ROWS, by hash of the id) how given and family names look (from the
-display names of mail headers, against the capitalised words of bodies), and the weights (by maximum conditional
-likelihood, gradient ascent over forward-backward sums, on labels that rules give in the sample).
-The model is some ten thousand numbers and is broadcast; texts are labelled whole, in parallel, row by row.
+Three things are learned, from all rows: which written forms of numbers are of which kind (from the words that announce
+them); how given and family names look (from the display names of mail headers, against the capitalised words of bodies);
+and the weights (by maximum conditional likelihood, gradient ascent over forward-backward sums, on labels that rules give).
+Forms and words are counted in one pass. In a second, candidates are found and kept, and each shard of some SHARD_ROWS rows,
+by hash, climbs the likelihood of its texts; a feature's weight is the mean of the shards that have it. In a third the kept
+candidates are labelled. The model, with the vocabulary of capitalised words, is broadcast; texts are labelled whole.
 """
 
 from __future__ import annotations
 
 import html
 import html.entities
+import marshal
 import math
 import re
 import string
@@ -31,11 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import table
+from ..common import materialize, table
 
+#: How often a word stands is taken for so many rows, if there are more.
 TRAIN_ROWS = 3000
-#: Of these rows so many train the weights, in so many rounds.
+#: Of texts at hand so many train the weights, in so many rounds.
 WEIGHT_ROWS, EPOCHS, RATE, DECAY = 400, 6, 0.3, 1e-3
+#: Rows of a table that train weights together, in one round; a smaller table takes rounds until it has made so many steps.
+SHARD_ROWS, STEPS = 3000, 2400
 #: Characters that two segments may be apart to count as neighbours.
 NEAR = 3
 KINDS = ("email", "phone", "id_number", "address", "name")
@@ -201,29 +206,55 @@ def learn_shapes(texts: list[str]) -> dict[str, str]:
     return {shape: kind for shape, n in counts.items() if (kind := kind_of_shape(*n, len(texts)))}
 
 
-def known_shapes(documents: DataFrame) -> dict[str, str]:
-    """The same, counted over all rows of `documents`: forms are counted where the texts are, and the few that enough rows
-    have (RARE bounds their number) come to the driver."""
+def counted(documents: DataFrame) -> DataFrame:
+    """(what, key, low, a, b, c) over all rows of `documents`: written forms of numbers with the counts of count_shapes; words
+    with how often they are a given, a family name and any token, and their letters; parts of mail addresses."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
-            cols = [pa.array(list(counts), pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in range(3))]
-            return pa.RecordBatch.from_arrays(cols, ["shape", "seen", "phone", "id_number"])
-
-        counts: dict[str, list[int]] = {}
+            any_word = Counter()
+            for raw, n in tokens.items():
+                any_word[plain(raw.rstrip("-'’"))] += n
+            words = {*given, *family, *any_word}
+            rows = [("shape", s, None, *n) for s, n in shapes.items()]
+            rows += [("word", w, ascii_lower(w), given[w], family[w], any_word[w]) for w in words]
+            rows += [("box", b, b, 0, 0, 0) for b in boxes]
+            for x in (shapes, given, family, tokens, boxes):
+                x.clear()
+            types = [pa.string()] * 3 + [pa.int64()] * 3
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(types)], ["what", "key", "low", "a", "b", "c"])
+
+        shapes: dict[str, list[int]] = {}
+        given, family, tokens, boxes = Counter(), Counter(), Counter(), set()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                count_shapes(text, counts)
-            if len(counts) > 50_000:
+                count_shapes(text, shapes)
+                count_words(text, given, family, tokens, boxes)
+            if len(shapes) + len(tokens) + len(boxes) > 100_000:
                 yield out()
-                counts.clear()
         yield out()
 
-    rows = documents.count()
-    held = documents.filter("text IS NOT NULL").select("text").mapInArrow(run, "shape string, seen bigint, phone bigint, id_number bigint")
-    sums = held.groupBy("shape").agg(*(F.sum(c).alias(c) for c in ("seen", "phone", "id_number")))
-    often = sums.filter((F.col("seen") >= max(SEEN, rows * RARE)) & (F.greatest("phone", "id_number") >= F.greatest(F.lit(2), F.col("seen") * ANNOUNCED)))
-    return {r["shape"]: kind for r in often.collect() if (kind := kind_of_shape(r.seen, r.phone, r.id_number, rows))}
+    held = documents.filter("text IS NOT NULL").select("text").mapInArrow(run, "what string, key string, low string, a bigint, b bigint, c bigint")
+    return held.groupBy("what", "key", "low").agg(*(F.sum(x).alias(x) for x in "abc"))
+
+
+def shapes_of(counts: DataFrame, rows: int) -> dict[str, str]:
+    """Known forms of so many rows, from counted(); the few that enough rows have (RARE bounds their number) come to the driver."""
+    often = counts.filter((F.col("what") == "shape") & (F.col("a") >= max(SEEN, rows * RARE)) & (F.greatest("b", "c") >= F.greatest(F.lit(2), F.col("a") * ANNOUNCED)))
+    return {x["key"]: kind for x in often.collect() if (kind := kind_of_shape(x.a, x.b, x.c, rows))}
+
+
+def known_shapes(documents: DataFrame) -> dict[str, str]:
+    """Written forms as learn_shapes, counted over all rows of `documents` where the texts are."""
+    return shapes_of(counted(documents), documents.count())
+
+
+def names_of(counts: DataFrame, rows: int) -> tuple[dict[str, tuple[float, float]], tuple[str, ...]]:
+    """As learn_names, from counted(): all words that are a name in some header, or that no mail address has a part like."""
+    words, boxes = counts.filter("what = 'word'"), counts.filter("what = 'box'").select("low").distinct()
+    named = words.filter("a > 0 OR b > 0").select("key", "a", "b").collect()
+    other = words.filter("a = 0 AND b = 0").join(boxes, "low", "left_anti").select("key", "c").collect()
+    return weigh_names({x["key"]: x.a for x in named if x.a}, {x["key"]: x.b for x in named if x.b}, {x["key"]: x.c for x in other}, rows)
 
 
 def plain(token: str) -> str:
@@ -282,32 +313,52 @@ def header_names(text: str) -> Iterator[tuple[str, str]]:
                 yield plain(given), plain(family.split(" ")[-1])
 
 
-def learn_names(texts: list[str]) -> tuple[dict[str, tuple[float, float]], tuple[str, ...]]:
-    """Log odds of token parts for given and family names, against capitalised words that no header and no address names; and the
-    given names. Names that no header of the sample has are taken out of the words in a second round."""
-    given, family, other = Counter(), Counter(), Counter()
-    for t in texts:
-        for g, f in header_names(t):
+def count_words(text: str, given: Counter, family: Counter, tokens: Counter, boxes: set[str]) -> None:
+    """Add a text's names in headers, its capitalised words as they stand, and the parts of its mail addresses."""
+    if "@" in text:
+        for g, f in header_names(text):
             given[g] += 1
             family[f] += 1
-    boxes = {p for t in texts for m in MAILBOX.finditer(t) for p in re.split(r"[._+\d]+", m[1].lower())}
-    boxes |= {p[:-1] for p in boxes if len(p) > 5}  # a family name and an initial
+        for before in text.split("@")[:-1]:
+            box = before[len(before.rstrip(ALNUM + "._+")) :].lstrip(string.digits + "._+")
+            if box:
+                parts = re.split(r"[._+\d]+", box.lower())
+                boxes.update(parts)
+                boxes.update(p[:-1] for p in parts if len(p) > 5)  # a family name and an initial
+    tokens.update(TOKEN.findall(text))
+
+
+def learn_names(texts: list[str]) -> tuple[dict[str, tuple[float, float]], tuple[str, ...]]:
+    """Log odds of token parts for given and family names, against capitalised words that no header and no address names; and the
+    given names."""
+    given, family, tokens, boxes = Counter(), Counter(), Counter(), set()
     for t in texts:
-        for m in TOKEN.finditer(t):
-            w = plain(m[0].rstrip("-'’"))
-            if w not in given and w not in family and ascii_lower(w) not in boxes:
-                other[w] += 1
+        count_words(t, given, family, tokens, boxes)
+    other = Counter()
+    for raw, n in tokens.items():
+        w = plain(raw.rstrip("-'’"))
+        if w not in given and w not in family and ascii_lower(w) not in boxes:
+            other[w] += n
+    return weigh_names(given, family, other, len(texts))
+
+
+def weigh_names(given: dict[str, int], family: dict[str, int], other: dict[str, int], rows: int) -> tuple[dict[str, tuple[float, float]], tuple[str, ...]]:
+    """The same from counts over so many rows, taken for TRAIN_ROWS rows if there are more, so that what is told doesn't drift with
+    the size. Names that no header has are taken out of the words in a second round."""
+    scale = min(1.0, TRAIN_ROWS / max(rows, 1))
+    much = lambda n: 1 + math.log(n) if n >= 1 else n
     names: dict[str, tuple[float, float]] = {}
     for _ in range(2):
         counts = []
         for bag in (given, family, other):
             parts, total = Counter(), 0.0
-            for token, n in bag.items():
+            for token, seen in bag.items():
                 if bag is other and names and token_score(token, names)[1] > 8:
                     continue
-                total += 1 + math.log(n)
+                n = seen * scale
+                total += much(n)
                 for p in token_parts(token):
-                    parts[p] += n if p[0] == "=" else 1 + math.log(n)
+                    parts[p] += n if p[0] == "=" else much(n)
             counts.append((parts, total))
         names = {}
         for p in set().union(*(c for c, _ in counts)):
@@ -315,7 +366,7 @@ def learn_names(texts: list[str]) -> tuple[dict[str, tuple[float, float]], tuple
             per = [math.log((c[p] + few) / (n + 50)) for c, n in counts]
             names[p] = (per[0] - per[2], per[1] - per[2])
         # a word that bodies have again and again is one, however it looks
-        names |= {"=" + t: (-30.0, -30.0) for t, n in other.items() if n >= 3 and max(token_score(t, names)) < 5.5 or n >= 25}
+        names |= {"=" + t: (-30.0, -30.0) for t, n in other.items() if n * scale >= 3 and max(token_score(t, names)) < 5.5 or n * scale >= 25}
     first = tuple(sorted(g for g, n in given.items() if n > 1 and token_score(g, names)[0] > 4))
     return names, first
 
@@ -336,6 +387,7 @@ class Labeller:
         self.model = model
         self.tokens: dict[str, tuple[str, int] | None] = {}
         self.scores: dict[tuple, float] = {}
+        self.strings: dict[tuple, tuple[str, ...]] = {}
         low = {g.lower() for g in model.given}
         self.low = {v for g in low for v in spellings(g)}
         self.split = {v for v in self.low if v.split() != [v] or any(c in v for c in (">", *SPACES))}  # no single words below
@@ -356,8 +408,9 @@ class Labeller:
         self.tokens[raw] = found
         return found
 
-    def candidates(self, text: str) -> list[tuple[int, int, str, tuple]]:
-        """(start, end, kind, form): spans that may be a segment, with what their features are made from."""
+    def candidates(self, text: str, bare: list | None = None) -> list[tuple[int, int, str, tuple]]:
+        """(start, end, kind, form): spans that may be a segment, with what their features are made from. `bare` gets those of
+        numbers as if no form were known."""
         out: list[tuple[int, int, str, tuple]] = []
         low = text.lower() if "AT" in text else text
         for there, at, domain, form in (("@" in text, AT, DOMAIN, "plain"), ("[at" in low or "(at" in low or "{at" in low, BRACKET_AT, SPELT, "bracket"), (" dot" in low or "\ndot" in low, SPELT_AT, SPELT_DOMAIN, "words")):
@@ -372,26 +425,30 @@ class Labeller:
         place = 0  # end of the last address; the next begins behind it
         for start in STARTS.finditer(text):
             p = start.start()
-            self._numbers(text, p, out)
+            self._numbers(text, p, out, bare)
             m = PLACES.match(text, p) if p >= place else None
             if m:
                 out.append((*m.span(), "address", (m.lastgroup,)))
                 place = m.end()
         for start in LETTERS.finditer(text):
-            self._numbers(text, start.start(), out)
+            self._numbers(text, start.start(), out, bare)
         if any(h in text for h in ES_HINTS):
             for m in PLACES_ES.finditer(text):
                 out.append((*m.span(), "address", ("es",)))
         self._names(text, out)
         return out
 
-    def _numbers(self, text: str, p: int, out: list) -> None:
+    def _numbers(self, text: str, p: int, out: list, bare: list | None) -> None:
         """Candidates that begin at p: of a kind that their form belongs to, or that the words before announce; and telephone
         numbers with + or 00 before a country's code. A form that belongs to no kind is "rare"."""
         spans = numbers_at(text, p)
-        if not spans:
-            return
-        shapes, cues = self.model.shapes, None
+        if spans:
+            self._told(text, p, spans, self.model.shapes, out)
+            if bare is not None:
+                self._told(text, p, spans, {}, bare)
+
+    def _told(self, text: str, p: int, spans: list, shapes: dict[str, str], out: list) -> None:
+        cues = None
         land = LAND.match(text, p) is not None
         # the whole number is the longest span of a known form, else the longest on one line
         whole = ([x[0] for x in spans if x[1] in shapes] or [x[0] for x in spans if "\n" not in text[p : x[0]]] or [spans[-1][0]])[-1]
@@ -482,6 +539,14 @@ class Labeller:
 
     def features(self, key: tuple) -> tuple[str, ...]:
         """Strings of a segment's features."""
+        fs = self.strings.get(key)
+        if fs is None:
+            if len(self.strings) > 100_000:
+                self.strings.clear()
+            fs = self.strings[key] = self._strings(key)
+        return fs
+
+    def _strings(self, key: tuple) -> tuple[str, ...]:
         kind, form, word, mark, after, length = key
         if kind == "name":
             who = "title" if word in TITLES else word
@@ -493,15 +558,27 @@ class Labeller:
 
     def spans(self, text: str) -> list[tuple[int, int, str, tuple]]:
         """Candidates with what their features are made from, by end and start."""
-        found = sorted(set(self.candidates(text)), key=lambda c: (c[1], c[0], c[2]))
-        return [(a, b, kind, self.seen(text, a, b, kind, form)) for a, b, kind, form in found]
+        return self._by_end(text, self.candidates(text))
+
+    def both_spans(self, text: str) -> tuple[list, list]:
+        """The same, and as if no form of numbers were known."""
+        bare: list = []
+        found = self.candidates(text, bare)
+        return self._by_end(text, found), self._by_end(text, [*bare, *(c for c in found if c[2] not in FIGURES)])
+
+    def _by_end(self, text: str, found: list) -> list[tuple[int, int, str, tuple]]:
+        return [(a, b, kind, self.seen(text, a, b, kind, form)) for a, b, kind, form in sorted(set(found), key=lambda c: (c[1], c[0], c[2]))]
 
     def lattice(self, text: str) -> list[tuple[int, int, str, tuple]]:
         """Candidates with their features, by end and start."""
         return [(a, b, kind, self.features(key)) for a, b, kind, key in self.spans(text)]
 
     def label(self, text: str) -> list[tuple[int, int, str]]:
-        """The best labelling; of equal ones that with the earlier, shorter segments.
+        """The best labelling of a text."""
+        return self.best(text, self.spans(text))
+
+    def best(self, text: str, lat: list[tuple[int, int, str, tuple]]) -> list[tuple[int, int, str]]:
+        """The best labelling among the text's spans(); of equal ones that with the earlier, shorter segments.
 
         The best score with a candidate last is its own, and the best of: nothing before it; a last segment that ends too
         far before it to be a neighbour; a neighbour, with the weight of the two."""
@@ -509,7 +586,6 @@ class Labeller:
         ends: list[int] = []
         best: list[tuple[float, int]] = []  # per candidate: best score with it last, the segment before
         top: list[tuple[float, int]] = [(0.0, -1)]  # before each candidate: best score of those that end before, and the last segment
-        lat = self.spans(text)
         for a, b, kind, key in lat:
             s = cache.get(key)
             if s is None:
@@ -626,32 +702,82 @@ def train(texts: list[str], shapes: dict[str, str] | None = None) -> Model:
     for i, t in enumerate(texts[:WEIGHT_ROWS]):
         lat = (bare if i % 3 == 2 else full).lattice(t)
         if lat:
-            gold = rule_labels(t, lat)
-            follows = dict(zip(order := sorted(gold, key=lambda j: lat[j][0]), [-1, *order]))  # the segment before each
-            data.append((chain(t, lat), gold, follows))
+            data.append(ruled(t, lat))
     w: dict[str, float] = {}
     square: dict[str, float] = {}
     for _ in range(EPOCHS):
-        for c, gold, follows in data:
-            p, pairs, _ = sums(c, w)
-            grad: dict[str, float] = {}
-            for j, (_, _, _, fs) in enumerate(c.lattice):
-                d = (j in gold) - p[j]
-                if abs(d) > 1e-4:
-                    for f in fs:
-                        grad[f] = grad.get(f, 0.0) + d
-                for (i, both), q in zip(c.near[j], pairs[j]):
-                    d = (j in gold and follows[j] == i) - q
-                    if abs(d) > 1e-4:
-                        for f in both:
-                            grad[f] = grad.get(f, 0.0) + d
-            for f, g in grad.items():
-                g -= DECAY * w.get(f, 0.0)
-                square[f] = square.get(f, 1e-6) + g * g
-                w[f] = w.get(f, 0.0) + RATE * g / math.sqrt(square[f])
+        for x in data:
+            climb(*x, w, square)
     return Model(names, given, w, shapes)
 
 
+def ruled(text: str, lat: list[tuple[int, int, str, tuple]]) -> tuple[Chain, set[int], dict[int, int]]:
+    """A text to learn from: its labellings, the segments by rule, and the segment before each."""
+    gold = rule_labels(text, lat)
+    return chain(text, lat), gold, dict(zip(order := sorted(gold, key=lambda j: lat[j][0]), [-1, *order]))
+
+
+def climb(c: Chain, gold: set[int], follows: dict[int, int], w: dict[str, float], square: dict[str, float]) -> None:
+    """One step of the weights up the likelihood of a text's segments; `square` has the sums of squared gradients."""
+    p, pairs, _ = sums(c, w)
+    grad: dict[str, float] = {}
+    for j, (_, _, _, fs) in enumerate(c.lattice):
+        d = (j in gold) - p[j]
+        if abs(d) > 1e-4:
+            for f in fs:
+                grad[f] = grad.get(f, 0.0) + d
+        for (i, both), q in zip(c.near[j], pairs[j]):
+            d = (j in gold and follows[j] == i) - q
+            if abs(d) > 1e-4:
+                for f in both:
+                    grad[f] = grad.get(f, 0.0) + d
+    for f, g in grad.items():
+        g -= DECAY * w.get(f, 0.0)
+        square[f] = square.get(f, 1e-6) + g * g
+        w[f] = w.get(f, 0.0) + RATE * g / math.sqrt(square[f])
+
+
+def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
+    """The rows (doc_id, text, lattice) with their candidates, and the model that all of them have taught."""
+    rows = documents.count()
+    counts = materialize(counted(documents), "p8-counts")
+    model = Model(*names_of(counts, rows), {}, shapes_of(counts, rows))
+    held = documents.sparkSession.sparkContext.broadcast(model)
+    rounds = -(-STEPS // max(rows, 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lab = Labeller(held.value)
+        w: dict[str, float] = {}
+        square: dict[str, float] = {}
+        again, i = [], 0
+        names = ["doc_id", "text", "lattice", "feature", "weight"]
+        for b in batches:
+            lattices = []
+            for text in b.column(1).to_pylist():
+                spans = []
+                if text:
+                    # in every third text no form is known, so that the weights of words before, lengths and the like learn to do without
+                    spans, taught = lab.both_spans(text) if i % 3 == 2 else (lab.spans(text), None)
+                    i += 1
+                    if lat := [(x, y, kind, lab.features(key)) for x, y, kind, key in (spans if taught is None else taught)]:
+                        climb(*(x := ruled(text, lat)), w, square)
+                        again += [x] * (rounds > 1)
+                lattices.append(marshal.dumps(spans) if spans else None)
+            n = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lattices, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], names)
+        for _ in range(rounds - 1):
+            for x in again:
+                climb(*x, w, square)
+        n = len(w)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(list(w), pa.string()), pa.array(list(w.values()), pa.float64())], names)
+
+    place = F.xxhash64("doc_id", "text")  # shards, and the order within, are the same for any order of the rows
+    spread = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("_at")).repartition(max(1, rows // SHARD_ROWS), "_at").sortWithinPartitions("_at", "doc_id")
+    kept = materialize(spread.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, lattice binary, feature string, weight double"), "p8-lattices")
+    weights = kept.filter("feature IS NOT NULL").groupBy("feature").agg(F.avg("weight").alias("weight")).collect()
+    return kept.filter("feature IS NULL").select("doc_id", "text", "lattice"), model._replace(weights={x.feature: x.weight for x in weights})
+
+
 def sample_texts(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[str]:
     """Texts of the rows with the least hashes of their ids: a bounded sample that no order of the rows changes."""
     kept = documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id")
@@ -661,6 +787,19 @@ def sample_texts(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[str]:
     return [r.text for r in sorted(got, key=lambda r: (place[r.doc_id], r.text or "")) if r.text][:rows]
 
 
+NONE_FOUND = marshal.dumps([])
+
+
+def with_lattices(documents: DataFrame) -> DataFrame:
+    """(doc_id, text, lattice), the last null if candidates have yet to be found."""
+    lattice = F.coalesce("lattice", F.lit(NONE_FOUND)) if "lattice" in documents.columns else F.lit(None).cast("binary")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", lattice.alias("lattice"))
+
+
+def labelling(lab: Labeller, text: str, lattice: bytes | None) -> list[tuple[int, int, str]]:
+    return lab.label(text) if lattice is None else lab.best(text, marshal.loads(lattice))
+
+
 def find(documents: DataFrame, model: Model) -> DataFrame:
     """(doc_id, pii_kind, found_text): each distinct string once per row and kind; a line break in it is one space.
 
@@ -671,16 +810,16 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
         lab = Labeller(held.value)
         for b in batches:
             ids, kinds, texts = [], [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text, lat in zip(*(c.to_pylist() for c in b.columns)):
                 if not text:
                     continue
-                for kind, found in dict.fromkeys((k, text[x:y].replace("\r\n", " ").replace("\n", " ")) for x, y, k in lab.label(text)):
+                for kind, found in dict.fromkeys((k, text[x:y].replace("\r\n", " ").replace("\n", " ")) for x, y, k in labelling(lab, text, lat)):
                     ids.append(doc)
                     kinds.append(kind)
                     texts.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["doc_id", "pii_kind", "found_text"])
 
-    return documents.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, pii_kind string, found_text string")
+    return with_lattices(documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")).mapInArrow(run, "doc_id bigint, pii_kind string, found_text string")
 
 
 def redact(documents: DataFrame, model: Model) -> DataFrame:
@@ -691,8 +830,8 @@ def redact(documents: DataFrame, model: Model) -> DataFrame:
         lab = Labeller(held.value)
         for b in batches:
             out, n = [], []
-            for text in b.column(1).to_pylist():
-                spans = lab.label(text) if text else []
+            for text, lat in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                spans = labelling(lab, text, lat) if text else []
                 parts, at = [], 0
                 for x, y, kind in spans:
                     parts += [text[at:x], f"[{kind.upper()}]"]
@@ -701,14 +840,12 @@ def redact(documents: DataFrame, model: Model) -> DataFrame:
                 n.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], ["doc_id", "text", "n_found"])
 
-    return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, text string, n_found int")
+    return with_lattices(documents).mapInArrow(run, "doc_id bigint, text string, n_found int")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return find(documents, train(sample_texts(documents), known_shapes(documents)))
+    return find(*learned(table(spark, sf_dir, "documents")))
 
 
 def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "documents")
-    return redact(documents, train(sample_texts(documents), known_shapes(documents)))
+    return redact(*learned(table(spark, sf_dir, "documents")))

@@ -241,6 +241,30 @@ def test_forms_are_counted_over_all_rows(spark, monkeypatch):
     assert pii.known_shapes(df.limit(0)) == {}
 
 
+def test_names_and_weights_are_learned_from_all_rows(spark, monkeypatch):
+    """Whatever rows a sample has, what stands in the others tells too: each shard's features are in the model, and the words of
+    all rows. Neither the order of the rows nor their files change it; kept candidates are labelled as texts are."""
+    monkeypatch.setattr(pii, "TRAIN_ROWS", 50)
+    monkeypatch.setattr(pii, "WEIGHT_ROWS", 20)
+    monkeypatch.setattr(pii, "SHARD_ROWS", 60)
+    monkeypatch.setattr(pii, "STEPS", 400)
+    rng = random.Random(9)
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(240)]  # each is the word before a name in one mail
+    texts = [mail(rng).replace("Dear", f"Dear {words[i]}") + f"\nFrom: Odd{words[i]} Kordalund <x@lab.example>\n" for i in range(240)]
+    df = spark.createDataFrame([*enumerate(texts), (900, None), (901, ""), (902, "nothing"), (None, mail(rng))], "doc_id bigint, text string")
+    rows, model = pii.learned(df)
+    assert {f"nb:{w}" for w in words} <= set(model.weights) and {f"=Odd{w}" for w in words} <= set(model.names)
+    names, given = pii.learn_names([r.text or "" for r in df.collect()])
+    assert model.given == given and set(model.names) == set(names) and all(model.names[k] == pytest.approx(names[k]) for k in names)
+    _, again = pii.learned(df.orderBy("text").repartition(3))
+    assert set(again.weights) == set(model.weights) and all(again.weights[k] == pytest.approx(v) for k, v in model.weights.items())
+    want = sorted(map(tuple, pii.find(df, model).collect()))
+    assert want and sorted(map(tuple, pii.find(rows, model).collect())) == want
+    order = lambda d: sorted(map(tuple, d.collect()), key=str)
+    assert order(pii.redact(rows, model)) == order(pii.redact(df, model)) and len(order(pii.redact(rows, model))) == 244
+    assert pii.learned(df.limit(0))[1].weights == {}
+
+
 def test_tokens_and_starts_equal_plain_patterns(model):
     """The patterns that look for a first character first find what plain ones find; so do starts of numbers left out early."""
     rng = random.Random(7)
