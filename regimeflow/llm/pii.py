@@ -27,6 +27,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from math import exp, log1p
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -380,6 +381,31 @@ def token_score(token: str, names: dict[str, tuple[float, float]]) -> tuple[floa
     return g, f
 
 
+def at_signs(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of AT in a text, from one sign to the next."""
+    end, i = 0, text.find("@")
+    while i >= 0:
+        a = i - 1 if i > end and text[i - 1] == " " else i
+        end = AT.match(text, a).end()
+        yield a, end
+        i = text.find("@", end)
+
+
+def places_es(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of PLACES_ES in a text, from what its street words hold."""
+    starts = []
+    for h in ES_HINTS:
+        i = text.find(h)
+        while i >= 0:
+            starts.append(i - (h != "C/"))
+            i = text.find(h, i + 1)
+    end = 0
+    for a in sorted(set(starts)):
+        if a >= end and (m := PLACES_ES.match(text, a)):
+            end = m.end()
+            yield m.span()
+
+
 class Labeller:
     """Candidates, features and the best labelling for one model; keeps what it found out about tokens."""
 
@@ -413,9 +439,8 @@ class Labeller:
         numbers as if no form were known."""
         out: list[tuple[int, int, str, tuple]] = []
         low = text.lower() if "AT" in text else text
-        for there, at, domain, form in (("@" in text, AT, DOMAIN, "plain"), ("[at" in low or "(at" in low or "{at" in low, BRACKET_AT, SPELT, "bracket"), (" dot" in low or "\ndot" in low, SPELT_AT, SPELT_DOMAIN, "words")):
-            for m in at.finditer(text) if there else ():
-                a, b = m.span()
+        for there, at, domain, form in (("@" in text, at_signs, DOMAIN, "plain"), ("[at" in low or "(at" in low or "{at" in low, BRACKET_AT, SPELT, "bracket"), (" dot" in low or "\ndot" in low, SPELT_AT, SPELT_DOMAIN, "words")):
+            for a, b in () if not there else at(text) if form == "plain" else (m.span() for m in at.finditer(text)):
                 d = domain.match(text, b)
                 pre = text[max(0, a - 66) : a].removesuffix("\n").removesuffix("\r")  # a line may break before the sign
                 left = pre[len(pre.rstrip(ALNUM + INNER)) :].lstrip(INNER)
@@ -432,9 +457,8 @@ class Labeller:
                 place = m.end()
         for start in LETTERS.finditer(text):
             self._numbers(text, start.start(), out, bare)
-        if any(h in text for h in ES_HINTS):
-            for m in PLACES_ES.finditer(text):
-                out.append((*m.span(), "address", ("es",)))
+        for a, b in places_es(text):
+            out.append((a, b, "address", ("es",)))
         self._names(text, out)
         return out
 
@@ -664,15 +688,16 @@ def chain(text: str, lattice: list[tuple[int, int, str, tuple]]) -> Chain:
 
 
 def _add(x: float, y: float) -> float:
-    return max(x, y) + math.log1p(math.exp(-abs(x - y)))
+    return x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
 
 
 def sums(c: Chain, w: dict[str, float]) -> tuple[list[float], list[list[float]], float]:
     """Probability of each candidate, and of each candidate right behind each of its neighbours, under the model; and the
     log sum over all labellings. Sums run forward over the last segment, and their derivatives backward."""
     n = len(c.lattice)
-    s = [sum(w.get(f, 0.0) for f in x[3]) for x in c.lattice]
-    t = [[sum(w.get(f, 0.0) for f in fs) for _, fs in near] for near in c.near]
+    get = w.get
+    s = [sum([get(f, 0.0) for f in x[3]]) for x in c.lattice]
+    t = [[sum([get(f, 0.0) for f in fs]) for _, fs in near] for near in c.near]
     alpha, z, upto = [0.0] * n, [0.0] * n, [0.0] * (n + 1)  # upto[k]: log sum of labellings within the first k candidates
     for j in range(n):
         z[j] = upto[c.far[j]]
@@ -683,10 +708,10 @@ def sums(c: Chain, w: dict[str, float]) -> tuple[list[float], list[list[float]],
     du, da = [0.0] * n + [1.0], [0.0] * n
     pairs: list[list[float]] = [[]] * n
     for j in range(n - 1, -1, -1):
-        da[j] += du[j + 1] * math.exp(alpha[j] - upto[j + 1])
-        du[j] += du[j + 1] * math.exp(upto[j] - upto[j + 1])
-        du[c.far[j]] += da[j] * math.exp(upto[c.far[j]] - z[j])
-        pairs[j] = [da[j] * math.exp(alpha[i] + x - z[j]) for (i, _), x in zip(c.near[j], t[j])]
+        da[j] += du[j + 1] * exp(alpha[j] - upto[j + 1])
+        du[j] += du[j + 1] * exp(upto[j] - upto[j + 1])
+        du[c.far[j]] += da[j] * exp(upto[c.far[j]] - z[j])
+        pairs[j] = [da[j] * exp(alpha[i] + x - z[j]) for (i, _), x in zip(c.near[j], t[j])]
         for (i, _), p in zip(c.near[j], pairs[j]):
             da[i] += p
     return da, pairs, upto[n]

@@ -265,6 +265,15 @@ def test_names_and_weights_are_learned_from_all_rows(spark, monkeypatch):
     assert pii.learned(df.limit(0))[1].weights == {}
 
 
+def test_signs_and_streets_found_by_their_parts_are_those_of_the_patterns():
+    rng = random.Random(12)
+    parts = ["@", " @", "@ ", " @\r\n", " @\n", "a", " ", "Calle", "calle ", "C/ ", "Avda. ", "Paseo", "Plaza ", "Calle de la ", "Mayor", " Mayor, 12", " 7", "Ronda ", "aseo", "xCalle Luna 3", "Carrera Sol, n.º 4", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choices(parts, k=12))
+        assert list(pii.at_signs(text)) == [m.span() for m in pii.AT.finditer(text)], text
+        assert list(pii.places_es(text)) == [m.span() for m in pii.PLACES_ES.finditer(text)], text
+
+
 def test_tokens_and_starts_equal_plain_patterns(model):
     """The patterns that look for a first character first find what plain ones find; so do starts of numbers left out early."""
     rng = random.Random(7)
