@@ -11,7 +11,8 @@ Three things are learned, from all rows: which written forms of numbers are of w
 them); how given and family names look (from the display names of mail headers, against the capitalised words of bodies);
 and the weights (by maximum conditional likelihood, gradient ascent over forward-backward sums, on labels that rules give).
 Forms and words are counted in one pass. In a second, candidates are found and kept, and each shard of some SHARD_ROWS rows,
-by hash, climbs the likelihood of its texts; a feature's weight is the mean of the shards that have it. In a third the kept
+by hash, climbs the likelihood of its texts; a feature's weight is the mean over all shards, so that one which few have, and
+which can only repeat what the rules say of their rows, counts little. In a third the kept
 candidates are labelled. The model, with the vocabulary of capitalised words, is broadcast; texts are labelled whole.
 """
 
@@ -359,7 +360,7 @@ def weigh_names(given: dict[str, int], family: dict[str, int], other: dict[str,
                 n = seen * scale
                 total += much(n)
                 for p in token_parts(token):
-                    parts[p] += n if p[0] == "=" else much(n)
+                    parts[p] += max(n, 1.0) if p[0] == "=" else much(n)  # the word itself was met, however rare
             counts.append((parts, total))
         names = {}
         for p in set().union(*(c for c, _ in counts)):
@@ -768,7 +769,7 @@ def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
     counts = materialize(counted(documents), "p8-counts")
     model = Model(*names_of(counts, rows), {}, shapes_of(counts, rows))
     held = documents.sparkSession.sparkContext.broadcast(model)
-    rounds = -(-STEPS // max(rows, 1))
+    rounds, shards = -(-STEPS // max(rows, 1)), max(1, rows // SHARD_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lab = Labeller(held.value)
@@ -797,9 +798,9 @@ def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(list(w), pa.string()), pa.array(list(w.values()), pa.float64())], names)
 
     place = F.xxhash64("doc_id", "text")  # shards, and the order within, are the same for any order of the rows
-    spread = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("_at")).repartition(max(1, rows // SHARD_ROWS), "_at").sortWithinPartitions("_at", "doc_id")
+    spread = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("_at")).repartition(shards, "_at").sortWithinPartitions("_at", "doc_id")
     kept = materialize(spread.select("doc_id", "text").mapInArrow(run, "doc_id bigint, text string, lattice binary, feature string, weight double"), "p8-lattices")
-    weights = kept.filter("feature IS NOT NULL").groupBy("feature").agg(F.avg("weight").alias("weight")).collect()
+    weights = kept.filter("feature IS NOT NULL").groupBy("feature").agg((F.sum("weight") / shards).alias("weight")).collect()
     return kept.filter("feature IS NULL").select("doc_id", "text", "lattice"), model._replace(weights={x.feature: x.weight for x in weights})
 
 
