@@ -26,9 +26,10 @@ import re
 import string
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from math import exp, log1p
+from operator import itemgetter
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -45,6 +46,8 @@ WEIGHT_ROWS, EPOCHS, RATE, DECAY = 400, 6, 0.3, 1e-3
 SHARD_ROWS, STEPS = 3000, 2400
 #: Characters that two segments may be apart to count as neighbours.
 NEAR = 3
+#: Order of candidates: by end, start and kind.
+BY_END = itemgetter(1, 0, 2)
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Written forms. SP is white space inside an entity: also no-break, coded, or a line break with the next
@@ -77,8 +80,8 @@ ADDRESSES = {
 }
 MESSAGE_ID = re.compile(r"(?:[0-9a-f]{8}\.[0-9a-f]{6,}|00lost[0-9a-f]+)$")
 AT = re.compile(r" @\r?\n| ?@ ?")
-BRACKET_AT = re.compile(r"\s?[\[({] ?(?:at|AT) ?[\])}] ?")
-SPELT_AT = re.compile(rf"{SP}(?:at|AT){SP}(?=[A-Za-z0-9\-]+{SP}(?:dot|DOT))")
+BRACKET_AT = re.compile(r"(?=[\s\[({])\s?[\[({] ?(?:at|AT) ?[\])}] ?")
+SPELT_AT = re.compile(rf"(?=[\s=<&Â]){SP}(?:at|AT){SP}(?=[A-Za-z0-9\-]+{SP}(?:dot|DOT))")
 ALNUM, INNER = string.ascii_letters + string.digits, "._%+-"  # of the part before @
 DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 DOT = rf"(?:\.|{SP}(?:dot|DOT){SP}| ?[\[({{] ?(?:dot|DOT|\.) ?[\])}}] ?)"
@@ -93,9 +96,14 @@ RUN = re.compile(rf"{EDGE}(?:\+|\(\+?)?{GROUP}(?:{SEPARATOR}{GROUP}){{0,9}}")
 FIRST, NEXT = re.compile(rf"(?:\+|\(\+?)?{GROUP}"), re.compile(rf"{SEPARATOR}({GROUP})")
 LAND = re.compile(r"\(?\+[1-9]|00[1-9]")
 BEHIND = re.compile(r"(?![\w/]|[.\-]\d)")
-# a short group of figures begins neither a number nor an address if what follows can't continue one
-STARTS = re.compile(r"[+(\d](?<![\w.,/@\-].)(?!\d{0,4}(?:[:;\"'\]%*|}!?_@#]|[,a-z][a-z\d]|\Z))")
-LETTERS = re.compile(rf"[A-Z](?<![\w\-/].)(?=[A-Z]?(?:{SP}|{DASH})?\d)")
+# A short group of figures begins no number if what follows can't continue one, and no address if no word can follow. The last
+# group of STARTS that took part is 1 where only a number may begin, 2 where an address may too, 3 where only an address may.
+NO_GROUP = r"[a-z+:;\"'\]%*}!?_@#,.]|[A-Z](?:[a-z]|[A-Z][A-Za-z])"
+NO_NUMBER = rf"[a-z+:;\"'\]%*|}}!?_@#,]|\Z|(?:[ ./\-]|\r?\n)(?:{NO_GROUP})"
+MAY_NUMBER = rf"(?<![+#=].)(?:(?<=\d)|(?=\+?(?:\d|[A-Z]{{1,2}}(?![A-Za-z]))))(?!(?:(?<=\d)\d{{0,4}}+|(?<=[+(])\+?\d{{1,5}}+)(?:{NO_NUMBER}))"
+MAY_PLACE = r"(?<=\d)(?=\d{0,3}+(?:[a-z](?![a-z]))?+,?+(?: [^\d+(:\-d-hj-osu-z]|[^\S ]|[=<&Â]))"
+STARTS = re.compile(rf"[+(\d](?<![\w.,/@\-].)(?:{MAY_NUMBER}()(?:{MAY_PLACE}())?|{MAY_PLACE}())")
+LETTERS = re.compile(rf"[A-Z](?![a-z])(?<![\w\-/].)(?=[A-Z]?(?:{SP}|{DASH})?\d)")
 # what SP may begin with, besides white space
 SPACES = ("=20", "=C2=A0", "&nbsp;", "&#160;", "Â\xa0", "<br", "=\n", "=\r")
 # Figures that a number of each kind has, at least and at most.
@@ -106,6 +114,9 @@ PHONE_WORDS = ("tel", "telephone", "telefon", "telefoon", "teléfono", "tél", "
 ID_WORDS = ("passport", "reisepass", "passeport", "pasaporte", "pass", "passnummer", "ausweis", "personalausweis", "licence", "license", "identity card", "identity", "national id", "id card", "personnummer", "dni", "nie", "nif", "ssn", "nino", "id number")
 PHONE_CUE, ID_CUE = (re.compile(rf"(?i)(?<!\w)(?:{'|'.join(words)}){FILL}{{0,3}}\W{{1,4}}$") for words in (PHONE_WORDS, ID_WORDS))
 CUE_TOKENS, TOKENS = frozenset(w.split()[0] for w in (*PHONE_WORDS, *ID_WORDS)), re.compile(r"\w+")
+# the last token of such words and of FILL, where a degree sign is none; no more marks follow it
+LAST_TOKENS = frozenset([*(w.split()[-1] for w in (*PHONE_WORDS, *ID_WORDS)), *re.findall(r"\w+", FILL.split("(?:")[2]), "n", "nº"])
+LAST_TOKEN = re.compile(r"(?<!\w)(\w+)\W{1,5}$")
 WEAK_ID_CUE = re.compile(r"(?i)\bid\W{1,3}$")
 COUNTER_CUE = re.compile(r"(?:^|[^a-z])(?:step|epoch|pn|ref|job|lot|ticket|sha|version|node|run|t)(?:[ #=\r\n>|»]|<br>|&gt;)*$")
 #: A written form belongs to a kind if it was met so often, also for the number of rows, with so large a share right behind a
@@ -118,14 +129,17 @@ DE_WORD = re.compile(rf"{DE_ENDS[:-1]}|str)$")
 DE_BEFORE = re.compile(rf"(?<!\w)(?:Am|An{SP}der|An{SP}dem|Auf{SP}dem|Im|Zum|Zur|In{SP}der){SP}$")
 DE_AFTER = re.compile(rf"\.?{SP}{NUMBER}(?!\d|[.:]\d)")
 # WORD, but its first character is looked for before what stands in front of it
-TOKEN = re.compile(rf"[{UPPER}&=Ã](?<![\w@.+\-=/&].)(?:(?<=[{UPPER}])|(?<=&)[A-Z][a-z]+;|(?<==)C3=[89][0-9A-F]|(?<=Ã)[\u0080-\u009fŒ-™]){REST}")
+TOKEN = re.compile(rf"[{UPPER}&=Ã](?<![\w@.+\-=/&].)(?:(?<=[{UPPER}])|(?<=&)[A-Z][a-z]+;|(?<==)C3=[89][0-9A-F]|(?<=Ã)[\u0080-\u009fŒ-™])[{LOWER}{UPPER}'’\-]*+(?:(?:{CODED})[{LOWER}{UPPER}'’\-]*+)*+")
 PREFIX = re.compile(rf"(?<!\w)(?:(?:{'|'.join(PARTICLES)}|VAN|DE|VON|DER|DEL){SP}){{1,3}}$")
+# what can't stand last in it, and last but one before a space
+NO_PREFIX = frozenset(string.printable) - set(string.whitespace + ";0>|B")
+NO_PARTICLE = NO_PREFIX - set("".join(p[-1] + p[-1].upper() for p in PARTICLES))
 INITIAL = re.compile(rf"(?<![\w.])[{UPPER}]\.{SP}$")
 INITIAL_AFTER = re.compile(rf",{SP}[{UPPER}]\.")
 GAP = re.compile(rf"(,?{SP})((?:(?:{'|'.join(PARTICLES)}|VAN|DE|VON|DER|DEL){SP}){{0,3}})")
 LOW_FAMILY = re.compile(rf"{SP}(?:(?:{'|'.join(PARTICLES)}){SP}){{0,3}}((?:[{LOWER}'’\-]|{CODED})+)(?![\w@.+]*@)")
 MARKS = " \t\r\n\xa0\"'<>(),.:;|»[]{}-–/\\"
-HEADER = re.compile(r"(?im)^(?:[>|»] ?)*(?:from|to|cc|von|an|de|para|reply-to)\s?:[ \t]*(.*(?:\r?\n[ \t].*)*)")
+HEADER = re.compile(r"(?i)\n(?:[>|»] ?)*(?:from|to|cc|von|an|de|para|reply-to)\s?:[ \t]*(.*(?:\r?\n[ \t].*)*)")
 MAILBOX = re.compile(r"([A-Za-z][A-Za-z0-9._+]*)@")
 DISPLAY = re.compile(r"(?:^|[,;]\s*)(\"[^\"]{3,60}\"|[^<>\"@,;:()]{3,60}?)\s*<[^<>\s]*@|@[\w.\-]+ \(([^()@]{3,60})\)")
 
@@ -149,29 +163,46 @@ def shape_of(number: str) -> str:
     return shape[:-1] + "9" if shape.endswith("-A") else shape
 
 
+#: Spans of the runs met last, relative to the run's start.
+RUNS: dict[str, list[tuple[int, str, int]]] = {}
+
+
 def numbers_at(text: str, p: int) -> list[tuple[int, str, int]]:
     """(end, shape, figures) of the spans of whole groups that begin at p and may be a number, the longest last."""
     m = RUN.match(text, p)
-    if not m or sum(map(str.isdigit, m[0])) < 6:
+    if not m:
+        return []
+    run = text[p : m.end() + 2]  # no end is told by more than the two characters behind it
+    spans = RUNS.get(run)
+    if spans is None:
+        if len(RUNS) > 100_000:
+            RUNS.clear()
+        spans = RUNS[run] = _numbers_of(run, m.end() - p)
+    return [(p + end, shape, figures) for end, shape, figures in spans] if spans else spans
+
+
+def _numbers_of(run: str, length: int) -> list[tuple[int, str, int]]:
+    if sum(map(str.isdigit, run[:length])) < 6:
         return []
-    out, figures, g = [], 0, FIRST.match(text, p)
+    out, figures, g = [], 0, FIRST.match(run)
     first = g[0].lstrip("(+")
     figures = len(first) if first[0].isdigit() else 0
     while g and figures <= 16:
         end = g.end()
         # two capitals behind a space are a word of their own
-        if figures >= 6 and BEHIND.match(text, end) and not (g.re is NEXT and len(g[1]) == 2 and g[1].isalpha() and len(g[0]) > 2):
-            shape = shape_of(text[p:end])
+        if figures >= 6 and BEHIND.match(run, end) and not (g.re is NEXT and len(g[1]) == 2 and g[1].isalpha() and len(g[0]) > 2):
+            shape = shape_of(run[:end])
             if shape.count("(") == shape.count(")"):
                 out.append((end, shape, figures))
-        g = NEXT.match(text, end) if end < m.end() else None
+        g = NEXT.match(run, end) if end < length else None
         figures += len(g[1]) if g and g[1][0].isdigit() else 0
     return out
 
 
 def announced(before: str) -> tuple[bool, bool]:
     """Whether the words right before a number announce a telephone number, and an id."""
-    if CUE_TOKENS.isdisjoint(TOKENS.findall(before.lower())):  # as for most numbers
+    last = LAST_TOKEN.search(before, max(0, len(before) - 24))
+    if not last or last[1].lower() not in LAST_TOKENS or CUE_TOKENS.isdisjoint(TOKENS.findall(before.lower())):  # as for most numbers
         return False, False
     return PHONE_CUE.search(before) is not None, ID_CUE.search(before) is not None
 
@@ -183,7 +214,9 @@ def count_shapes(text: str, counts: dict[str, list[int]]) -> None:
         behind = 0
         for start in rx.finditer(text):
             p = start.start()
-            spans = [x for x in numbers_at(text, p) if "\n" not in text[p : x[0]]] if p >= behind else []
+            if p < behind or start.lastindex == 3:
+                continue
+            spans = [x for x in numbers_at(text, p) if "\n" not in text[p : x[0]]]
             if not spans:
                 continue
             end, shape, figures = spans[-1]
@@ -302,7 +335,7 @@ def token_parts(token: str) -> list[str]:
 
 def header_names(text: str) -> Iterator[tuple[str, str]]:
     """(given, family) of the display names in a mail's headers."""
-    for m in HEADER.finditer(text):
+    for m in HEADER.finditer("\n" + text):
         for quoted, after in DISPLAY.findall(m[1]):
             name = (quoted or after).strip('" \t\r\n')
             if name.count(",") == 1:
@@ -450,9 +483,10 @@ class Labeller:
                     out.append((max(0, a - 66) + len(pre) - len(left), d.end(), "email", (known, "digits" if left.isdigit() else "")))
         place = 0  # end of the last address; the next begins behind it
         for start in STARTS.finditer(text):
-            p = start.start()
-            self._numbers(text, p, out, bare)
-            m = PLACES.match(text, p) if p >= place else None
+            p, what = start.start(), start.lastindex
+            if what < 3:
+                self._numbers(text, p, out, bare)
+            m = PLACES.match(text, p) if what > 1 and p >= place else None
             if m:
                 out.append((*m.span(), "address", (m.lastgroup,)))
                 place = m.end()
@@ -468,20 +502,21 @@ class Labeller:
         numbers with + or 00 before a country's code. A form that belongs to no kind is "rare"."""
         spans = numbers_at(text, p)
         if spans:
-            self._told(text, p, spans, self.model.shapes, out)
-            if bare is not None:
-                self._told(text, p, spans, {}, bare)
-
-    def _told(self, text: str, p: int, spans: list, shapes: dict[str, str], out: list) -> None:
-        cues = None
-        land = LAND.match(text, p) is not None
+            before = text[max(0, p - 50) : p]
+            cues = dict(zip(FIGURES, announced(before)), weak=WEAK_ID_CUE.search(before, max(0, len(before) - 6)) is not None)
+            land = LAND.match(text, p) is not None
+            told = land or True in cues.values()
+            shapes = self.model.shapes
+            if told or any(x[1] in shapes for x in spans):
+                self._told(text, p, spans, shapes, cues, land, out)
+            if told and bare is not None:
+                self._told(text, p, spans, {}, cues, land, bare)
+
+    def _told(self, text: str, p: int, spans: list, shapes: dict[str, str], cues: dict[str, bool], land: bool, out: list) -> None:
         # the whole number is the longest span of a known form, else the longest on one line
         whole = ([x[0] for x in spans if x[1] in shapes] or [x[0] for x in spans if "\n" not in text[p : x[0]]] or [spans[-1][0]])[-1]
         for end, shape, figures in spans:
             known = shapes.get(shape)
-            if cues is None:
-                before = text[max(0, p - 50) : p]
-                cues = dict(zip(FIGURES, announced(before)), weak=WEAK_ID_CUE.search(before) is not None)
             if known is None and not (land or cues["phone"] or cues["id_number"] or cues["weak"]):
                 continue
             for kind, (least, most) in FIGURES.items():
@@ -496,8 +531,9 @@ class Labeller:
         last: tuple[int, int, str, int, int] | None = None  # start with particles, end, type, sureness, bare start
         known = self.tokens
         for m in TOKEN.finditer(text):
-            raw = m[0]
-            t = known[raw] if raw in known else self.token(raw)
+            t = known.get(m[0], m)
+            if t is m:
+                t = self.token(m[0])
             if t is None:
                 continue
             a, b = m.span()
@@ -517,7 +553,8 @@ class Labeller:
                     continue
             start = a
             if kind != "G":
-                p = PREFIX.search(text, max(0, a - 24), a)
+                none = a < 2 or text[a - 1] in NO_PREFIX or text[a - 1] == " " and text[a - 2] in NO_PARTICLE
+                p = None if none else PREFIX.search(text, max(0, a - 24), a)
                 if p:
                     start = p.start()
             if kind != "C":  # a word in capitals is a name only beside a given one
@@ -525,10 +562,10 @@ class Labeller:
             if start != a and kind != "C":
                 out.append((a, b, "name", ("bare", sure, sure)))
             if kind != "G":
-                i = INITIAL.search(text, max(0, start - 6), start)
+                i = INITIAL.search(text, max(0, start - 6), start) if text.find(".", max(0, start - 6), start) >= 0 else None
                 if i:
                     out.append((i.start(), b, "name", ("I F", sure, sure)))
-                i = INITIAL_AFTER.match(text, b)
+                i = INITIAL_AFTER.match(text, b) if after == "," else None
                 if i:
                     out.append((start, i.end(), "name", ("F, I", sure, sure)))
             if last and start >= last[1]:
@@ -553,15 +590,6 @@ class Labeller:
                         out.append((a, m.end(), "name", ("g f", t[1], t[1])))
                 a = text.find(g, a + 1)
 
-    def seen(self, text: str, a: int, b: int, kind: str, form: tuple) -> tuple:
-        """What a segment's features are made from: its kind and form, the word and marks before, what follows, length."""
-        pre = text[max(0, a - 20) : a]
-        bare = pre.rstrip(MARKS)
-        mark = pre[len(bare) :].replace("\r", "")[-2:]
-        word = bare.rsplit(None, 1)[-1].lower()[-12:] if bare and not bare[-1].isspace() else ""
-        after = text[b : b + 2].replace("\r", "")[:1]
-        return kind, form, word, mark, "x" if after.isalpha() else "9" if after.isdigit() else after, min((b - a) // 8, 5)
-
     def features(self, key: tuple) -> tuple[str, ...]:
         """Strings of a segment's features."""
         fs = self.strings.get(key)
@@ -583,16 +611,35 @@ class Labeller:
 
     def spans(self, text: str) -> list[tuple[int, int, str, tuple]]:
         """Candidates with what their features are made from, by end and start."""
-        return self._by_end(text, self.candidates(text))
+        return self._by_end(text, self.candidates(text), {}, {})
 
     def both_spans(self, text: str) -> tuple[list, list]:
         """The same, and as if no form of numbers were known."""
         bare: list = []
         found = self.candidates(text, bare)
-        return self._by_end(text, found), self._by_end(text, [*bare, *(c for c in found if c[2] not in FIGURES)])
+        left: dict[int, tuple[str, str]] = {}
+        right: dict[int, str] = {}
+        return self._by_end(text, found, left, right), self._by_end(text, [*bare, *(c for c in found if c[2] not in FIGURES)], left, right)
 
-    def _by_end(self, text: str, found: list) -> list[tuple[int, int, str, tuple]]:
-        return [(a, b, kind, self.seen(text, a, b, kind, form)) for a, b, kind, form in sorted(set(found), key=lambda c: (c[1], c[0], c[2]))]
+    def _by_end(self, text: str, found: list, left: dict[int, tuple[str, str]], right: dict[int, str]) -> list[tuple[int, int, str, tuple]]:
+        """Candidates with what their features are made from: kind and form, the word and marks before, what follows, length.
+        `left` and `right` keep what is before and behind, per place."""
+        out = []
+        for a, b, kind, form in sorted(set(found), key=BY_END):
+            if a in left:
+                word, mark = left[a]
+            else:
+                pre = text[max(0, a - 20) : a]
+                bare = pre.rstrip(MARKS)
+                mark = pre[len(bare) :].replace("\r", "")[-2:]
+                word = bare.rsplit(None, 1)[-1].lower()[-12:] if bare and not bare[-1].isspace() else ""
+                left[a] = word, mark
+            after = right.get(b)
+            if after is None:
+                after = text[b : b + 2].replace("\r", "")[:1]
+                after = right[b] = "x" if after.isalpha() else "9" if after.isdigit() else after
+            out.append((a, b, kind, (kind, form, word, mark, after, min((b - a) // 8, 5))))
+        return out
 
     def lattice(self, text: str) -> list[tuple[int, int, str, tuple]]:
         """Candidates with their features, by end and start."""
@@ -641,21 +688,36 @@ class Labeller:
         return out[::-1]
 
 
+#: The labeller that this process had last.
+KEPT: list[Labeller] = []
+
+
+def labeller(model: Model) -> Labeller:
+    """A labeller for the model; the tasks of one process share it, with what it found out about tokens."""
+    if not KEPT or KEPT[0].model is not model:
+        KEPT[:] = [Labeller(model)]
+    return KEPT[0]
+
+
 def pair_features(text: str, before: tuple, start: int, kind: str) -> tuple[str, str]:
     """Features of two neighbours: their kinds, and with them what stands between."""
     both = f"{before[2]}~{kind}"
     return both, f"{both}:{text[before[1] : start]}"
 
 
+NAME_FORMS = frozenset(("G", "F", "G F", "F G", "C G", "G C", "C, G", "F, G", "I F", "F, I", "g f"))
+
+
 def rule_labels(text: str, lattice: list[tuple[int, int, str, tuple]]) -> set[int]:
     """Numbers of the candidates that are segments by rule: the longest of overlapping ones that no counter-sign marks, those
     of a known form, and whole ones on one line, first."""
     chosen: set[int] = set()
-    taken: list[tuple[int, int]] = []
-    last = [kind in FIGURES and (f"{kind}:rare" in fs, f"{kind}:part" in fs) or (False, False) for _, _, kind, fs in lattice]
-    for j in sorted(range(len(lattice)), key=lambda j: (last[j], lattice[j][0] - lattice[j][1])):
+    begun, ended = [], []  # of the segments chosen, in the text's order
+    last = [(f"{c[2]}:rare" in c[3], f"{c[2]}:part" in c[3], c[0] - c[1]) if c[2] in FIGURES else (False, False, c[0] - c[1]) for c in lattice]
+    for j in sorted(range(len(lattice)), key=last.__getitem__):
         a, b, kind, fs = lattice[j]
-        if any(a < d and c < b for c, d in taken):
+        k = bisect_right(ended, a)
+        if k < len(begun) and begun[k] < b:
             continue
         if kind == "email" and "email:msgid:" in fs[1]:
             continue
@@ -665,10 +727,11 @@ def rule_labels(text: str, lattice: list[tuple[int, int, str, tuple]]) -> set[in
                 continue
         if kind == "name":
             form, sure = fs[2].split(":")[1:]
-            if form not in ("G", "F", "G F", "F G", "C G", "G C", "C, G", "F, G", "I F", "F, I", "g f") or int(sure) < (2 if form in ("G", "F") and "nb:title" not in fs else 1 if form == "F, G" else 0):
+            if form not in NAME_FORMS or int(sure) < (2 if form in ("G", "F") and "nb:title" not in fs else 1 if form == "F, G" else 0):
                 continue
         chosen.add(j)
-        taken.append((a, b))
+        begun.insert(k, a)
+        ended.insert(k, b)
     return chosen
 
 
@@ -683,8 +746,10 @@ class Chain(NamedTuple):
 
 def chain(text: str, lattice: list[tuple[int, int, str, tuple]]) -> Chain:
     ends = [c[1] for c in lattice]
-    far = [bisect_left(ends, c[0] - NEAR) for c in lattice]
-    near = [[(i, pair_features(text, lattice[i], c[0], c[2])) for i in range(f, bisect_right(ends, c[0]))] for c, f in zip(lattice, far)]
+    far, near = [], []
+    for n, (a, _, kind, _) in enumerate(lattice):
+        far.append(f := bisect_left(ends, a - NEAR, 0, n))  # those from n on end no earlier than n
+        near.append([(i, pair_features(text, lattice[i], a, kind)) for i in range(f, bisect_right(ends, a, f, n))])
     return Chain(lattice, far, near)
 
 
@@ -697,24 +762,29 @@ def sums(c: Chain, w: dict[str, float]) -> tuple[list[float], list[list[float]],
     log sum over all labellings. Sums run forward over the last segment, and their derivatives backward."""
     n = len(c.lattice)
     get = w.get
-    s = [sum([get(f, 0.0) for f in x[3]]) for x in c.lattice]
-    t = [[sum([get(f, 0.0) for f in fs]) for _, fs in near] for near in c.near]
-    alpha, z, upto = [0.0] * n, [0.0] * n, [0.0] * (n + 1)  # upto[k]: log sum of labellings within the first k candidates
-    for j in range(n):
-        z[j] = upto[c.far[j]]
-        for (i, _), x in zip(c.near[j], t[j]):
-            z[j] = _add(z[j], alpha[i] + x)
-        alpha[j] = z[j] + s[j]
-        upto[j + 1] = _add(upto[j], alpha[j])
+    s = [sum([get(f, 0.0) for f in fs]) for _, _, _, fs in c.lattice]
+    t = [[sum([get(f, 0.0) for f in fs]) for _, fs in near] if near else () for near in c.near]
+    alpha, z, last, upto = [], [], 0.0, [0.0]  # upto[k]: log sum of labellings within the first k candidates
+    for far, near, own, both in zip(c.far, c.near, s, t):
+        y = upto[far]
+        for (i, _), x in zip(near, both) if near else ():
+            y = _add(y, alpha[i] + x)
+        z.append(y)
+        y += own
+        alpha.append(y)
+        last = last + log1p(exp(y - last)) if last > y else y + log1p(exp(last - y))
+        upto.append(last)
     du, da = [0.0] * n + [1.0], [0.0] * n
     pairs: list[list[float]] = [[]] * n
     for j in range(n - 1, -1, -1):
-        da[j] += du[j + 1] * exp(alpha[j] - upto[j + 1])
-        du[j] += du[j + 1] * exp(upto[j] - upto[j + 1])
-        du[c.far[j]] += da[j] * exp(upto[c.far[j]] - z[j])
-        pairs[j] = [da[j] * exp(alpha[i] + x - z[j]) for (i, _), x in zip(c.near[j], t[j])]
-        for (i, _), p in zip(c.near[j], pairs[j]):
-            da[i] += p
+        d, far, y = du[j + 1], c.far[j], z[j]
+        own = da[j] = da[j] + d * exp(alpha[j] - upto[j + 1])
+        du[j] += d * exp(upto[j] - upto[j + 1])
+        du[far] += own * exp(upto[far] - y)
+        if near := c.near[j]:
+            pairs[j] = [own * exp(alpha[i] + x - y) for (i, _), x in zip(near, t[j])]
+            for (i, _), p in zip(near, pairs[j]):
+                da[i] += p
     return da, pairs, upto[n]
 
 
@@ -746,21 +816,22 @@ def ruled(text: str, lat: list[tuple[int, int, str, tuple]]) -> tuple[Chain, set
 def climb(c: Chain, gold: set[int], follows: dict[int, int], w: dict[str, float], square: dict[str, float]) -> None:
     """One step of the weights up the likelihood of a text's segments; `square` has the sums of squared gradients."""
     p, pairs, _ = sums(c, w)
-    grad: dict[str, float] = {}
+    grad: dict[str, float] = defaultdict(float)
     for j, (_, _, _, fs) in enumerate(c.lattice):
         d = (j in gold) - p[j]
-        if abs(d) > 1e-4:
+        if d > 1e-4 or d < -1e-4:
             for f in fs:
-                grad[f] = grad.get(f, 0.0) + d
-        for (i, both), q in zip(c.near[j], pairs[j]):
+                grad[f] += d
+        for (i, both), q in zip(c.near[j], pairs[j]) if pairs[j] else ():
             d = (j in gold and follows[j] == i) - q
-            if abs(d) > 1e-4:
+            if d > 1e-4 or d < -1e-4:
                 for f in both:
-                    grad[f] = grad.get(f, 0.0) + d
+                    grad[f] += d
     for f, g in grad.items():
-        g -= DECAY * w.get(f, 0.0)
-        square[f] = square.get(f, 1e-6) + g * g
-        w[f] = w.get(f, 0.0) + RATE * g / math.sqrt(square[f])
+        now = w.get(f, 0.0)
+        g -= DECAY * now
+        much = square[f] = square.get(f, 1e-6) + g * g
+        w[f] = now + RATE * g / math.sqrt(much)
 
 
 def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
@@ -772,7 +843,7 @@ def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
     rounds, shards = -(-STEPS // max(rows, 1)), max(1, rows // SHARD_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lab = Labeller(held.value)
+        lab = labeller(held.value)
         w: dict[str, float] = {}
         square: dict[str, float] = {}
         again, i = [], 0
@@ -833,7 +904,7 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lab = Labeller(held.value)
+        lab = labeller(held.value)
         for b in batches:
             ids, kinds, texts = [], [], []
             for doc, text, lat in zip(*(c.to_pylist() for c in b.columns)):
@@ -853,7 +924,7 @@ def redact(documents: DataFrame, model: Model) -> DataFrame:
     held = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lab = Labeller(held.value)
+        lab = labeller(held.value)
         for b in batches:
             out, n = [], []
             for text, lat in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):

@@ -294,3 +294,42 @@ def test_few_words_decide_whether_a_number_is_announced():
     for before in ("Tel. ", "my identity card no. ", "FAX: ", "Call me at ", "TELÉFONO ", "the telegram ", "", "step ", "id number: "):
         assert pii.announced(before) == (pii.PHONE_CUE.search(before) is not None, pii.ID_CUE.search(before) is not None)
     assert pii.announced("Tel. ")[0] and pii.announced("my identity card no. ")[1] and pii.announced("the telegram ") == (False, False)
+
+
+def test_starts_runs_and_announcements_told_early_are_those_of_the_patterns():
+    """Where only a number or only an address may begin, what a run met before holds, and the words that stand last."""
+    rng = random.Random(21)
+    pieces = [*"0123456789" * 3, *"()+-./ ,:;=#AZbi", "\n", "&nbsp;", "=20", " rue ", " Copper Street", " bis ", "\n> ", "12", "123456", "AB ", "<br>\n"]
+    for _ in range(4000):
+        text = "".join(rng.choices(pieces, k=24))
+        for m in pii.STARTS.finditer(text):
+            p = m.start()
+            spans = pii.numbers_at(text, p)
+            assert spans == pii.numbers_at(text, p)
+            pii.RUNS.clear()
+            assert spans == pii.numbers_at(text, p)
+            assert m.lastindex < 3 or not spans, (text, p)
+            assert m.lastindex > 1 or not pii.PLACES.match(text, p), (text, p)
+    words = ["Tel", "id card", "passport", "no", "Nº", "n°", "number", "call", "me", "at", "telegram", "step", " ", ": ", ".\n", "", "  ", "é"]
+    for _ in range(4000):
+        before = " ".join(rng.choices(words, k=5)) + rng.choice(["", " ", ": ", ".\n", "     "])
+        assert pii.announced(before) == (pii.PHONE_CUE.search(before) is not None, pii.ID_CUE.search(before) is not None), before
+
+
+def test_tasks_of_a_process_share_a_labeller(model):
+    lab = pii.labeller(model)
+    assert pii.labeller(model) is lab
+    other = model._replace(weights={})
+    assert pii.labeller(other) is not lab and pii.labeller(other).model is other
+
+
+def test_rules_choose_disjoint_segments_the_longest_first():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans = sorted({(a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(15))}, key=lambda c: (c[1], c[0]))
+        lat = [(a, b, "address", ("address", "address:en")) for a, b in spans]
+        want = []
+        for j in sorted(range(len(lat)), key=lambda j: lat[j][0] - lat[j][1]):
+            if not any(lat[j][0] < lat[i][1] and lat[i][0] < lat[j][1] for i in want):
+                want.append(j)
+        assert pii.rule_labels("", lat) == set(want)
