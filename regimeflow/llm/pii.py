@@ -18,6 +18,7 @@ candidates are labelled. The model, with the vocabulary of capitalised words, is
 
 from __future__ import annotations
 
+import gc
 import html
 import html.entities
 import marshal
@@ -26,9 +27,11 @@ import re
 import string
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-from math import exp, log1p
+from collections import Counter
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
+from math import exp, log1p, sqrt
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -54,6 +57,7 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 # line's quote marks; DASH a hyphen or en dash, also coded or wrongly decoded.
 BREAK = r"(?:=|<br ?/?>)?\r?\n(?:(?:[>|»]|&gt;|&raquo;|=C2=BB|Â»)[ \t]?)*"
 SP = rf"(?:{BREAK}|[    ]|&nbsp;|&#160;|=C2=A0|Â |=20)(?:[  ]|&nbsp;|=C2=A0|{BREAK})?"
+NINES = str.maketrans("012345678", "9" * 9)
 SHAPES = str.maketrans({**{str(i): "9" for i in range(10)}, **{chr(c): "A" for c in range(65, 91)}, **{chr(c): "A" for c in range(97, 123)}})
 DASH = r"(?:-|–|‑|=E2=80=93|&ndash;|â€“|â\u0080\u0093)"
 # letters of the Latin, Greek and Cyrillic scripts; Ã begins a wrongly decoded letter
@@ -83,6 +87,8 @@ AT = re.compile(r" @\r?\n| ?@ ?")
 BRACKET_AT = re.compile(r"(?=[\s\[({])\s?[\[({] ?(?:at|AT) ?[\])}] ?")
 SPELT_AT = re.compile(rf"(?=[\s=<&Â]){SP}(?:at|AT){SP}(?=[A-Za-z0-9\-]+{SP}(?:dot|DOT))")
 ALNUM, INNER = string.ascii_letters + string.digits, "._%+-"  # of the part before @
+LOCAL, BOX, NO_BOX = ALNUM + INNER, ALNUM + "._+", string.digits + "._+"
+BOX_PARTS = re.compile(r"[._+\d]+")
 DOMAIN = re.compile(r"[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}")
 DOT = rf"(?:\.|{SP}(?:dot|DOT){SP}| ?[\[({{] ?(?:dot|DOT|\.) ?[\])}}] ?)"
 SPELT = re.compile(rf"[A-Za-z0-9\-]+(?:{DOT}[A-Za-z0-9\-]+)*{DOT}[A-Za-z]{{2,}}")
@@ -116,9 +122,11 @@ PHONE_CUE, ID_CUE = (re.compile(rf"(?i)(?<!\w)(?:{'|'.join(words)}){FILL}{{0,3}}
 CUE_TOKENS, TOKENS = frozenset(w.split()[0] for w in (*PHONE_WORDS, *ID_WORDS)), re.compile(r"\w+")
 # the last token of such words and of FILL, where a degree sign is none; no more marks follow it
 LAST_TOKENS = frozenset([*(w.split()[-1] for w in (*PHONE_WORDS, *ID_WORDS)), *re.findall(r"\w+", FILL.split("(?:")[2]), "n", "nº"])
+LAST_TWO, NO_WORD = frozenset(w[-2:] for w in LAST_TOKENS), "".join(c for c in map(chr, range(128)) if not c.isalnum() and c != "_")
 LAST_TOKEN = re.compile(r"(?<!\w)(\w+)\W{1,5}$")
 WEAK_ID_CUE = re.compile(r"(?i)\bid\W{1,3}$")
 COUNTER_CUE = re.compile(r"(?:^|[^a-z])(?:step|epoch|pn|ref|job|lot|ticket|sha|version|node|run|t)(?:[ #=\r\n>|»]|<br>|&gt;)*$")
+UNTOLD = dict.fromkeys((*FIGURES, "weak"), False)
 #: A written form belongs to a kind if it was met so often, also for the number of rows, with so large a share right behind a
 #: word that announces the kind.
 SEEN, RARE, ANNOUNCED = 3, 1e-4, 0.05
@@ -137,6 +145,9 @@ NO_PARTICLE = NO_PREFIX - set("".join(p[-1] + p[-1].upper() for p in PARTICLES))
 INITIAL = re.compile(rf"(?<![\w.])[{UPPER}]\.{SP}$")
 INITIAL_AFTER = re.compile(rf",{SP}[{UPPER}]\.")
 GAP = re.compile(rf"(,?{SP})((?:(?:{'|'.join(PARTICLES)}|VAN|DE|VON|DER|DEL){SP}){{0,3}})")
+# what no gap begins with, and what doesn't follow a space in one
+NO_GAP = frozenset(".:;!?()[]{}\"'@|>/*_+-" + string.ascii_letters + string.digits)
+NO_GAP_NEXT = frozenset(string.ascii_letters + string.digits) - set("".join(p[0] + p[0].upper() for p in PARTICLES))
 LOW_FAMILY = re.compile(rf"{SP}(?:(?:{'|'.join(PARTICLES)}){SP}){{0,3}}((?:[{LOWER}'’\-]|{CODED})+)(?![\w@.+]*@)")
 MARKS = " \t\r\n\xa0\"'<>(),.:;|»[]{}-–/\\"
 HEADER = re.compile(r"(?i)\n(?:[>|»] ?)*(?:from|to|cc|von|an|de|para|reply-to)\s?:[ \t]*(.*(?:\r?\n[ \t].*)*)")
@@ -164,21 +175,35 @@ def shape_of(number: str) -> str:
 
 
 #: Spans of the runs met last, relative to the run's start.
-RUNS: dict[str, list[tuple[int, str, int]]] = {}
+RUNS: dict[tuple[str, int], list[tuple[int, str, int]]] = {}
 
 
-def numbers_at(text: str, p: int) -> list[tuple[int, str, int]]:
-    """(end, shape, figures) of the spans of whole groups that begin at p and may be a number, the longest last."""
+def run_at(text: str, p: int) -> tuple[str, int] | None:
+    """The run of groups that begins at p, with the two characters behind it (no end is told by more), all figures as 9, and its
+    length. All that is asked of runs but a country's code is the same for runs that agree in this."""
     m = RUN.match(text, p)
     if not m:
-        return []
-    run = text[p : m.end() + 2]  # no end is told by more than the two characters behind it
+        return None
+    end = m.end()
+    if end - p < 6:  # as many figures as any kind has
+        return None
+    run = text[p : end + 2]
+    return run if "=" in run or "&" in run else run.translate(NINES), end - p  # figures of coded signs stay
+
+
+def spans_of(run: tuple[str, int]) -> list[tuple[int, str, int]]:
     spans = RUNS.get(run)
     if spans is None:
         if len(RUNS) > 100_000:
             RUNS.clear()
-        spans = RUNS[run] = _numbers_of(run, m.end() - p)
-    return [(p + end, shape, figures) for end, shape, figures in spans] if spans else spans
+        spans = RUNS[run] = _numbers_of(*run)
+    return spans
+
+
+def numbers_at(text: str, p: int) -> list[tuple[int, str, int]]:
+    """(end, shape, figures) of the spans of whole groups that begin at p and may be a number, the longest last."""
+    run = run_at(text, p)
+    return [(p + end, shape, figures) for end, shape, figures in spans_of(run)] if run else []
 
 
 def _numbers_of(run: str, length: int) -> list[tuple[int, str, int]]:
@@ -207,6 +232,12 @@ def announced(before: str) -> tuple[bool, bool]:
     return PHONE_CUE.search(before) is not None, ID_CUE.search(before) is not None
 
 
+def told_before(text: str, p: int) -> bool:
+    """Whether words right before p may announce a number; if not, announced() finds none, nor does WEAK_ID_CUE."""
+    word = text[max(0, p - 12) : p].rstrip(NO_WORD)[-2:]
+    return not word or word.lower() in LAST_TWO or not word[-1].isalnum() or not word[0].isalnum()
+
+
 def count_shapes(text: str, counts: dict[str, list[int]]) -> None:
     """Add a text's numbers to the counts per written form: how often it stands, and how often right behind a word that
     announces a telephone number, or an id. A number is the longest span on one line."""
@@ -216,15 +247,24 @@ def count_shapes(text: str, counts: dict[str, list[int]]) -> None:
             p = start.start()
             if p < behind or start.lastindex == 3:
                 continue
-            spans = [x for x in numbers_at(text, p) if "\n" not in text[p : x[0]]]
+            run = run_at(text, p)
+            spans = spans_of(run) if run else None
             if not spans:
                 continue
             end, shape, figures = spans[-1]
-            behind = end
-            n = counts.setdefault(shape, [0, 0, 0])
+            if "\n" in run[0] and "\n" in text[p : p + end]:
+                spans = [x for x in spans if "\n" not in run[0][: x[0]]]
+                if not spans:
+                    continue
+                end, shape, figures = spans[-1]
+            behind = p + end
+            n = counts.get(shape)
+            if n is None:
+                n = counts[shape] = [0, 0, 0]
             n[0] += 1
-            for k, (kind, cue) in enumerate(zip(FIGURES, announced(text[max(0, p - 50) : p])), 1):
-                n[k] += FIGURES[kind][0] <= figures <= FIGURES[kind][1] and cue
+            if told_before(text, p):
+                for k, (kind, cue) in enumerate(zip(FIGURES, announced(text[max(0, p - 50) : p])), 1):
+                    n[k] += FIGURES[kind][0] <= figures <= FIGURES[kind][1] and cue
 
 
 def kind_of_shape(seen: int, phone: int, id_number: int, rows: int) -> str | None:
@@ -241,6 +281,18 @@ def learn_shapes(texts: list[str]) -> dict[str, str]:
     return {shape: kind for shape, n in counts.items() if (kind := kind_of_shape(*n, len(texts)))}
 
 
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """No search for cycles meanwhile: what texts and candidates make has none, but is much to look through again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def counted(documents: DataFrame) -> DataFrame:
     """(what, key, low, a, b, c) over all rows of `documents`: written forms of numbers with the counts of count_shapes; words
     with how often they are a given, a family name and any token, and their letters; parts of mail addresses."""
@@ -262,9 +314,10 @@ def counted(documents: DataFrame) -> DataFrame:
         shapes: dict[str, list[int]] = {}
         given, family, tokens, boxes = Counter(), Counter(), Counter(), set()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                count_shapes(text, shapes)
-                count_words(text, given, family, tokens, boxes)
+            with uncollected():
+                for text in batch.column(0).to_pylist():
+                    count_shapes(text, shapes)
+                    count_words(text, given, family, tokens, boxes)
             if len(shapes) + len(tokens) + len(boxes) > 100_000:
                 yield out()
         yield out()
@@ -337,15 +390,23 @@ def header_names(text: str) -> Iterator[tuple[str, str]]:
     """(given, family) of the display names in a mail's headers."""
     for m in HEADER.finditer("\n" + text):
         for quoted, after in DISPLAY.findall(m[1]):
-            name = (quoted or after).strip('" \t\r\n')
-            if name.count(",") == 1:
-                family, given = (x.strip() for x in name.split(","))
-            elif " " in name:
-                given, family = name.split(" ", 1)
-            else:
-                continue
-            if re.fullmatch(WORD, given) and re.fullmatch(rf"(?:[a-z]+ ){{0,3}}{WORD}", family):
-                yield plain(given), plain(family.split(" ")[-1])
+            if two := name_of(quoted or after):
+                yield two
+
+
+@lru_cache(20_000)
+def name_of(shown: str) -> tuple[str, str] | None:
+    """(given, family) of a display name, if it is of a person."""
+    name = shown.strip('" \t\r\n')
+    if name.count(",") == 1:
+        family, given = (x.strip() for x in name.split(","))
+    elif " " in name:
+        given, family = name.split(" ", 1)
+    else:
+        return None
+    if re.fullmatch(WORD, given) and re.fullmatch(rf"(?:[a-z]+ ){{0,3}}{WORD}", family):
+        return plain(given), plain(family.split(" ")[-1])
+    return None
 
 
 def count_words(text: str, given: Counter, family: Counter, tokens: Counter, boxes: set[str]) -> None:
@@ -354,12 +415,11 @@ def count_words(text: str, given: Counter, family: Counter, tokens: Counter, box
         for g, f in header_names(text):
             given[g] += 1
             family[f] += 1
-        for before in text.split("@")[:-1]:
-            box = before[len(before.rstrip(ALNUM + "._+")) :].lstrip(string.digits + "._+")
+        for box in {x[len(x.rstrip(BOX)) :].lstrip(NO_BOX).lower() for x in text.split("@")[:-1]}:
             if box:
-                parts = re.split(r"[._+\d]+", box.lower())
+                parts = BOX_PARTS.split(box)
                 boxes.update(parts)
-                boxes.update(p[:-1] for p in parts if len(p) > 5)  # a family name and an initial
+                boxes.update([p[:-1] for p in parts if len(p) > 5])  # a family name and an initial
     tokens.update(TOKEN.findall(text))
 
 
@@ -419,8 +479,10 @@ def at_signs(text: str) -> Iterator[tuple[int, int]]:
     """Spans of AT in a text, from one sign to the next."""
     end, i = 0, text.find("@")
     while i >= 0:
-        a = i - 1 if i > end and text[i - 1] == " " else i
-        end = AT.match(text, a).end()
+        if i > end and text[i - 1] == " ":
+            a, end = i - 1, AT.match(text, i - 1).end()
+        else:
+            a, end = i, i + 2 if text[i + 1 : i + 2] == " " else i + 1
         yield a, end
         i = text.find("@", end)
 
@@ -447,7 +509,8 @@ class Labeller:
         self.model = model
         self.tokens: dict[str, tuple[str, int] | None] = {}
         self.scores: dict[tuple, float] = {}
-        self.strings: dict[tuple, tuple[str, ...]] = {}
+        self.strings: dict[tuple | str, tuple[str, ...]] = {}
+        self.held: dict[tuple, tuple[tuple[str, ...], str, tuple[bool, bool, bool]]] = {}
         low = {g.lower() for g in model.given}
         self.low = {v for g in low for v in spellings(g)}
         self.split = {v for v in self.low if v.split() != [v] or any(c in v for c in (">", *SPACES))}  # no single words below
@@ -477,9 +540,9 @@ class Labeller:
             for a, b in () if not there else at(text) if form == "plain" else (m.span() for m in at.finditer(text)):
                 d = domain.match(text, b)
                 pre = text[max(0, a - 66) : a].removesuffix("\n").removesuffix("\r")  # a line may break before the sign
-                left = pre[len(pre.rstrip(ALNUM + INNER)) :].lstrip(INNER)
+                left = pre[len(pre.rstrip(LOCAL)) :].lstrip(INNER)
                 if d and left and left[-1] not in INNER:
-                    known = "msgid" if MESSAGE_ID.search(left) else "spaced" if form == "plain" and b - a > 1 else form
+                    known = "msgid" if left[-1] in "0123456789abcdef" and ("." in left or "00lost" in left) and MESSAGE_ID.search(left) else "spaced" if form == "plain" and b - a > 1 else form
                     out.append((max(0, a - 66) + len(pre) - len(left), d.end(), "email", (known, "digits" if left.isdigit() else "")))
         place = 0  # end of the last address; the next begins behind it
         for start in STARTS.finditer(text):
@@ -500,21 +563,25 @@ class Labeller:
     def _numbers(self, text: str, p: int, out: list, bare: list | None) -> None:
         """Candidates that begin at p: of a kind that their form belongs to, or that the words before announce; and telephone
         numbers with + or 00 before a country's code. A form that belongs to no kind is "rare"."""
-        spans = numbers_at(text, p)
-        if spans:
+        run = run_at(text, p)
+        spans = spans_of(run) if run else None
+        if not spans:
+            return
+        shapes = self.model.shapes
+        land = text[p] in "+(0" and LAND.match(text, p) is not None
+        cues, told = UNTOLD, land
+        if told_before(text, p):
             before = text[max(0, p - 50) : p]
             cues = dict(zip(FIGURES, announced(before)), weak=WEAK_ID_CUE.search(before, max(0, len(before) - 6)) is not None)
-            land = LAND.match(text, p) is not None
             told = land or True in cues.values()
-            shapes = self.model.shapes
-            if told or any(x[1] in shapes for x in spans):
-                self._told(text, p, spans, shapes, cues, land, out)
-            if told and bare is not None:
-                self._told(text, p, spans, {}, cues, land, bare)
+        if told or any([x[1] in shapes for x in spans]):
+            self._told(text, p, spans, shapes, cues, land, out)
+        if told and bare is not None:
+            self._told(text, p, spans, {}, cues, land, bare)
 
     def _told(self, text: str, p: int, spans: list, shapes: dict[str, str], cues: dict[str, bool], land: bool, out: list) -> None:
         # the whole number is the longest span of a known form, else the longest on one line
-        whole = ([x[0] for x in spans if x[1] in shapes] or [x[0] for x in spans if "\n" not in text[p : x[0]]] or [spans[-1][0]])[-1]
+        whole = ([x[0] for x in spans if x[1] in shapes] or [x[0] for x in spans if "\n" not in text[p : p + x[0]]] or [spans[-1][0]])[-1]
         for end, shape, figures in spans:
             known = shapes.get(shape)
             if known is None and not (land or cues["phone"] or cues["id_number"] or cues["weak"]):
@@ -524,14 +591,14 @@ class Labeller:
                     continue
                 if known is None and not (cues[kind] or kind == "phone" and land or kind == "id_number" and cues["weak"]):
                     continue
-                lead = text[p : p + 3] if text[p] == "+" else text[p : p + 1]
-                out.append((p, end, kind, (shape if known else "rare", known or "", "cue" if cues[kind] else "", "land" if land else "", "whole" if end == whole else "part", lead, figures)))
+                lead = text[p : p + 3] if text[p] == "+" else text[p]
+                out.append((p, p + end, kind, (shape if known else "rare", known or "", "cue" if cues[kind] else "", "land" if land else "", "whole" if end == whole else "part", lead, figures)))
 
     def _names(self, text: str, out: list) -> None:
         last: tuple[int, int, str, int, int] | None = None  # start with particles, end, type, sureness, bare start
-        known = self.tokens
+        known = self.tokens.get
         for m in TOKEN.finditer(text):
-            t = known.get(m[0], m)
+            t = known(m[0], m)
             if t is m:
                 t = self.token(m[0])
             if t is None:
@@ -540,7 +607,7 @@ class Labeller:
             while text[b - 1] in "-'’":
                 b -= 1
             after = text[b : b + 1]
-            if after and (after in "@_+/" or after.isalnum() or after == "." and text[b + 1 : b + 2].isalnum()):
+            if after and after not in " ,\n" and (after in "@_+/" or after.isalnum() or after == "." and text[b + 1 : b + 2].isalnum()):
                 continue
             kind, sure = t
             if kind[0] == "S":
@@ -569,12 +636,18 @@ class Labeller:
                 if i:
                     out.append((start, i.end(), "name", ("F, I", sure, sure)))
             if last and start >= last[1]:
-                g = GAP.fullmatch(text, last[1], a)
-                if g:
+                end = last[1]
+                c = text[end]
+                if c == " " and a == end + 1:  # as for most
+                    g, comma = True, False
+                elif c in NO_GAP or c == " " and text[end + 1] in NO_GAP_NEXT:
+                    g = None
+                elif g := GAP.fullmatch(text, end, a):
                     comma = g[1].startswith(",")
-                    form = f"{last[2]}{',' if comma else ''} {kind}"
-                    if not (comma and g[2]):
-                        out.append((last[0], b, "name", (form, min(sure, last[3]), max(sure, last[3]))))
+                    g = not (comma and g[2])
+                if g:
+                    low, high = (sure, last[3]) if sure < last[3] else (last[3], sure)
+                    out.append((last[0], b, "name", (f"{last[2]}{',' if comma else ''} {kind}", low, high)))
             last = (start, b, kind, sure, a)
         words = text.replace(">", " ")
         for c in SPACES:
@@ -590,13 +663,13 @@ class Labeller:
                         out.append((a, m.end(), "name", ("g f", t[1], t[1])))
                 a = text.find(g, a + 1)
 
-    def features(self, key: tuple) -> tuple[str, ...]:
-        """Strings of a segment's features."""
+    def features(self, key: tuple | str) -> tuple[str, ...]:
+        """Strings of a segment's features; a key may be as code_of() writes it."""
         fs = self.strings.get(key)
         if fs is None:
             if len(self.strings) > 100_000:
                 self.strings.clear()
-            fs = self.strings[key] = self._strings(key)
+            fs = self.strings[key] = self._strings(key_of(key) if isinstance(key, str) else key)
         return fs
 
     def _strings(self, key: tuple) -> tuple[str, ...]:
@@ -611,36 +684,61 @@ class Labeller:
 
     def spans(self, text: str) -> list[tuple[int, int, str, tuple]]:
         """Candidates with what their features are made from, by end and start."""
-        return self._by_end(text, self.candidates(text), {}, {})
+        return self._by_end(text, self.candidates(text))
 
     def both_spans(self, text: str) -> tuple[list, list]:
         """The same, and as if no form of numbers were known."""
         bare: list = []
-        found = self.candidates(text, bare)
-        left: dict[int, tuple[str, str]] = {}
-        right: dict[int, str] = {}
-        return self._by_end(text, found, left, right), self._by_end(text, [*bare, *(c for c in found if c[2] not in FIGURES)], left, right)
+        spans = self._by_end(text, self.candidates(text, bare))
+        others = [x for x in spans if x[2] not in FIGURES]
+        return spans, sorted(others + self._by_end(text, bare), key=BY_END) if bare else others
 
-    def _by_end(self, text: str, found: list, left: dict[int, tuple[str, str]], right: dict[int, str]) -> list[tuple[int, int, str, tuple]]:
-        """Candidates with what their features are made from: kind and form, the word and marks before, what follows, length.
-        `left` and `right` keep what is before and behind, per place."""
+    def _by_end(self, text: str, found: list) -> list[tuple[int, int, str, tuple]]:
+        """Candidates with what their features are made from: kind and form, the word and marks before, what follows, length."""
         out = []
-        for a, b, kind, form in sorted(set(found), key=BY_END):
-            if a in left:
-                word, mark = left[a]
+        left: dict[int, tuple[str, str]] = {}
+        right: dict[int, str] = {}
+        found.sort(key=BY_END)
+        last: list[tuple] = [(-1, -1, "", ())]  # those of the same place and kind
+        for c in found:
+            a, b, kind, form = c
+            if b == last[0][1] and a == last[0][0] and kind == last[0][2]:
+                if c in last:
+                    continue
+                last.append(c)
             else:
-                pre = text[max(0, a - 20) : a]
+                last = [c]
+            before = left.get(a)
+            if before is None:
+                pre = text[a - 20 if a > 20 else 0 : a]
                 bare = pre.rstrip(MARKS)
-                mark = pre[len(bare) :].replace("\r", "")[-2:]
+                mark = pre[len(bare) :]
+                if "\r" in mark:
+                    mark = mark.replace("\r", "")
                 word = bare.rsplit(None, 1)[-1].lower()[-12:] if bare and not bare[-1].isspace() else ""
-                left[a] = word, mark
+                before = left[a] = word, mark[-2:]
             after = right.get(b)
             if after is None:
-                after = text[b : b + 2].replace("\r", "")[:1]
+                after = text[b : b + 1]
+                if after == "\r":
+                    after = text[b + 1 : b + 2].replace("\r", "")
                 after = right[b] = "x" if after.isalpha() else "9" if after.isdigit() else after
-            out.append((a, b, kind, (kind, form, word, mark, after, min((b - a) // 8, 5))))
+            length = (b - a) // 8
+            out.append((a, b, kind, (kind, form, *before, after, length if length < 5 else 5)))
         return out
 
+    def entries(self, spans: list[tuple[int, int, str, tuple]]) -> list[tuple[tuple[str, ...], str, tuple[bool, bool, bool]]]:
+        """Features, code and rule() of spans()."""
+        get = self.held.get
+        return [get(x[3]) or self._entry(x[3]) for x in spans]
+
+    def _entry(self, key: tuple) -> tuple[tuple[str, ...], str, tuple[bool, bool, bool]]:
+        if len(self.held) > 100_000:
+            self.held.clear()
+        fs = self._strings(key)
+        found = self.held[key] = fs, code_of(key), rule(key[0], fs)
+        return found
+
     def lattice(self, text: str) -> list[tuple[int, int, str, tuple]]:
         """Candidates with their features, by end and start."""
         return [(a, b, kind, self.features(key)) for a, b, kind, key in self.spans(text)]
@@ -657,37 +755,57 @@ class Labeller:
         w, cache = self.model.weights, self.scores
         ends: list[int] = []
         best: list[tuple[float, int]] = []  # per candidate: best score with it last, the segment before
-        top: list[tuple[float, int]] = [(0.0, -1)]  # before each candidate: best score of those that end before, and the last segment
-        for a, b, kind, key in lat:
+        first = (0.0, -1)  # best score so far, and the last segment
+        top: list[tuple[float, int]] = [first]  # before each candidate: the same of those that end before
+        end = -NEAR - 1
+        for n, (a, b, kind, key) in enumerate(lat):
             s = cache.get(key)
             if s is None:
-                s = sum(w.get(f, 0.0) for f in self.features(key))
+                s = sum([w.get(f, 0.0) for f in self.features(key)])
                 if len(cache) > 500_000:
                     cache.clear()
                 cache[key] = s
-            k = bisect_right(ends, a)
-            far = bisect_left(ends, a - NEAR, 0, k)
-            score, before = top[far]
-            for i in range(far, k):
-                both = lat[i][2], kind, text[lat[i][1] : a]
-                t = cache.get(both)
-                if t is None:
-                    t = cache[both] = sum(w.get(f, 0.0) for f in pair_features(text, lat[i], a, kind))
-                near = best[i][0] + t
-                if near > score:
-                    score, before = near, i
+            if end < a - NEAR:  # all before end so far
+                score, before = first
+            else:
+                k = bisect_right(ends, a)
+                far = bisect_left(ends, a - NEAR, 0, k)
+                score, before = top[far]
+                for i in range(far, k):
+                    both = lat[i][2], kind, text[lat[i][1] : a]
+                    t = cache.get(both)
+                    if t is None:
+                        t = cache[both] = sum([w.get(f, 0.0) for f in pair_features(text, lat[i], a, kind)])
+                    near = best[i][0] + t
+                    if near > score:
+                        score, before = near, i
             score += s
             best.append((score, before))
             ends.append(b)
-            top.append((score, len(best) - 1) if score > top[-1][0] else top[-1])
+            end = b
+            if score > first[0]:
+                first = score, n
+            top.append(first)
         out = []
-        at = top[-1][1]
+        at = first[1]
         while at >= 0:
             out.append(lat[at][:3])
             at = best[at][1]
         return out[::-1]
 
 
+def code_of(key: tuple) -> str:
+    """A segment's key as one string, from which key_of() makes one with the same features. No part but the last can hold the sign
+    between them."""
+    kind, form, word, mark, after, length = key
+    return "\x1f".join((kind, word, mark, str(length), *map(str, form), "after" if after == "\x1f" else after))
+
+
+def key_of(code: str) -> tuple:
+    kind, word, mark, length, *form, after = code.split("\x1f")
+    return kind, tuple(form), word, mark, "\x1f" if after == "after" else after, length
+
+
 #: The labeller that this process had last.
 KEPT: list[Labeller] = []
 
@@ -711,30 +829,40 @@ NAME_FORMS = frozenset(("G", "F", "G F", "F G", "C G", "G C", "C, G", "F, G", "I
 def rule_labels(text: str, lattice: list[tuple[int, int, str, tuple]]) -> set[int]:
     """Numbers of the candidates that are segments by rule: the longest of overlapping ones that no counter-sign marks, those
     of a known form, and whole ones on one line, first."""
+    return by_rule(text, lattice, [rule(kind, fs) for _, _, kind, fs in lattice])
+
+
+def by_rule(text: str, lattice: list[tuple], rules: list[tuple[bool, bool, bool]]) -> set[int]:
+    """The same with what rule() says of each candidate."""
     chosen: set[int] = set()
     begun, ended = [], []  # of the segments chosen, in the text's order
-    last = [(f"{c[2]}:rare" in c[3], f"{c[2]}:part" in c[3], c[0] - c[1]) if c[2] in FIGURES else (False, False, c[0] - c[1]) for c in lattice]
-    for j in sorted(range(len(lattice)), key=last.__getitem__):
-        a, b, kind, fs = lattice[j]
+    for *_, j in sorted([(r[0], r[1], c[0] - c[1], j) for j, (c, r) in enumerate(zip(lattice, rules)) if r[2]]):
+        a, b, kind = lattice[j][:3]
         k = bisect_right(ended, a)
         if k < len(begun) and begun[k] < b:
             continue
-        if kind == "email" and "email:msgid:" in fs[1]:
+        if kind in FIGURES and COUNTER_CUE.search(text[max(0, a - 14) : a].lower()):
             continue
-        if kind in FIGURES:
-            told = f"{kind}:is:{kind}" in fs or f"{kind}:cue" in fs or kind == "phone" and "phone:land" in fs
-            if not told or COUNTER_CUE.search(text[max(0, a - 14) : a].lower()):
-                continue
-        if kind == "name":
-            form, sure = fs[2].split(":")[1:]
-            if form not in NAME_FORMS or int(sure) < (2 if form in ("G", "F") and "nb:title" not in fs else 1 if form == "F, G" else 0):
-                continue
         chosen.add(j)
         begun.insert(k, a)
         ended.insert(k, b)
     return chosen
 
 
+def rule(kind: str, fs: tuple[str, ...]) -> tuple[bool, bool, bool]:
+    """Whether a candidate has no known form, is a part of a number, and is a segment unless another one or what is before
+    it forbids it."""
+    if kind == "email":
+        return False, False, "email:msgid:" not in fs[1]
+    if kind in FIGURES:
+        told = f"{kind}:is:{kind}" in fs or f"{kind}:cue" in fs or kind == "phone" and "phone:land" in fs
+        return f"{kind}:rare" in fs, f"{kind}:part" in fs, told
+    if kind == "name":
+        form, sure = fs[2].split(":")[1:]
+        return False, False, form in NAME_FORMS and int(sure) >= (2 if form in ("G", "F") and "nb:title" not in fs else 1 if form == "F, G" else 0)
+    return False, False, True
+
+
 class Chain(NamedTuple):
     """What labellings are made of: candidates with features, by end; per candidate the number of candidates that end too
     far before it to be neighbours, and the neighbours before it with the features of the two."""
@@ -744,12 +872,21 @@ class Chain(NamedTuple):
     near: list[list[tuple[int, tuple]]]
 
 
-def chain(text: str, lattice: list[tuple[int, int, str, tuple]]) -> Chain:
-    ends = [c[1] for c in lattice]
-    far, near = [], []
-    for n, (a, _, kind, _) in enumerate(lattice):
-        far.append(f := bisect_left(ends, a - NEAR, 0, n))  # those from n on end no earlier than n
-        near.append([(i, pair_features(text, lattice[i], a, kind)) for i in range(f, bisect_right(ends, a, f, n))])
+def chain(text: str, lattice: list[tuple[int, int, str, tuple]], pair: Callable[..., tuple] = pair_features) -> Chain:
+    ends: list[int] = []
+    far: list[int] = []
+    near: list[list[tuple[int, tuple]] | tuple] = []
+    end = -NEAR - 1
+    for n, (a, b, kind, _) in enumerate(lattice):
+        if end < a - NEAR:
+            far.append(n)
+            near.append(())
+        else:
+            far.append(f := bisect_left(ends, a - NEAR))
+            k = bisect_right(ends, a, f)
+            near.append([(i, pair(text, lattice[i], a, kind)) for i in range(f, k)] if k > f else ())
+        ends.append(b)
+        end = b
     return Chain(lattice, far, near)
 
 
@@ -760,31 +897,49 @@ def _add(x: float, y: float) -> float:
 def sums(c: Chain, w: dict[str, float]) -> tuple[list[float], list[list[float]], float]:
     """Probability of each candidate, and of each candidate right behind each of its neighbours, under the model; and the
     log sum over all labellings. Sums run forward over the last segment, and their derivatives backward."""
-    n = len(c.lattice)
     get = w.get
     s = [sum([get(f, 0.0) for f in fs]) for _, _, _, fs in c.lattice]
     t = [[sum([get(f, 0.0) for f in fs]) for _, fs in near] if near else () for near in c.near]
+    return flow(c, s, t)
+
+
+def flow(c: Chain, s: list[float], t: list) -> tuple[list[float], list[list[float]], float]:
+    """The same for candidates that score `s` and neighbours that score `t`."""
+    n = len(s)
     alpha, z, last, upto = [], [], 0.0, [0.0]  # upto[k]: log sum of labellings within the first k candidates
+    keep: list[float] = []  # exp(upto[k] - upto[k + 1])
     for far, near, own, both in zip(c.far, c.near, s, t):
         y = upto[far]
-        for (i, _), x in zip(near, both) if near else ():
-            y = _add(y, alpha[i] + x)
+        if near:
+            for (i, _), x in zip(near, both):
+                y = _add(y, alpha[i] + x)
         z.append(y)
         y += own
         alpha.append(y)
-        last = last + log1p(exp(y - last)) if last > y else y + log1p(exp(last - y))
+        if last > y:
+            e = exp(y - last)
+            last += log1p(e)
+            keep.append(1.0 / (1.0 + e))
+        else:
+            e = exp(last - y)
+            last = y + log1p(e)
+            keep.append(e / (1.0 + e))
         upto.append(last)
     du, da = [0.0] * n + [1.0], [0.0] * n
     pairs: list[list[float]] = [[]] * n
     for j in range(n - 1, -1, -1):
-        d, far, y = du[j + 1], c.far[j], z[j]
-        own = da[j] = da[j] + d * exp(alpha[j] - upto[j + 1])
-        du[j] += d * exp(upto[j] - upto[j + 1])
-        du[far] += own * exp(upto[far] - y)
+        d, far = du[j + 1], c.far[j]
+        stay = d * keep[j]
+        own = da[j] = da[j] + (d - stay)
+        du[j] += stay
         if near := c.near[j]:
+            y = z[j]
+            du[far] += own * exp(upto[far] - y)
             pairs[j] = [own * exp(alpha[i] + x - y) for (i, _), x in zip(near, t[j])]
             for (i, _), p in zip(near, pairs[j]):
                 da[i] += p
+        else:
+            du[far] += own
     return da, pairs, upto[n]
 
 
@@ -794,44 +949,83 @@ def train(texts: list[str], shapes: dict[str, str] | None = None) -> Model:
     shapes = learn_shapes(texts) if shapes is None else shapes
     # in every third text no form is known, so that the weights of words before, lengths and the like learn to do without
     full, bare = Labeller(Model(names, given, {}, shapes)), Labeller(Model(names, given, {}, {}))
-    data = []
+    climber, data = Climber(), []
     for i, t in enumerate(texts[:WEIGHT_ROWS]):
-        lat = (bare if i % 3 == 2 else full).lattice(t)
-        if lat:
-            data.append(ruled(t, lat))
-    w: dict[str, float] = {}
-    square: dict[str, float] = {}
+        lab = bare if i % 3 == 2 else full
+        if spans := lab.spans(t):
+            data.append(climber.ruled(t, spans, lab.entries(spans)))
     for _ in range(EPOCHS):
         for x in data:
-            climb(*x, w, square)
-    return Model(names, given, w, shapes)
-
-
-def ruled(text: str, lat: list[tuple[int, int, str, tuple]]) -> tuple[Chain, set[int], dict[int, int]]:
-    """A text to learn from: its labellings, the segments by rule, and the segment before each."""
-    gold = rule_labels(text, lat)
-    return chain(text, lat), gold, dict(zip(order := sorted(gold, key=lambda j: lat[j][0]), [-1, *order]))
-
-
-def climb(c: Chain, gold: set[int], follows: dict[int, int], w: dict[str, float], square: dict[str, float]) -> None:
-    """One step of the weights up the likelihood of a text's segments; `square` has the sums of squared gradients."""
-    p, pairs, _ = sums(c, w)
-    grad: dict[str, float] = defaultdict(float)
-    for j, (_, _, _, fs) in enumerate(c.lattice):
-        d = (j in gold) - p[j]
-        if d > 1e-4 or d < -1e-4:
-            for f in fs:
-                grad[f] += d
-        for (i, both), q in zip(c.near[j], pairs[j]) if pairs[j] else ():
-            d = (j in gold and follows[j] == i) - q
+            climber.climb(*x)
+    return Model(names, given, climber.weights(), shapes)
+
+
+class Climber:
+    """Weights that climb. A feature's cell holds its weight, the sum of its squared gradients, the gradient of the step that is being
+    made and whether that touches it; a candidate has its cells at hand, so that no step looks up a feature."""
+
+    def __init__(self) -> None:
+        self.cells: dict[str, list] = {}
+        self.own: dict[str, tuple[list, ...]] = {}
+        self.pairs: dict[tuple[str, str, str], tuple[list, ...]] = {}
+
+    def cells_of(self, fs: tuple[str, ...]) -> tuple[list, ...]:
+        return tuple([self.cells.setdefault(f, [0.0, 1e-6, 0.0, False]) for f in fs])
+
+    def ruled(self, text: str, spans: list[tuple[int, int, str, tuple]], entries: list[tuple]) -> tuple[Chain, list, list, set[int], dict[int, int]]:
+        """A text to learn from: its labellings, with the cells of candidates and neighbours, the segments by rule, and the segment
+        before each."""
+        own = []
+        for fs, code, _ in entries:
+            cells = self.own.get(code)
+            if cells is None:
+                cells = self.own[code] = self.cells_of(fs)
+            own.append(cells)
+        gold = by_rule(text, spans, [e[2] for e in entries])
+        c = chain(text, spans, self.pair)
+        follows, before = {}, -1
+        for j in sorted(gold, key=lambda j: spans[j][0]):
+            follows[j], before = before, j
+        return c, own, [[cells for _, cells in near] if near else () for near in c.near], gold, follows
+
+    def pair(self, text: str, before: tuple, start: int, kind: str) -> tuple[list, ...]:
+        both = before[2], kind, text[before[1] : start]
+        found = self.pairs.get(both)
+        if found is None:
+            found = self.pairs[both] = self.cells_of(pair_features(text, before, start, kind))
+        return found
+
+    def climb(self, c: Chain, own: list, near: list, gold: set[int], follows: dict[int, int]) -> None:
+        """One step up the likelihood of a text's segments."""
+        p, pairs, _ = flow(c, [sum([x[0] for x in cells]) for cells in own], [[sum([x[0] for x in cells]) for cells in n] if n else () for n in near])
+        touched = []
+        for j, x in enumerate(p):
+            d = 1.0 - x if j in gold else -x
             if d > 1e-4 or d < -1e-4:
-                for f in both:
-                    grad[f] += d
-    for f, g in grad.items():
-        now = w.get(f, 0.0)
-        g -= DECAY * now
-        much = square[f] = square.get(f, 1e-6) + g * g
-        w[f] = now + RATE * g / math.sqrt(much)
+                for cell in own[j]:
+                    if not cell[3]:
+                        cell[3] = True
+                        touched.append(cell)
+                    cell[2] += d
+            if near[j]:
+                before = follows[j] if j in gold else -2
+                for (i, cells), q in zip(c.near[j], pairs[j]):
+                    d = 1.0 - q if before == i else -q
+                    if d > 1e-4 or d < -1e-4:
+                        for cell in cells:
+                            if not cell[3]:
+                                cell[3] = True
+                                touched.append(cell)
+                            cell[2] += d
+        for cell in touched:
+            now, square, g, _ = cell
+            g -= DECAY * now
+            square += g * g
+            cell[:] = now + RATE * g / sqrt(square), square, 0.0, False
+
+    def weights(self) -> dict[str, float]:
+        """Weight per feature that a step has moved."""
+        return {f: cell[0] for f, cell in self.cells.items() if cell[1] > 1e-6}
 
 
 def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
@@ -843,28 +1037,31 @@ def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
     rounds, shards = -(-STEPS // max(rows, 1)), max(1, rows // SHARD_ROWS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lab = labeller(held.value)
-        w: dict[str, float] = {}
-        square: dict[str, float] = {}
+        lab, climber = labeller(held.value), Climber()
         again, i = [], 0
         names = ["doc_id", "text", "lattice", "feature", "weight"]
         for b in batches:
-            lattices = []
-            for text in b.column(1).to_pylist():
-                spans = []
-                if text:
-                    # in every third text no form is known, so that the weights of words before, lengths and the like learn to do without
-                    spans, taught = lab.both_spans(text) if i % 3 == 2 else (lab.spans(text), None)
-                    i += 1
-                    if lat := [(x, y, kind, lab.features(key)) for x, y, kind, key in (spans if taught is None else taught)]:
-                        climb(*(x := ruled(text, lat)), w, square)
-                        again += [x] * (rounds > 1)
-                lattices.append(marshal.dumps(spans) if spans else None)
+            with uncollected():
+                lattices = []
+                for text in b.column(1).to_pylist():
+                    spans = []
+                    if text:
+                        # in every third text no form is known, so that the weights of words before, lengths and the like learn to do without
+                        spans, taught = lab.both_spans(text) if i % 3 == 2 else (lab.spans(text), None)
+                        i += 1
+                        entries = lab.entries(spans)
+                        x = climber.ruled(text, spans, entries) if taught is None else climber.ruled(text, taught, lab.entries(taught))
+                        if x[1]:
+                            climber.climb(*x)
+                            again += [x] * (rounds > 1)
+                    lattices.append(packed(spans, entries) if spans else None)
             n = b.num_rows
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lattices, pa.binary()), pa.nulls(n, pa.string()), pa.nulls(n, pa.float64())], names)
-        for _ in range(rounds - 1):
-            for x in again:
-                climb(*x, w, square)
+        with uncollected():
+            for _ in range(rounds - 1):
+                for x in again:
+                    climber.climb(*x)
+        w = climber.weights()
         n = len(w)
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.binary()), pa.array(list(w), pa.string()), pa.array(list(w.values()), pa.float64())], names)
 
@@ -884,7 +1081,12 @@ def sample_texts(documents: DataFrame, rows: int = TRAIN_ROWS) -> list[str]:
     return [r.text for r in sorted(got, key=lambda r: (place[r.doc_id], r.text or "")) if r.text][:rows]
 
 
-NONE_FOUND = marshal.dumps([])
+def packed(spans: list[tuple[int, int, str, tuple]], entries: list[tuple]) -> bytes:
+    """Candidates with their codes."""
+    return marshal.dumps([*zip(*[(a, b, kind, e[1]) for (a, b, kind, _), e in zip(spans, entries)])])
+
+
+NONE_FOUND = packed([], [])
 
 
 def with_lattices(documents: DataFrame) -> DataFrame:
@@ -894,7 +1096,7 @@ def with_lattices(documents: DataFrame) -> DataFrame:
 
 
 def labelling(lab: Labeller, text: str, lattice: bytes | None) -> list[tuple[int, int, str]]:
-    return lab.label(text) if lattice is None else lab.best(text, marshal.loads(lattice))
+    return lab.label(text) if lattice is None else lab.best(text, [*zip(*marshal.loads(lattice))])
 
 
 def find(documents: DataFrame, model: Model) -> DataFrame:
@@ -907,13 +1109,14 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
         lab = labeller(held.value)
         for b in batches:
             ids, kinds, texts = [], [], []
-            for doc, text, lat in zip(*(c.to_pylist() for c in b.columns)):
-                if not text:
-                    continue
-                for kind, found in dict.fromkeys((k, text[x:y].replace("\r\n", " ").replace("\n", " ")) for x, y, k in labelling(lab, text, lat)):
-                    ids.append(doc)
-                    kinds.append(kind)
-                    texts.append(found)
+            with uncollected():
+                for doc, text, lat in zip(*(c.to_pylist() for c in b.columns)):
+                    if not text:
+                        continue
+                    for kind, found in dict.fromkeys([(k, text[x:y].replace("\r\n", " ").replace("\n", " ")) for x, y, k in labelling(lab, text, lat)]):
+                        ids.append(doc)
+                        kinds.append(kind)
+                        texts.append(found)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(texts, pa.string())], ["doc_id", "pii_kind", "found_text"])
 
     return with_lattices(documents.filter("doc_id IS NOT NULL AND text IS NOT NULL")).mapInArrow(run, "doc_id bigint, pii_kind string, found_text string")
@@ -927,14 +1130,15 @@ def redact(documents: DataFrame, model: Model) -> DataFrame:
         lab = labeller(held.value)
         for b in batches:
             out, n = [], []
-            for text, lat in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                spans = labelling(lab, text, lat) if text else []
-                parts, at = [], 0
-                for x, y, kind in spans:
-                    parts += [text[at:x], f"[{kind.upper()}]"]
-                    at = y
-                out.append("".join(parts) + text[at:] if text is not None else None)
-                n.append(len(spans))
+            with uncollected():
+                for text, lat in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    spans = labelling(lab, text, lat) if text else []
+                    parts, at = [], 0
+                    for x, y, kind in spans:
+                        parts += [text[at:x], f"[{kind.upper()}]"]
+                        at = y
+                    out.append("".join(parts) + text[at:] if text is not None else None)
+                    n.append(len(spans))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string()), pa.array(n, pa.int32())], ["doc_id", "text", "n_found"])
 
     return with_lattices(documents).mapInArrow(run, "doc_id bigint, text string, n_found int")

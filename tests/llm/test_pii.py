@@ -333,3 +333,46 @@ def test_rules_choose_disjoint_segments_the_longest_first():
             if not any(lat[j][0] < lat[i][1] and lat[i][0] < lat[j][1] for i in want):
                 want.append(j)
         assert pii.rule_labels("", lat) == set(want)
+
+
+def test_runs_that_agree_in_two_characters_behind_are_told_apart():
+    """A run may end before its two last characters or with them; what is kept of the one isn't the other's."""
+    short, long = "123456 ABC", "123456 A"
+    for first, then in ((short, long), (long, short)):
+        pii.RUNS.clear()
+        got = {x: pii.numbers_at(x, 0) for x in (first, then)}
+        assert [s[0] for s in got[short]] == [6] and [s[0] for s in got[long]] == [6, 8]
+    rng = random.Random(31)
+    for _ in range(3000):
+        text = "".join(rng.choices("0123456789 -./AB=&x\n", k=16))
+        kept = pii.numbers_at(text, 0)
+        m = pii.RUN.match(text, 0)
+        assert kept == (pii._numbers_of(text[: m.end() + 2], m.end()) if m else []), text
+
+
+def test_codes_of_candidates_have_their_features(model):
+    lab = pii.Labeller(model)
+    rng = random.Random(32)
+    keys = {x[3] for _ in range(40) for x in lab.spans(mail(rng))}
+    for key in [*keys, *((*key[:4], after, key[5]) for key in keys for after in ("", "\x1f", "a", "|"))]:
+        code = pii.code_of(key)
+        assert lab.features(code) == lab.features(key) and pii.code_of(pii.key_of(code)) == code
+    assert len({pii.code_of(key) for key in keys}) == len(keys)
+
+
+def test_words_before_are_left_out_only_where_nothing_is_announced():
+    rng = random.Random(33)
+    words = ["Tel", "id card", "id", "passport", "no", "Nº", "n°", "n", "number", "call", "me", "telegram", "step", " ", ": ", ".\n", "", "  ", "é", "_"]
+    for _ in range(4000):
+        before = " ".join(rng.choices(words, k=4)) + rng.choice(["", " ", ": ", ".\n", "     ", "\xa0", "  "])
+        if not pii.told_before(before + "1", len(before)):
+            assert pii.announced(before) == (False, False) and not pii.WEAK_ID_CUE.search(before), before
+
+
+def test_no_search_for_cycles_meanwhile():
+    import gc
+
+    assert gc.isenabled()
+    with pii.uncollected():
+        assert not gc.isenabled()
+    assert gc.isenabled()
