@@ -35,6 +35,7 @@ from math import exp, log1p, sqrt
 from operator import itemgetter
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,14 +239,57 @@ def told_before(text: str, p: int) -> bool:
     return not word or word.lower() in LAST_TWO or not word[-1].isalnum() or not word[0].isalnum()
 
 
-def count_shapes(text: str, counts: dict[str, list[int]]) -> None:
+#: Per character of the basic plane (others as its last one): 1 if STARTS may begin with it, 2 if nothing of STARTS stands behind it,
+#: 4 and 8 the same for LETTERS, 16 if it may stand second in LETTERS.
+def _signs() -> np.ndarray:
+    every = [*map(chr, range(65535))]
+    of = lambda f: np.fromiter(map(f, every), np.uint8, 65535)
+    alnum, figure, among = of(str.isalnum), of(str.isdecimal), lambda marks: of(marks.__contains__)
+    letter = among(string.ascii_uppercase)
+    signs = (figure | among("+(")) + 2 * (alnum | among("_.,/@-")) + 4 * letter + 8 * (alnum | among("_-/")) + 16 * (letter | figure | of(str.isspace) | among("=<&-") | (np.arange(65535) > 127))
+    return np.append(signs, 1 + 4 + 16).astype(np.uint8)
+
+
+SIGNS = _signs()
+#: Characters of texts that are looked through at once.
+AT_ONCE = 300_000
+
+
+def begins(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+    """Per text where STARTS match, with the last group that took part, and where LETTERS do. Characters of many texts are looked
+    through at once, the patterns only tried where their first characters fit."""
+    group, n = [], 0
+    for i, text in enumerate(texts):
+        group.append(text)
+        n += len(text)
+        if n > AT_ONCE or i == len(texts) - 1:
+            yield from _begins(group)
+            group, n = [], 0
+
+
+def _begins(texts: list[str]) -> Iterator[tuple[list[tuple[int, int]], list[int]]]:
+    codes = np.frombuffer(("\n" + "\n".join(texts) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+    signs = SIGNS[np.minimum(codes, 65535)]
+    behind, here, next_ = signs[:-2], signs[1:-1], signs[2:]
+    starts = np.flatnonzero((here & 1) > (behind & 2))
+    letters = np.flatnonzero(((here & 4) > (behind & 8)) & (next_ > 15))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    cuts = zip(np.searchsorted(starts, ends).tolist(), np.searchsorted(letters, ends).tolist())
+    starts, letters = starts.tolist(), letters.tolist()
+    i = j = at = 0
+    for text, (i2, j2) in zip(texts, cuts):
+        yield [(x - at, m.lastindex) for x in starts[i:i2] if (m := STARTS.match(text, x - at))], [x - at for x in letters[j:j2] if LETTERS.match(text, x - at)]
+        i, j, at = i2, j2, at + len(text) + 1
+
+
+def count_shapes(text: str, counts: dict[str, list[int]], begun: tuple[list, list] | None = None) -> None:
     """Add a text's numbers to the counts per written form: how often it stands, and how often right behind a word that
-    announces a telephone number, or an id. A number is the longest span on one line."""
-    for rx in (STARTS, LETTERS):
+    announces a telephone number, or an id. A number is the longest span on one line. `begun`: what begins() says of the text."""
+    starts, letters = begun or next(begins([text]))
+    for places in ([p for p, last in starts if last < 3], letters):
         behind = 0
-        for start in rx.finditer(text):
-            p = start.start()
-            if p < behind or start.lastindex == 3:
+        for p in places:
+            if p < behind:
                 continue
             run = run_at(text, p)
             spans = spans_of(run) if run else None
@@ -315,8 +359,9 @@ def counted(documents: DataFrame) -> DataFrame:
         given, family, tokens, boxes = Counter(), Counter(), Counter(), set()
         for batch in batches:
             with uncollected():
-                for text in batch.column(0).to_pylist():
-                    count_shapes(text, shapes)
+                rows = batch.column(0).to_pylist()
+                for text, begun in zip(rows, begins(rows)):
+                    count_shapes(text, shapes, begun)
                     count_words(text, given, family, tokens, boxes)
             if len(shapes) + len(tokens) + len(boxes) > 100_000:
                 yield out()
@@ -531,9 +576,9 @@ class Labeller:
         self.tokens[raw] = found
         return found
 
-    def candidates(self, text: str, bare: list | None = None) -> list[tuple[int, int, str, tuple]]:
+    def candidates(self, text: str, bare: list | None = None, begun: tuple[list, list] | None = None) -> list[tuple[int, int, str, tuple]]:
         """(start, end, kind, form): spans that may be a segment, with what their features are made from. `bare` gets those of
-        numbers as if no form were known."""
+        numbers as if no form were known; `begun` is what begins() says of the text."""
         out: list[tuple[int, int, str, tuple]] = []
         low = text.lower() if "AT" in text else text
         for there, at, domain, form in (("@" in text, at_signs, DOMAIN, "plain"), ("[at" in low or "(at" in low or "{at" in low, BRACKET_AT, SPELT, "bracket"), (" dot" in low or "\ndot" in low, SPELT_AT, SPELT_DOMAIN, "words")):
@@ -545,16 +590,16 @@ class Labeller:
                     known = "msgid" if left[-1] in "0123456789abcdef" and ("." in left or "00lost" in left) and MESSAGE_ID.search(left) else "spaced" if form == "plain" and b - a > 1 else form
                     out.append((max(0, a - 66) + len(pre) - len(left), d.end(), "email", (known, "digits" if left.isdigit() else "")))
         place = 0  # end of the last address; the next begins behind it
-        for start in STARTS.finditer(text):
-            p, what = start.start(), start.lastindex
+        starts, letters = begun or next(begins([text]))
+        for p, what in starts:
             if what < 3:
                 self._numbers(text, p, out, bare)
             m = PLACES.match(text, p) if what > 1 and p >= place else None
             if m:
                 out.append((*m.span(), "address", (m.lastgroup,)))
                 place = m.end()
-        for start in LETTERS.finditer(text):
-            self._numbers(text, start.start(), out, bare)
+        for p in letters:
+            self._numbers(text, p, out, bare)
         for a, b in places_es(text):
             out.append((a, b, "address", ("es",)))
         self._names(text, out)
@@ -682,14 +727,14 @@ class Labeller:
             return (kind, f"{kind}:{shape}", f"{kind}:{shape}:{lead}", f"{kind}:is:{known}", f"{kind}:{cue}", f"{kind}:{land}", f"{kind}:{whole}", f"{kind}:{cue}:{land}:{whole}:{'rare' if shape == 'rare' else ''}", f"{kind}#{figures}", f"{kind}<{word}", f"{kind}<{mark}", f"{kind}>{after}")
         return (kind, f"{kind}:{':'.join(form)}", f"{kind}<{word}", f"{kind}<{mark}", f"{kind}>{after}")
 
-    def spans(self, text: str) -> list[tuple[int, int, str, tuple]]:
+    def spans(self, text: str, begun: tuple[list, list] | None = None) -> list[tuple[int, int, str, tuple]]:
         """Candidates with what their features are made from, by end and start."""
-        return self._by_end(text, self.candidates(text))
+        return self._by_end(text, self.candidates(text, None, begun))
 
-    def both_spans(self, text: str) -> tuple[list, list]:
+    def both_spans(self, text: str, begun: tuple[list, list] | None = None) -> tuple[list, list]:
         """The same, and as if no form of numbers were known."""
         bare: list = []
-        spans = self._by_end(text, self.candidates(text, bare))
+        spans = self._by_end(text, self.candidates(text, bare, begun))
         others = [x for x in spans if x[2] not in FIGURES]
         return spans, sorted(others + self._by_end(text, bare), key=BY_END) if bare else others
 
@@ -1043,11 +1088,12 @@ def learned(documents: DataFrame) -> tuple[DataFrame, Model]:
         for b in batches:
             with uncollected():
                 lattices = []
-                for text in b.column(1).to_pylist():
+                texts = [x or "" for x in b.column(1).to_pylist()]
+                for text, begun in zip(texts, begins(texts)):
                     spans = []
                     if text:
                         # in every third text no form is known, so that the weights of words before, lengths and the like learn to do without
-                        spans, taught = lab.both_spans(text) if i % 3 == 2 else (lab.spans(text), None)
+                        spans, taught = lab.both_spans(text, begun) if i % 3 == 2 else (lab.spans(text, begun), None)
                         i += 1
                         entries = lab.entries(spans)
                         x = climber.ruled(text, spans, entries) if taught is None else climber.ruled(text, taught, lab.entries(taught))

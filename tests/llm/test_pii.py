@@ -376,3 +376,14 @@ def test_no_search_for_cycles_meanwhile():
     with pii.uncollected():
         assert not gc.isenabled()
     assert gc.isenabled()
+
+
+def test_starts_of_many_texts_at_once_are_those_of_each(monkeypatch):
+    rng = random.Random(34)
+    signs = [*"0123456789" * 2, *"()+-./ ,:;AZbis_@=<&#", "\n", "\r\n", "&nbsp;", "=20", "AB ", "é", "Ж", "٣", " ", "–", "Â\xa0", "😀", "\ud800", "²", " rue "]
+    texts = ["", *("".join(rng.choices(signs, k=rng.randrange(40))) for _ in range(4000)), ""]
+    want = [([(m.start(), m.lastindex) for m in pii.STARTS.finditer(t)], [m.start() for m in pii.LETTERS.finditer(t)]) for t in texts]
+    assert list(pii.begins(texts)) == want
+    monkeypatch.setattr(pii, "AT_ONCE", 100)
+    assert list(pii.begins(texts)) == want and list(pii.begins([])) == []
+    assert sum(len(a) for a, _ in want) > 1000 and sum(len(b) for _, b in want) > 300
