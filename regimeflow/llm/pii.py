@@ -581,13 +581,24 @@ class Labeller:
         numbers as if no form were known; `begun` is what begins() says of the text."""
         out: list[tuple[int, int, str, tuple]] = []
         low = text.lower() if "AT" in text else text
-        for there, at, domain, form in (("@" in text, at_signs, DOMAIN, "plain"), ("[at" in low or "(at" in low or "{at" in low, BRACKET_AT, SPELT, "bracket"), (" dot" in low or "\ndot" in low, SPELT_AT, SPELT_DOMAIN, "words")):
-            for a, b in () if not there else at(text) if form == "plain" else (m.span() for m in at.finditer(text)):
+        for a, b in at_signs(text):
+            d = DOMAIN.match(text, b)
+            if d:
+                left = text[a - 66 if a > 66 else 0 : a]
+                if left[-1:] in "\r\n":
+                    left = left.removesuffix("\n").removesuffix("\r")  # a line may break before the sign
+                end = (a - 66 if a > 66 else 0) + len(left)
+                left = left[len(left.rstrip(LOCAL)) :].lstrip(INNER)
+                if left and left[-1] not in INNER:
+                    known = "msgid" if left[-1] in "0123456789abcdef" and ("." in left or "00lost" in left) and MESSAGE_ID.search(left) else "spaced" if b - a > 1 else "plain"
+                    out.append((end - len(left), d.end(), "email", (known, "digits" if left.isdigit() else "")))
+        for there, at, domain, form in (("[at" in low or "(at" in low or "{at" in low, BRACKET_AT, SPELT, "bracket"), (" dot" in low or "\ndot" in low, SPELT_AT, SPELT_DOMAIN, "words")):
+            for a, b in (m.span() for m in at.finditer(text)) if there else ():
                 d = domain.match(text, b)
                 pre = text[max(0, a - 66) : a].removesuffix("\n").removesuffix("\r")  # a line may break before the sign
                 left = pre[len(pre.rstrip(LOCAL)) :].lstrip(INNER)
                 if d and left and left[-1] not in INNER:
-                    known = "msgid" if left[-1] in "0123456789abcdef" and ("." in left or "00lost" in left) and MESSAGE_ID.search(left) else "spaced" if form == "plain" and b - a > 1 else form
+                    known = "msgid" if MESSAGE_ID.search(left) else form
                     out.append((max(0, a - 66) + len(pre) - len(left), d.end(), "email", (known, "digits" if left.isdigit() else "")))
         place = 0  # end of the last address; the next begins behind it
         starts, letters = begun or next(begins([text]))
@@ -694,10 +705,11 @@ class Labeller:
                     low, high = (sure, last[3]) if sure < last[3] else (last[3], sure)
                     out.append((last[0], b, "name", (f"{last[2]}{',' if comma else ''} {kind}", low, high)))
             last = (start, b, kind, sure, a)
-        words = text.replace(">", " ")
-        for c in SPACES:
-            if c in words:
-                words = words.replace(c, " ")
+        words = text.replace(">", " ") if ">" in text else text
+        if "=" in words or "&" in words or "<b" in words or "Â" in words:  # as all of them have
+            for c in SPACES:
+                if c in words:
+                    words = words.replace(c, " ")
         for g in self.low.intersection(words.split()) | self.split:
             a = text.find(g)
             while a >= 0:
@@ -881,8 +893,8 @@ def by_rule(text: str, lattice: list[tuple], rules: list[tuple[bool, bool, bool]
     """The same with what rule() says of each candidate."""
     chosen: set[int] = set()
     begun, ended = [], []  # of the segments chosen, in the text's order
-    for *_, j in sorted([(r[0], r[1], c[0] - c[1], j) for j, (c, r) in enumerate(zip(lattice, rules)) if r[2]]):
-        a, b, kind = lattice[j][:3]
+    for _, _, _, j in sorted([(r[0], r[1], c[0] - c[1], j) for j, (c, r) in enumerate(zip(lattice, rules)) if r[2]]):
+        a, b, kind, _ = lattice[j]
         k = bisect_right(ended, a)
         if k < len(begun) and begun[k] < b:
             continue
@@ -1017,7 +1029,7 @@ class Climber:
     def cells_of(self, fs: tuple[str, ...]) -> tuple[list, ...]:
         return tuple([self.cells.setdefault(f, [0.0, 1e-6, 0.0, False]) for f in fs])
 
-    def ruled(self, text: str, spans: list[tuple[int, int, str, tuple]], entries: list[tuple]) -> tuple[Chain, list, list, set[int], dict[int, int]]:
+    def ruled(self, text: str, spans: list[tuple[int, int, str, tuple]], entries: list[tuple]) -> tuple[Chain, list, set[int], dict[int, int]]:
         """A text to learn from: its labellings, with the cells of candidates and neighbours, the segments by rule, and the segment
         before each."""
         own = []
@@ -1031,7 +1043,7 @@ class Climber:
         follows, before = {}, -1
         for j in sorted(gold, key=lambda j: spans[j][0]):
             follows[j], before = before, j
-        return c, own, [[cells for _, cells in near] if near else () for near in c.near], gold, follows
+        return c, own, gold, follows
 
     def pair(self, text: str, before: tuple, start: int, kind: str) -> tuple[list, ...]:
         both = before[2], kind, text[before[1] : start]
@@ -1040,9 +1052,9 @@ class Climber:
             found = self.pairs[both] = self.cells_of(pair_features(text, before, start, kind))
         return found
 
-    def climb(self, c: Chain, own: list, near: list, gold: set[int], follows: dict[int, int]) -> None:
+    def climb(self, c: Chain, own: list, gold: set[int], follows: dict[int, int]) -> None:
         """One step up the likelihood of a text's segments."""
-        p, pairs, _ = flow(c, [sum([x[0] for x in cells]) for cells in own], [[sum([x[0] for x in cells]) for cells in n] if n else () for n in near])
+        p, pairs, _ = flow(c, [sum([x[0] for x in cells]) for cells in own], [[cells[0][0] + cells[1][0] for _, cells in near] if near else () for near in c.near])
         touched = []
         for j, x in enumerate(p):
             d = 1.0 - x if j in gold else -x
@@ -1052,7 +1064,7 @@ class Climber:
                         cell[3] = True
                         touched.append(cell)
                     cell[2] += d
-            if near[j]:
+            if c.near[j]:
                 before = follows[j] if j in gold else -2
                 for (i, cells), q in zip(c.near[j], pairs[j]):
                     d = 1.0 - q if before == i else -q
@@ -1159,7 +1171,7 @@ def find(documents: DataFrame, model: Model) -> DataFrame:
                 for doc, text, lat in zip(*(c.to_pylist() for c in b.columns)):
                     if not text:
                         continue
-                    for kind, found in dict.fromkeys([(k, text[x:y].replace("\r\n", " ").replace("\n", " ")) for x, y, k in labelling(lab, text, lat)]):
+                    for kind, found in dict.fromkeys([(k, found.replace("\r\n", " ").replace("\n", " ") if "\n" in (found := text[x:y]) else found) for x, y, k in labelling(lab, text, lat)]):
                         ids.append(doc)
                         kinds.append(kind)
                         texts.append(found)
